@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, pivots, quality, simhash, suffix_tree, token_counts
+from . import decontaminate, html_main, language_id, mixing, pivots, quality, simhash, suffix_tree, token_counts, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,11 +53,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_vectors": op2_near_vectors,
+    "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_mixing": op6_mixing,
     "op7_suffix_tree": op7_suffix_tree,
     "op8_simhash": op8_simhash,
+    "op9_main_text": op9_main_text,
     "op10_token_counts": op10_token_counts,
 }
 
