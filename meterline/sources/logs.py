@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "rollout-*.jsonl")
 
     Only lines that end are records; the rest of a file that is still written to is left out.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").format("text").load(path).select(F.col("_metadata.file_path").alias("source"), "value")
     lines = F.split(F.regexp_replace("value", r"[^\n]*\z", ""), "\n")
     return files.select("source", F.posexplode(lines).alias("line_no", "line")).where("line <> ''").select("source", F.col("line_no").cast("long").alias("line_no"), F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
 
