@@ -31,7 +31,7 @@ def fit(vectors: DataFrame, pivots: int = PIVOTS, sample: int = FIT_ON) -> np.nd
     rows = np.array([r.v for r in vectors.orderBy(F.xxhash64("v"), "v").limit(sample).collect()], float)
     if not len(rows):
         return rows.reshape(0, 1)
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = units(rows)
     chosen, best = [0], rows @ rows[0]
     while len(chosen) < min(pivots, len(rows)):
         i = int(np.argmin(best))
@@ -60,7 +60,10 @@ def describe(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors of a list column whose rows are of one length."""
-    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return units(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+
+def units(rows: np.ndarray) -> np.ndarray:
     largest = np.abs(rows).max(axis=1, keepdims=True)
     rows = rows / np.where(largest > 0, largest, 1)  # squares of very large or small components stay finite
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -96,7 +99,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in near[a].T:
                 for j in near[b].T:
                     common += i[:, None] == j[None, :]
-            x, y = np.nonzero((common >= SHARED) & (rows[a] @ rows[b].T >= THRESHOLD) & (rep[a][:, None] < rep[b][None, :]))
+            x, y = np.nonzero((common >= min(SHARED, near.shape[1])) & (rows[a] @ rows[b].T >= THRESHOLD) & (rep[a][:, None] < rep[b][None, :]))
             if not len(x):
                 continue
             x, y = a[x], b[y]
