@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Names of keys that are never kept, alone or after an underscore.
 SENSITIVE = re.compile(r"(?i)(.*_)?(secret|api_key|credential|email|account_id|user_id|workspace_id|organization_id|org_id|token)|authorization|cookie|set-cookie|password")
@@ -22,7 +23,7 @@ def without_secrets(value):
     return [without_secrets(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitized(payload: pd.Series) -> pd.Series:
     """JSON without sensitive keys at any depth; null for what isn't JSON."""
 
