@@ -9,7 +9,7 @@ from ..functions.text import git_identity, normal_path
 
 #: Ranks of attribution confidence.
 CONFIDENCE = {"verified": 2, "inferred": 1, "unknown": 0}
-#: Epochs are looked up by the days they touch; an open end is taken to be this long after the last fact.
+#: Epochs are looked up by the days they touch.
 SLOT_SECONDS = 86400
 
 
@@ -68,25 +68,34 @@ def kept_apart(rows: DataFrame, at: str, seconds: int) -> DataFrame:
     return times.coalesce(1).sortWithinPartitions(at).mapInPandas(scan, times.schema)
 
 
-def epoch_at(facts: DataFrame, epochs: DataFrame, at: str = "source_timestamp", key: str = "event_id") -> DataFrame:
-    """facts with epoch_account and epoch_confidence of the interval [observed_from, observed_to) that holds their time.
+def segments(epochs: DataFrame, last: DataFrame) -> DataFrame:
+    """(seg_from, seg_to, epoch_account, epoch_confidence, slot): disjoint intervals, a row for each day they touch.
 
-    The best confidence wins, then the latest start. The range join is an equi-join on days: an epoch has a row for
-    each day it touches, so that neither side is broadcast or compared with all of the other.
+    Where epochs overlap the best confidence wins, then the latest start. `last` is the one row of the last time asked
+    for, up to which open ends reach. Each start or end of an epoch begins a segment; what covers it is found by an
+    equi-join on days.
     """
-    last = facts.agg(F.max(at).alias("last"))
     slot = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / SLOT_SECONDS)
-    spread = epochs.crossJoin(last).withColumn("slot", F.explode(F.sequence(slot(F.col("observed_from")), F.greatest(slot(F.col("observed_from")), slot(F.coalesce("observed_to", "last")))))).where("observed_from <= last")
-    rank = F.struct(confidence_rank().alias("rank"), F.col("observed_from"), F.col("account"), F.col("confidence"))
-    hits = (
-        facts.select(key, F.col(at).alias("at"), slot(F.col(at)).alias("slot"))
-        .join(spread, "slot")
-        .where((F.col("at") >= F.col("observed_from")) & (F.col("observed_to").isNull() | (F.col("at") < F.col("observed_to"))))
-        .groupBy(key)
-        .agg(F.max(rank).alias("best"))
-        .select(key, F.col("best.account").alias("epoch_account"), F.col("best.confidence").alias("epoch_confidence"))
-    )
-    return facts.join(hits, key, "left")
+    days = lambda a, b: F.explode(F.sequence(slot(a), F.greatest(slot(a), slot(b)))).alias("slot")
+    known = epochs.join(last, F.col("observed_from") <= F.col("last"))
+    spread = known.select("*", days(F.col("observed_from"), F.least(F.coalesce("observed_to", "last"), F.col("last"))))
+    points = known.select(F.col("observed_from").alias("seg_from")).union(known.where("observed_to <= last").select("observed_to")).distinct()
+    cut = points.select("seg_from", F.lead("seg_from").over(Window.orderBy("seg_from")).alias("seg_to"), slot(F.col("seg_from")).alias("slot"))  # epochs, few beside facts
+    covers = (F.col("observed_from") <= F.col("seg_from")) & (F.col("observed_to").isNull() | (F.col("seg_from") < F.col("observed_to")))
+    best = F.max(F.struct(confidence_rank().alias("rank"), F.col("observed_from"), F.col("account"), F.col("confidence"))).alias("best")
+    won = cut.join(spread, "slot").where(covers).groupBy("seg_from", "seg_to").agg(best, F.max("last").alias("last"))
+    return won.select("seg_from", "seg_to", F.col("best.account").alias("epoch_account"), F.col("best.confidence").alias("epoch_confidence"), days(F.col("seg_from"), F.coalesce("seg_to", "last")))
+
+
+def epoch_at(facts: DataFrame, epochs: DataFrame, at: str = "source_timestamp") -> DataFrame:
+    """facts with epoch_account and epoch_confidence of the interval [observed_from, observed_to) that holds their time.
+
+    A fact meets the segments of its day, of which one holds it at most: one equi-join, no grouping of facts.
+    """
+    found = segments(epochs, facts.agg(F.max(at).alias("last"))).withColumnRenamed("slot", "_slot")
+    own = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / SLOT_SECONDS)
+    holds = (own == F.col("_slot")) & (F.col(at) >= F.col("seg_from")) & (F.col("seg_to").isNull() | (F.col(at) < F.col("seg_to")))
+    return facts.join(found, holds, "left").drop("_slot", "seg_from", "seg_to")
 
 
 def longest_root(threads: DataFrame, roots: DataFrame) -> DataFrame:
