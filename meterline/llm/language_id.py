@@ -171,7 +171,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 #: A document is kept in a pipeline if its language is determined with this score.
-KEEP_SCORE = 0.4
+KEEP_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
