@@ -26,13 +26,16 @@ DEPTH, P_MIN, MIN_DIVERGENCE = 6, 1e-5, 1e-2
 PRIOR = 2.0
 ROOT_PRIOR = 0.01
 END, SPACE = 10, 32
-SYMBOLS_AT_ONCE = 1 << 23
+SYMBOLS_AT_ONCE = 1 << 22
 POSTINGS_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 6 << 20
 
 
-def sequence(token_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of some texts, each after DEPTH ends: (bytes, positions of the symbols to score, first of each text)."""
-    joined = [b" ".join(t) for t in token_lists]
+def sequence(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some texts, each after DEPTH ends: (bytes, positions of the symbols to score, first of each text).
+
+    A text is its words joined by one space.
+    """
     data = np.frombuffer(b"".join(b"\n" * DEPTH + t + b"\n" for t in joined), np.uint8)
     own = np.array([len(t) + 1 for t in joined], np.int64)
     start = np.concatenate([[0], np.cumsum(own)[:-1]])
@@ -45,10 +48,10 @@ def grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            lists = [t.lower().split() for t, train in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if train]
-            if not lists:
+            joined = [b" ".join(t.lower().split()) for t, train in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if train]
+            if not joined:
                 continue
-            data, at, _ = sequence(lists)
+            data, at, _ = sequence(joined)
             key = np.zeros(len(at), np.int64)
             for back in range(DEPTH, -1, -1):
                 key = (key << 8) | data[at - back]
@@ -126,9 +129,9 @@ class Tree:
         p = np.array([x for x, k in zip(probability, keep) if k])
         self.log = np.log10(p / np.maximum(share, 1)).astype(np.float32)
 
-    def score(self, token_lists: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        data, at, start = sequence(token_lists)
+    def score(self, joined: list[bytes]) -> np.ndarray:
+        """log10 probability of each text, its words joined by one space."""
+        data, at, start = sequence(joined)
         symbols, child, log = self.of_byte[data], self.child.ravel(), self.log.ravel()
         out, step = np.empty(len(at)), 1 << 14  # so that the arrays of a step stay in the cache
         for begin in range(0, len(at), step):
@@ -149,122 +152,152 @@ def train(docs: DataFrame) -> Tree:
     return Tree(candidates(grams(docs)))
 
 
-WORDS = "word binary, n long, refs array<long>, times array<int>, doc_id long, held_out boolean, n_tokens long, score double"
+WORDS = "word binary, n long, batch long, texts boolean, payload binary"
+PARTS = "batch long, texts boolean, payload binary, train_tokens long, distinct_words long"
+RESULT = "doc_id long, held_out boolean, n_tokens long, score double, logs double, known long, train_tokens long, distinct_words long"
+# Payloads are rows of these side by side: Spark moves one binary value where it would copy lists item by item.
+POSTING = np.dtype([("text", "<u4"), ("times", "<u4")])
+TEXT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("score", "<f8")])
+SUM = np.dtype([("text", "<u4"), ("logs", "<f8"), ("known", "<i8")])
+
+
+def arrow(schema: str) -> pa.Schema:
+    types = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(name, types[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+def packed(rows: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """A binary value of the rows between each two cuts."""
+    offsets = (cut * rows.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all rows, how many each value has)."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // kind.itemsize
 
 
 def postings(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Of each Arrow batch: a row for each word, with its training count and postings; and a row for each text."""
+    """Of each stretch of texts: a row for each word, with its training count and postings; and a row of all its texts."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = [t.lower().split() for t in texts(batch.column("text"))]
-            ref, train = batch.column("ref").to_numpy(), np.array(batch.column("train").to_pylist(), bool)
-            number: dict[bytes, int] = {}
-            code = np.array([number.setdefault(w, len(number)) for t in lists for w in (*t, b"\n")], np.int64)
-            length = np.array([len(t) + 1 for t in lists])
-            doc = np.repeat(np.arange(len(lists)), length)
-            pair, times = np.unique(code * len(lists) + doc, return_counts=True)
-            code, doc = pair // len(lists), pair % len(lists)
-            first = np.searchsorted(code, np.arange(len(number) + 1)).astype(np.int32)
-            n = np.add.reduceat(times * train[doc], first[:-1])
-            empty, size = pa.nulls(len(number), pa.int64()), len(number)
-            yield from pa.Table.from_arrays(
-                [
-                    pa.array(list(number), pa.binary()),
-                    pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(first), pa.array(ref[doc])),
-                    pa.ListArray.from_arrays(pa.array(first), pa.array(times.astype(np.int32))),
-                    empty,
-                    pa.nulls(size, pa.bool_()),
-                    empty,
-                    pa.nulls(size, pa.float64()),
-                ],
-                NAMES,
-            ).to_batches()
-            none = pa.nulls(len(lists), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b"\n%d" % x for x in ref.tolist()], pa.binary()),
-                    pa.array(np.zeros(len(lists), np.int64)),
-                    pa.array([[x] for x in ref.tolist()], pa.list_(pa.int64())),
-                    none.cast(pa.list_(pa.int32())),
-                    batch.column("doc_id"),
-                    pa.array(~train),
-                    pa.array(length),
-                    pa.array(shared.value.score(lists)),
-                ],
-                NAMES,
-            )
+            held.append(batch)
+            if sum(x.nbytes for x in held) >= BYTES_AT_ONCE:
+                yield from stretch(pa.Table.from_batches(held))
+                held = []
+        if sum(x.num_rows for x in held):
+            yield from stretch(pa.Table.from_batches(held))
+
+    def stretch(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        own = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        joined, codes, number = [], [], {}
+        for t in texts(own["text"]):
+            words = t.lower().split()
+            joined.append(b" ".join(words))
+            words.append(b"\n")
+            codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+        docs_here, length = len(joined), np.array([len(c) for c in codes])
+        first_ref, train = own["ref"][0].as_py(), own["train"].to_numpy(zero_copy_only=False).astype(bool)
+        pair, times = np.unique(np.concatenate(codes).astype(np.int64) * docs_here + np.repeat(np.arange(docs_here), length), return_counts=True)
+        del codes
+        found = np.empty(len(pair), POSTING)
+        found["text"], found["times"] = pair % docs_here, times
+        cut = np.searchsorted(pair, np.arange(len(number) + 1) * docs_here)
+        n = np.add.reduceat(times * train[found["text"]], cut[:-1])
+        schema = arrow(WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()), pa.array(n), pa.array(np.full(len(n), first_ref)), pa.array(np.zeros(len(n), bool)), packed(found, cut)], schema=schema)
+        text = np.empty(docs_here, TEXT)
+        text["doc_id"], text["has_id"] = own["doc_id"].fill_null(0).to_numpy(), own["doc_id"].is_valid().to_numpy(zero_copy_only=False)
+        text["held_out"], text["n_tokens"], text["score"] = ~train, length, shared.value.score(joined)
+        yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % first_ref], pa.binary()), pa.array([0]), pa.array([first_ref]), pa.array([True]), pa.array([text.tobytes()], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, WORDS)
 
 
-NAMES = [x.split()[0] for x in WORDS.split(", ")]
-PARTS = "ref long, logs double, known long, train_tokens long, distinct_words long, doc_id long, held_out boolean, n_tokens long, score double"
-
-
 def contributions(counted: DataFrame) -> DataFrame:
-    """From words with their count over all batches, sums by text; rows of the reference -1 carry N and V."""
+    """From words with their count over all stretches, sums by text in a row for each stretch; batch -1 carries N and V.
+
+    What a stretch's texts get from some words is one row, so that rows grow with stretches, not with postings.
+    """
+    schema = arrow(PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = v = size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text = pa.compute.is_valid(batch.column("score"))
-            if pa.compute.any(text).as_py():
-                own = batch.filter(text)
+            of_texts = batch.column("texts")
+            own = batch.filter(of_texts)
+            if own.num_rows:
                 zero = pa.array(np.zeros(own.num_rows, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [own.column("refs").flatten(), pa.array(np.zeros(own.num_rows)), zero, zero, zero, *(own.column(c) for c in ("doc_id", "held_out", "n_tokens", "score"))],
-                    PART_NAMES,
-                )
-            words = batch.filter(pa.compute.invert(text))
+                yield pa.RecordBatch.from_arrays([own.column("batch"), own.column("texts"), own.column("payload"), zero, zero], schema=schema)
+            words = batch.filter(pa.compute.invert(of_texts))
             if not words.num_rows:
                 continue
-            c = words.column("c").to_numpy()
+            c, stretch = words.column("c").to_numpy(), words.column("batch").to_numpy()
             n += int(words.column("n").to_numpy().sum())
-            v += int(((words.column("nth").to_numpy() == 1) & (c > 0)).sum())
-            lengths = words.column("refs").value_lengths().to_numpy()
-            times = words.column("times").flatten().to_numpy()
-            held.append((words.column("refs").flatten().to_numpy(), times * np.repeat(np.log10(c + 1.0), lengths), times * np.repeat(c > 0, lengths)))
-            size += len(times)
+            v += int(((words.column("first").to_numpy() == stretch) & (c > 0)).sum())
+            rows, lengths = unpacked(words.column("payload"), POSTING)
+            held.append((np.repeat(stretch, lengths), rows["text"], rows["times"] * np.repeat(np.log10(c + 1.0), lengths), rows["times"] * np.repeat(c > 0, lengths)))
+            size += len(rows)
             if size >= POSTINGS_AT_ONCE:
                 yield summed(held)
                 held, size = [], 0
         if held:
             yield summed(held)
         if n or v:
-            one = [pa.array([x]) for x in (-1, 0.0, 0, n, v)]
-            yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], PART_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([False]), pa.array([b""], pa.binary()), pa.array([n]), pa.array([v])], schema=schema)
 
-    def summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        refs, logs, known = (np.concatenate(x) for x in zip(*held))
-        ref, at = np.unique(refs, return_inverse=True)
-        zero = pa.array(np.zeros(len(ref), np.int64))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ref),
-                pa.array(np.bincount(at, logs, len(ref))),
-                pa.array(np.bincount(at, known, len(ref)).astype(np.int64)),
-                zero,
-                zero,
-                pa.nulls(len(ref), pa.int64()),
-                pa.nulls(len(ref), pa.bool_()),
-                pa.nulls(len(ref), pa.int64()),
-                pa.nulls(len(ref), pa.float64()),
-            ],
-            PART_NAMES,
-        )
+    def summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        batch, text, logs, known = (np.concatenate(x) for x in zip(*held))
+        stretch, which = np.unique(batch, return_inverse=True)
+        key, where = np.unique(which.astype(np.int64) << 32 | text, return_inverse=True)
+        rows = np.empty(len(key), SUM)
+        rows["text"], rows["logs"], rows["known"] = key & 0xFFFFFFFF, np.bincount(where, logs, len(key)), np.bincount(where, known, len(key))
+        zero = pa.array(np.zeros(len(stretch), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(stretch), pa.array(np.zeros(len(stretch), bool)), packed(rows, np.searchsorted(key >> 32, np.arange(len(stretch) + 1))), zero, zero], schema=schema)
 
     return counted.mapInArrow(run, PARTS)
 
 
-PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+def gathered(parts: DataFrame) -> DataFrame:
+    """Of the rows of each stretch, side by side with that of its texts first, a row of each text; N and V as they are."""
+    schema = arrow(RESULT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text, logs, known, n, v = None, None, None, None, 0, 0
+        for batch in batches:
+            for stretch, of_texts, payload, own_n, own_v in zip(*(batch.column(c).to_pylist() for c in ("batch", "texts", "payload", "train_tokens", "distinct_words"))):
+                n, v = n + own_n, v + own_v
+                if stretch == -1:
+                    continue
+                if stretch != now:
+                    if now is not None:
+                        yield result(text, logs, known)
+                    now, text = stretch, np.frombuffer(payload, TEXT)
+                    logs, known = np.zeros(len(text)), np.zeros(len(text), np.int64)
+                if not of_texts:
+                    rows = np.frombuffer(payload, SUM)
+                    logs[rows["text"]] += rows["logs"]
+                    known[rows["text"]] += rows["known"]
+        if now is not None:
+            yield result(text, logs, known)
+        if n or v:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:-2] + [pa.array([n]), pa.array([v])], schema=schema)
+
+    def result(text: np.ndarray, logs: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(text), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(text["doc_id"], mask=~text["has_id"]), pa.array(text["held_out"]), pa.array(text["n_tokens"]), pa.array(text["score"]), pa.array(logs), pa.array(known), none, none], schema=schema
+        )
+
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, "batch").sortWithinPartitions("batch", F.desc("texts")).mapInArrow(run, RESULT)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -275,18 +308,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     empty table gives no row; without training rows every symbol has its share of the root prior. Only doc_id and text
     are read.
     """
-    small_batches(docs.sparkSession, 2000)
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"), F.monotonically_increasing_id().alias("ref")
     )
     words = postings(rows, train(rows))
     of_word = Window.partitionBy("word")
-    counted = words.select("*", F.sum("n").over(of_word).alias("c"), F.row_number().over(of_word.orderBy(F.desc("n"))).alias("nth"))
-    sums = ("logs", "known", "train_tokens", "distinct_words")
-    text = settle(contributions(counted).groupBy("ref").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "score")]))
-    total = text.where("ref = -1").first()
-    n, v = (total.train_tokens, total.distinct_words) if total else (0, 0)
-    return text.where("ref >= 0").select(
+    counted = words.select("*", F.sum("n").over(of_word).alias("c"), F.min("batch").over(of_word).alias("first"))
+    text = settle(gathered(contributions(counted)))
+    total = text.where("train_tokens is not null").agg(F.sum("train_tokens").alias("train_tokens"), F.sum("distinct_words").alias("distinct_words")).first()
+    n, v = total.train_tokens or 0, total.distinct_words or 0
+    return text.where("train_tokens is null").select(
         "doc_id",
         "held_out",
         "n_tokens",

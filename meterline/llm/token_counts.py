@@ -12,6 +12,7 @@ borders there; a text is the sum of its segments, and each worker keeps those it
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ UNKNOWN_PENALTY = 10.0
 BLANK = "▁"
 MOST_BYTES = 64 << 20
 #: Segments a worker keeps; when it is full, it starts anew. This bounds memory and changes no result.
-KEPT = 300_000
+KEPT = 500_000
 NORMAL = 1
 
 
@@ -87,33 +88,41 @@ class Counter:
         used = set().union(*lexicon)
         cut = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in used)
         self.segments = re.compile(f"{BLANK}+[^{BLANK}{cut}]*|[^{BLANK}{cut}]+|[{cut}]+").findall
-        self.kept: dict[str, tuple[int, int]] = {}
-
-    def segment(self, text: str) -> tuple[int, int]:
-        """(tokens, those that are bytes of unknown characters) on the best path."""
-        best = [0.0] + [-float("inf")] * len(text)
-        tokens, raw = [0] * (len(text) + 1), [0] * (len(text) + 1)
+        self.kept: dict[str, int] = {}
+
+    def segment(self, text: str) -> int:
+        """Tokens of the best path, plus 2^32 for each that is a byte of an unknown character.
+
+        Matches come by their end, and of one end the longest, which starts furthest left, first.
+        """
+        best = [0.0] + [-math.inf] * len(text)
+        tokens = [0] * (len(text) + 1)
+        if not self.single.issuperset(text):
+            return self.with_unknown(text, best, tokens)
+        for end, (size, score) in self.automaton.iter(text):
+            candidate = best[end + 1 - size] + score
+            if candidate > best[end + 1]:
+                best[end + 1] = candidate
+                tokens[end + 1] = tokens[end + 1 - size] + 1
+        return tokens[-1]
+
+    def with_unknown(self, text: str, best: list[float], tokens: list[int]) -> int:
         matches = iter(self.automaton.iter(text))
         ahead = next(matches, None)
-        for end in range(1, len(text) + 1):
-            own = []
-            while ahead is not None and ahead[0] == end - 1:
-                own.append(ahead[1])
+        for end, character in enumerate(text):
+            while ahead is not None and ahead[0] == end:
+                size, score = ahead[1]
+                candidate = best[end + 1 - size] + score
+                if candidate > best[end + 1]:
+                    best[end + 1], tokens[end + 1] = candidate, tokens[end + 1 - size] + 1
                 ahead = next(matches, None)
-            own.sort(reverse=True)  # the longest first: it starts furthest left
-            top, via = -float("inf"), 0
-            for size, score in own:
-                candidate = best[end - size] + score
-                if candidate > top:
-                    top, via = candidate, size
-            if text[end - 1] not in self.single and best[end - 1] + self.unknown > top:
-                size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                best[end], tokens[end], raw[end] = best[end - 1] + self.unknown, tokens[end - 1] + size, raw[end - 1] + size
-            else:
-                best[end], tokens[end], raw[end] = top, tokens[end - via] + 1, raw[end - via]
-        return tokens[-1], raw[-1]
+            if character not in self.single and best[end] + self.unknown > best[end + 1]:
+                size = len(character.encode("utf-8", "surrogatepass"))
+                best[end + 1], tokens[end + 1] = best[end] + self.unknown, tokens[end] + size + (size << 32)
+        return tokens[-1]
 
     def count(self, text: str) -> tuple[int, int]:
+        """(tokens, those that are bytes of unknown characters)."""
         if not text:
             return 0, 0
         found = self.segments((BLANK + text).replace(" ", BLANK))
@@ -126,11 +135,11 @@ class Counter:
                 if v is None:
                     s = found[i]
                     v = kept.get(s)
-                    values[i] = v if v is not None else self.segment(s)
+                    values[i] = v = self.segment(s) if v is None else v
                     if len(s) <= 64:
-                        kept[s] = values[i]
-        n, raw = zip(*values)
-        return sum(n), sum(raw)
+                        kept[s] = v
+        n = sum(values)
+        return n & 0xFFFFFFFF, n >> 32
 
 
 @cache

@@ -155,7 +155,7 @@ def test_suffix_tree_is_a_distribution_and_uses_longest_suffixes(spark):
             total += tree.log[state, tree.of_byte[text[at]]]
         return total
 
-    assert tree.score(lists) == pytest.approx([plain(t) for t in lists], rel=1e-5)
+    assert tree.score([b" ".join(t) for t in lists]) == pytest.approx([plain(t) for t in lists], rel=1e-5)
 
 
 def test_odd_documents_are_scored(spark):
