@@ -5,13 +5,20 @@ sequence with its end. Counts of DEPTH + 1 bytes are gathered from all training
 share of all symbols is P_MIN or more, which bounds the tree by 1 / P_MIN contexts a depth whatever the corpus. It is
 retained if its next-symbol distribution diverges from that of its longest proper suffix by MIN_DIVERGENCE; suffixes
 of retained contexts stay as inner states. Distributions are smoothed towards those of their suffix. A symbol is
-scored by the state that is the longest suffix of what stands before it. The word counts of the unigram baseline meet
-their documents by one shuffle of postings.
+scored by the state that is the longest suffix of what stands before it.
+
+The unigram baseline needs each word's count beside its texts. Words that are frequent in a sample (at most
+1 / FREQUENT_SHARE) are counted in the pass over the grams, and their counts are broadcast; the counts of all others meet
+their texts by one shuffle of postings. So no word's postings grow to a group of more than about that share of all
+tokens; which words are frequent decides the way only, no result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +32,9 @@ DEPTH, P_MIN, MIN_DIVERGENCE = 6, 1e-5, 1e-2
 #: Weight of the suffix's distribution, for each different next symbol of a context (Witten and Bell's choice is 1).
 PRIOR = 2.0
 ROOT_PRIOR = 0.01
-END, SPACE = 10, 32
+END = b"\n"
+#: Words are sampled from about that many rows; those with that share or more of its tokens are frequent.
+SAMPLE_ROWS, FREQUENT_SHARE, FREQUENT_BYTES = 20_000, 2e-5, 64
 SYMBOLS_AT_ONCE = 1 << 22
 POSTINGS_AT_ONCE = 1 << 20
 BYTES_AT_ONCE = 6 << 20
@@ -36,21 +45,47 @@ def sequence(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A text is its words joined by one space.
     """
-    data = np.frombuffer(b"".join(b"\n" * DEPTH + t + b"\n" for t in joined), np.uint8)
+    data = np.frombuffer(b"".join(END * DEPTH + t + END for t in joined), np.uint8)
     own = np.array([len(t) + 1 for t in joined], np.int64)
     start = np.concatenate([[0], np.cumsum(own)[:-1]])
     return data, np.arange(own.sum()) + np.repeat(np.arange(1, len(own) + 1) * DEPTH, own), start
 
 
-def grams(docs: DataFrame) -> DataFrame:
-    """(gram long, n long): DEPTH + 1 bytes and how often they occur, over all rows that have train."""
+def frequent_words(docs: DataFrame) -> list[bytes]:
+    """The end, and the words that are frequent in a sample of docs: ref, text. At most 1 / FREQUENT_SHARE + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = Counter(chain.from_iterable(t.lower().split() for t in texts(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("ref"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    counts = settle(sample.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.where((F.col("n") >= FREQUENT_SHARE * total) & (F.length("word") <= FREQUENT_BYTES)).select("word").collect()
+    return [END, *sorted(bytes(r.word) for r in found)]
+
+
+def grams(docs: DataFrame, frequent: list[bytes] | None = None) -> DataFrame:
+    """(gram long, n long): DEPTH + 1 bytes and how often they occur, over all rows that have train.
+
+    Gram -1 - i stands for the i-th frequent word.
+    """
+    number = {w: i for i, w in enumerate(frequent or [])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            joined = [b" ".join(t.lower().split()) for t, train in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if train]
-            if not joined:
+            words = [t.lower().split() for t, train in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if train]
+            if not words:
                 continue
+            if number:
+                found = np.fromiter(map(number.get, chain(chain.from_iterable(words), repeat(END, len(words))), repeat(-1)), np.int64)
+                n = np.bincount(found[found >= 0], minlength=len(number))
+                own = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - own), pa.array(n[own])], ["gram", "n"])
+            joined = [b" ".join(w) for w in words]
             data, at, _ = sequence(joined)
             key = np.zeros(len(at), np.int64)
             for back in range(DEPTH, -1, -1):
@@ -74,7 +109,7 @@ def candidates(full: DataFrame) -> pa.Table:
 
     At most 256 / P_MIN rows a depth come to the driver.
     """
-    full = settle(full)
+    full = full.where("gram >= 0")
     total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")) for d in range(DEPTH + 1)])
     at = full.select(F.explode(levels).alias("x"), "n").groupBy("x.depth", "x.gram").agg(F.sum("n").alias("n"))
@@ -147,9 +182,19 @@ class Tree:
         return np.add.reduceat(out, start)
 
 
-def train(docs: DataFrame) -> Tree:
-    """docs has text and train."""
-    return Tree(candidates(grams(docs)))
+class Model(NamedTuple):
+    tree: Tree
+    frequent: list[bytes]
+    counts: np.ndarray  # of the frequent words, over all training texts
+
+
+def train(docs: DataFrame) -> Model:
+    """docs has ref, text and train."""
+    frequent = frequent_words(docs.where("train"))
+    full = settle(grams(docs, frequent))
+    own, counts = full.where("gram < 0").toArrow(), np.zeros(len(frequent), np.int64)
+    counts[-1 - own.column("gram").to_numpy()] = own.column("n").to_numpy()
+    return Model(Tree(candidates(full)), frequent, counts)
 
 
 WORDS = "word binary, n long, batch long, texts boolean, payload binary"
@@ -157,7 +202,7 @@ PARTS = "batch long, texts boolean, payload binary, train_tokens long, distinct_
 RESULT = "doc_id long, held_out boolean, n_tokens long, score double, logs double, known long, train_tokens long, distinct_words long"
 # Payloads are rows of these side by side: Spark moves one binary value where it would copy lists item by item.
 POSTING = np.dtype([("text", "<u4"), ("times", "<u4")])
-TEXT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("score", "<f8")])
+TEXT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("score", "<f8"), ("logs", "<f8"), ("known", "<i8")])
 SUM = np.dtype([("text", "<u4"), ("logs", "<f8"), ("known", "<i8")])
 
 
@@ -178,41 +223,50 @@ def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // kind.itemsize
 
 
-def postings(docs: DataFrame, tree: Tree) -> DataFrame:
-    """Of each stretch of texts: a row for each word, with its training count and postings; and a row of all its texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def postings(docs: DataFrame, model: Model) -> DataFrame:
+    """Of each stretch of texts: a row for each word, with its training count and postings; and a row of all its texts.
+
+    Frequent words have no rows; their part of the baseline is in the row of the texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        frequent = {w: i for i, w in enumerate(shared.value.frequent)}
         for batch in batches:
             held.append(batch)
             if sum(x.nbytes for x in held) >= BYTES_AT_ONCE:
-                yield from stretch(pa.Table.from_batches(held))
+                yield from stretch(pa.Table.from_batches(held), frequent)
                 held = []
         if sum(x.num_rows for x in held):
-            yield from stretch(pa.Table.from_batches(held))
+            yield from stretch(pa.Table.from_batches(held), frequent)
 
-    def stretch(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def stretch(rows: pa.Table, frequent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         own = {c: rows.column(c).combine_chunks() for c in rows.column_names}
-        joined, codes, number = [], [], {}
+        joined, codes, number, counts = [], [], frequent.copy(), shared.value.counts
         for t in texts(own["text"]):
             words = t.lower().split()
             joined.append(b" ".join(words))
-            words.append(b"\n")
+            words.append(END)
             codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
         docs_here, length = len(joined), np.array([len(c) for c in codes])
         first_ref, train = own["ref"][0].as_py(), own["train"].to_numpy(zero_copy_only=False).astype(bool)
-        pair, times = np.unique(np.concatenate(codes).astype(np.int64) * docs_here + np.repeat(np.arange(docs_here), length), return_counts=True)
+        code, of_text = np.concatenate(codes).astype(np.int64), np.repeat(np.arange(docs_here), length)
         del codes
+        text = np.empty(docs_here, TEXT)
+        usual = code < len(frequent)
+        text["logs"] = np.bincount(of_text[usual], np.log10(counts + 1.0)[code[usual]], docs_here)
+        text["known"] = np.bincount(of_text[usual], (counts > 0)[code[usual]], docs_here)
+        words = list(number)[len(frequent) :]
+        pair, times = np.unique((code[~usual] - len(frequent)) * docs_here + of_text[~usual], return_counts=True)
         found = np.empty(len(pair), POSTING)
         found["text"], found["times"] = pair % docs_here, times
-        cut = np.searchsorted(pair, np.arange(len(number) + 1) * docs_here)
-        n = np.add.reduceat(times * train[found["text"]], cut[:-1])
+        cut = np.searchsorted(pair, np.arange(len(words) + 1) * docs_here)
+        n = np.add.reduceat(times * train[found["text"]], cut[:-1]) if words else np.zeros(0, np.int64)
         schema = arrow(WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()), pa.array(n), pa.array(np.full(len(n), first_ref)), pa.array(np.zeros(len(n), bool)), packed(found, cut)], schema=schema)
-        text = np.empty(docs_here, TEXT)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(np.full(len(n), first_ref)), pa.array(np.zeros(len(n), bool)), packed(found, cut)], schema=schema)
         text["doc_id"], text["has_id"] = own["doc_id"].fill_null(0).to_numpy(), own["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-        text["held_out"], text["n_tokens"], text["score"] = ~train, length, shared.value.score(joined)
+        text["held_out"], text["n_tokens"], text["score"] = ~train, length, shared.value.tree.score(joined)
         yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % first_ref], pa.binary()), pa.array([0]), pa.array([first_ref]), pa.array([True]), pa.array([text.tobytes()], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, WORDS)
@@ -280,7 +334,7 @@ def gathered(parts: DataFrame) -> DataFrame:
                     if now is not None:
                         yield result(text, logs, known)
                     now, text = stretch, np.frombuffer(payload, TEXT)
-                    logs, known = np.zeros(len(text)), np.zeros(len(text), np.int64)
+                    logs, known = text["logs"].copy(), text["known"].copy()
                 if not of_texts:
                     rows = np.frombuffer(payload, SUM)
                     logs[rows["text"]] += rows["logs"]
@@ -312,12 +366,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"), F.monotonically_increasing_id().alias("ref")
     )
-    words = postings(rows, train(rows))
+    model = train(rows)
+    words = postings(rows, model)
     of_word = Window.partitionBy("word")
     counted = words.select("*", F.sum("n").over(of_word).alias("c"), F.min("batch").over(of_word).alias("first"))
     text = settle(gathered(contributions(counted)))
     total = text.where("train_tokens is not null").agg(F.sum("train_tokens").alias("train_tokens"), F.sum("distinct_words").alias("distinct_words")).first()
-    n, v = total.train_tokens or 0, total.distinct_words or 0
+    n, v = (total.train_tokens or 0) + int(model.counts.sum()), (total.distinct_words or 0) + int((model.counts > 0).sum())
     return text.where("train_tokens is null").select(
         "doc_id",
         "held_out",

@@ -122,7 +122,9 @@ def plain_base(rows) -> dict[int, tuple[int, int, float]]:
     return {i: (len(own), sum(count[t] > 0 for t in own), sum(np.log10((count[t] + 1) / (n + v + 1)) for t in own), n) for i, own in tokens.items()}
 
 
-def test_unigram_base_and_better_scores(spark):
+@pytest.mark.parametrize("share", [2.0, 1e-3, 0.0], ids=["none_frequent", "some", "all"])
+def test_unigram_base_and_better_scores(spark, monkeypatch, share):
+    monkeypatch.setattr(suffix_tree, "FREQUENT_SHARE", share)
     docs = sample(spark, DATA)
     got = suffix_tree.lm_scores(docs).collect()
     expected = plain_base(docs.collect())
