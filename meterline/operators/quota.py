@@ -20,6 +20,16 @@ def latest(observations: DataFrame) -> DataFrame:
     return observations.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+#: What the reference lists of an account at most (src/store/account_repository.rs:646).
+NEWEST = 1_000
+
+
+def newest(observations: DataFrame, limit: int = NEWEST) -> DataFrame:
+    """The newest readings of each account, `limit` at most."""
+    order = Window.partitionBy("account").orderBy(F.desc("observed_at"), F.desc("event_id"))
+    return observations.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+
 def current_cycle(observations: DataFrame) -> DataFrame:
     """Of each account: the readings at the end that share one boundary, from the first to the last of them.
 

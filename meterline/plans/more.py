@@ -106,9 +106,14 @@ def alias_latest(x: Ledger) -> DataFrame:
 
 @query("newest_quota_readings", "select account, event_id, used_percent from (select *, row_number() over (partition by account order by observed_at desc, event_id desc) n from quota) where n <= 20")
 def newest_quota_readings(x: Ledger) -> DataFrame:
-    """The newest readings of each account: a top-k."""
-    n = F.row_number().over(Window.partitionBy("account").orderBy(F.desc("observed_at"), F.desc("event_id")))
-    return x.quota.withColumn("n", n).where("n <= 20").select("account", "event_id", "used_percent")
+    """The newest 20 readings of each account. The reference's list, of 1,000, is quota_readings_listed."""
+    return quota.newest(x.quota, 20).select("account", "event_id", "used_percent")
+
+
+@query("quota_readings_listed", "select account, event_id, used_percent from (select *, row_number() over (partition by account order by observed_at desc, event_id desc) n from quota) where n <= 1000")
+def quota_readings_listed(x: Ledger) -> DataFrame:
+    """The newest readings of each account, as many as the reference lists."""
+    return quota.newest(x.quota).select("account", "event_id", "used_percent")
 
 
 @query("quota_changes_only", "select event_id, used_percent from (select *, lag(used_percent) over (partition by account order by observed_at, event_id) b from quota) where used_percent is distinct from b")

@@ -103,3 +103,10 @@ def test_coverage_is_the_intersection(spark):
 def test_repeats_and_remaps(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, "x")], "k string, n int, payload string")
     assert [r.n for r in maintenance.without_repeats(rows, "k", "payload", "n").orderBy("n").collect()] == [1, 3, 4]
+
+
+def test_newest_readings_are_as_many_as_the_reference_lists(spark):
+    frame = spark.range(2200).selectExpr("concat('a', id % 2) account", "timestamp_ntz'2026-08-01' + make_dt_interval(0, 0, id div 4) observed_at", "id event_id")
+    got = {(r.account, r.event_id) for r in quota.newest(frame).collect()}
+    assert got == {(f"a{i % 2}", i) for i in range(200, 2200)}
+    assert quota.newest(frame, 20).count() == 40
