@@ -13,21 +13,34 @@ CACHE_WRITES = ("cache_write_input_tokens", "cache_write_tokens", "input_cache_w
 PARENT = "$.payload.source.subagent.thread_spawn"
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "rollout-*.jsonl") -> DataFrame:
-    """(source, line_no, line) of files under a folder. A file is read as a whole, as a line's place is its identity.
-
-    Only lines that end are records; the rest of a file that is still written to is left out.
-    """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").format("text").load(path).select(F.col("_metadata.file_path").alias("source"), "value")
+def ended_lines(files: DataFrame) -> DataFrame:
+    """Files of (source, value) as lines. Only lines that end are records; what is still being written is left out."""
     lines = F.split(F.regexp_replace("value", r"[^\n]*\z", ""), "\n")
-    return files.select("source", F.posexplode(lines).alias("line_no", "line")).where("line <> ''").select("source", F.col("line_no").cast("long").alias("line_no"), F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
+    rows = files.select("source", F.posexplode(lines).alias("line_no", "line")).where("line <> ''")
+    return rows.select("source", F.col("line_no").cast("long").alias("line_no"), F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "rollout-*.jsonl") -> DataFrame:
+    """(source, line_no, line) of files under a folder, or of some files. A file is read as a whole, as a line's place is
+    its identity."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").format("text").load(path)
+    return ended_lines(files.select(F.col("_metadata.file_path").alias("source"), "value"))
+
+
+def written_files(spark: SparkSession, path: str, pattern: str = "rollout-*.jsonl") -> DataFrame:
+    """(source, identity, length, path) of the files under a folder, without their contents."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).format("binaryFile").load(path)
+    source = F.col("_metadata.file_path")
+    return files.select(source.alias("source"), source.alias("identity"), "length", "path")
 
 
 def stream_lines(spark: SparkSession, path: str, pattern: str = "rollout-*.jsonl", files_per_trigger: int = 64) -> DataFrame:
-    """The same as a stream of new files; whole files arrive together, so that a file's order is known."""
+    """read_lines as a stream of new files; whole files arrive together, so that a file's order is known.
+
+    The file source takes each path once, so this is for files that grow no more; ingest_folder reads those that grow.
+    """
     reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger)
-    files = reader.load(path).select(F.col("_metadata.file_path").alias("source"), "value")
-    return files.select("source", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''").withColumn("line_no", F.col("line_no").cast("long"))
+    return ended_lines(reader.load(path).select(F.col("_metadata.file_path").alias("source"), "value"))
 
 
 def _number(path: str, line: str) -> Column:

@@ -2,37 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.time import local_day
 from ..functions.tokens import MEASURES
-from ..sources.logs import records
+from ..sources import discovery
+from ..sources.logs import read_lines, records, written_files
 from .machines import guarded
 
 LATE, WATERMARK = "7 days", "5 seconds"
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:  # the table's first batch
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
+def append_new(lines: DataFrame, facts: str, generations: DataFrame | None = None) -> None:
+    """Appends the facts of whole files that the table lacks.
+
+    generations has (source, generation): how often a file was replaced. Its lines are new ones from then on.
+    """
+    new, key = guarded(records(lines)), F.concat_ws("\x1f", "source", F.col("line_no").cast("string"))
+    if generations is not None:
+        new = new.join(generations, "source", "left")
+        key = F.concat_ws("\x1f", key, F.when(F.col("generation") > 0, F.col("generation").cast("string")))
+    new = new.withColumn("event_id", F.sha2(key, 256)).withColumn("local_day", local_day(F.col("at").cast("timestamp_ntz"))).drop("generation")
+    known = stored(lines.sparkSession, facts)
+    if known is not None:
+        new = new.join(known.select("event_id"), "event_id", "left_anti")
+    new.write.mode("append").partitionBy("local_day").parquet(facts)
+
+
 def ingest(lines: DataFrame, facts: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Runs the replay guard over each micro-batch of whole files and appends facts that the table lacks.
 
     The batch's number and the facts' own keys make a repeated batch write nothing new. The table is partitioned by
-    local day, so that later queries prune it.
+    local day, so that later queries prune it. Files that grow are ingest_folder's.
     """
+    return lines.writeStream.foreachBatch(lambda batch, _: append_new(batch, facts)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    def store(batch: DataFrame, _: int) -> None:
-        new = guarded(records(batch)).withColumn("event_id", F.sha2(F.concat_ws("\x1f", "source", F.col("line_no").cast("string")), 256)).withColumn("local_day", local_day(F.col("at").cast("timestamp_ntz")))
-        try:
-            known = batch.sparkSession.read.parquet(facts)
-        except Exception as error:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            new = new.join(known.select("event_id"), "event_id", "left_anti")
-        new.write.mode("append").partitionBy("local_day").parquet(facts)
-
-    return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def ingest_folder(spark: SparkSession, path: str, facts: str, cursors: str, pattern: str = "rollout-*.jsonl") -> int:
+    """Appends the facts of all files under a folder whose written length isn't that of the last run; how many there were.
+
+    A changed file is read whole, and the facts' keys leave out what is stored; a file that became shorter was replaced,
+    and all of it is new. Cursors are written after the facts, so that a run that breaks off is repeated. The paths to
+    read come to the driver, which lists them anyway. One run at a time may write to a table.
+    """
+    schema = "source string, identity string, `offset` long, generation long, run long"
+    log = stored(spark, cursors)
+    log = spark.createDataFrame([], schema) if log is None else log
+    last = log.groupBy("source").agg(F.max_by(F.struct("identity", "offset", "generation", "run"), "run").alias("c")).select("source", "c.*")
+    run = (log.agg(F.max("run")).first()[0] or 0) + 1
+    files = written_files(spark, path, pattern)
+    rows = discovery.pending(files.drop("path"), last).join(files.select("source", "path"), "source").join(last.select("source", "generation"), "source", "left")
+    rows = rows.select("*", (F.coalesce("generation", F.lit(0)) + (F.col("length") < F.col("offset")).cast("long")).alias("now")).collect()
+    if not rows:
+        return 0
+    changed = spark.createDataFrame([(r.source, r.identity, r.length, r.now, run) for r in rows], schema)
+    append_new(read_lines(spark, [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in rows], pattern), facts, changed.select("source", "generation"))
+    changed.write.mode("append").parquet(cursors)
+    return len(rows)
 
 
 def hourly(facts: DataFrame, at: str = "source_timestamp") -> DataFrame:
