@@ -1,11 +1,14 @@
 """Language-model scoring with a probabilistic suffix tree over bytes (operator 7).
 
 A text is its lower-cased words joined by one space and closed by a line feed, so its probability is that of the word
-sequence with its end. Counts of DEPTH + 1 bytes are gathered from all training texts. A context is a candidate if its
-share of all symbols is P_MIN or more, which bounds the tree by 1 / P_MIN contexts a depth whatever the corpus. It is
-retained if its next-symbol distribution diverges from that of its longest proper suffix by MIN_DIVERGENCE; suffixes
-of retained contexts stay as inner states. Distributions are smoothed towards those of their suffix. A symbol is
-scored by the state that is the longest suffix of what stands before it.
+sequence with its end. Counts of DEPTH + 1 bytes are gathered from all training texts. A context is a candidate if it occurs MIN_COUNT times,
+so that the tree grows with the corpus. It is retained if its next-symbol distribution diverges from that of its longest
+proper suffix by MIN_DIVERGENCE; suffixes of retained contexts stay as inner states. Distributions are smoothed towards
+those of their suffix. A symbol is scored by the state that is the longest suffix of what stands before it.
+
+The tree is never in one place: its levels are tables, smoothed and tested depth by depth by joins of a gram with its
+suffix. The probability of each distinct gram meets the texts as a word's count does (below). A gram's key is one long,
+which bounds contexts to seven bytes.
 
 The unigram baseline needs each word's count beside its texts. Words that are frequent in a sample (at most
 1 / FREQUENT_SHARE) are counted in the pass over the grams, and their counts are broadcast; the counts of all others meet
@@ -23,18 +26,20 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, settle, small_batches, texts
 
-DEPTH, P_MIN, MIN_DIVERGENCE = 6, 1e-5, 1e-2
+DEPTH, MIN_COUNT, MIN_DIVERGENCE = 7, 3, 1e-2
 #: Weight of the suffix's distribution, for each different next symbol of a context (Witten and Bell's choice is 1).
 PRIOR = 2.0
 ROOT_PRIOR = 0.01
 END = b"\n"
 #: Words are sampled from about that many rows; those with that share or more of its tokens are frequent.
 SAMPLE_ROWS, FREQUENT_SHARE, FREQUENT_BYTES = 20_000, 2e-5, 64
+#: Grams with that share or more of all symbols are broadcast with their probabilities.
+FREQUENT_GRAM_SHARE = 2e-6
 SYMBOLS_AT_ONCE = 1 << 22
 POSTINGS_AT_ONCE = 1 << 20
 BYTES_AT_ONCE = 6 << 20
@@ -67,58 +72,103 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
     return [END, *sorted(bytes(r.word) for r in found)]
 
 
+def keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The symbols at some positions with the DEPTH bytes before each, as longs."""
+    key = np.zeros(len(at), np.int64)
+    for back in range(DEPTH, -1, -1):
+        key = (key << 8) | data[at - back]
+    return key
+
+
 def grams(docs: DataFrame, frequent: list[bytes] | None = None) -> DataFrame:
-    """(gram long, n long): DEPTH + 1 bytes and how often they occur, over all rows that have train.
+    """(gram long, word boolean, n long, m long): DEPTH + 1 bytes, how often they occur over all rows that have train,
+    and over all rows.
 
-    Gram -1 - i stands for the i-th frequent word.
+    Rows of words are those of the frequent ones, by their place.
     """
     number = {w: i for i, w in enumerate(frequent or [])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
         for batch in batches:
-            words = [t.lower().split() for t, train in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if train]
-            if not words:
-                continue
-            if number:
-                found = np.fromiter(map(number.get, chain(chain.from_iterable(words), repeat(END, len(words))), repeat(-1)), np.int64)
-                n = np.bincount(found[found >= 0], minlength=len(number))
-                own = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - own), pa.array(n[own])], ["gram", "n"])
-            joined = [b" ".join(w) for w in words]
-            data, at, _ = sequence(joined)
-            key = np.zeros(len(at), np.int64)
-            for back in range(DEPTH, -1, -1):
-                key = (key << 8) | data[at - back]
-            held.append(key)
-            if sum(map(len, held)) >= SYMBOLS_AT_ONCE:
-                yield counted(held)
-                held = []
-        if held:
-            yield counted(held)
+            for train, own in held.items():
+                words = [t.lower().split() for t, x in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if x == train]
+                if not words:
+                    continue
+                if number and train:
+                    found = np.fromiter(map(number.get, chain(chain.from_iterable(words), repeat(END, len(words))), repeat(-1)), np.int64)
+                    n = np.bincount(found[found >= 0], minlength=len(number))
+                    there = np.flatnonzero(n)
+                    yield rows(there, n[there], n[there], True)
+                data, at, _ = sequence([b" ".join(w) for w in words])
+                own.append(keys(data, at))
+                if sum(map(len, own)) >= SYMBOLS_AT_ONCE:
+                    yield counted(own, train)
+                    own.clear()
+        for train, own in held.items():
+            if own:
+                yield counted(own, train)
+
+    def counted(held: list[np.ndarray], train: bool) -> pa.RecordBatch:
+        values, m = np.unique(np.concatenate(held), return_counts=True)
+        return rows(values, m * train, m, False)
+
+    def rows(gram: np.ndarray, n: np.ndarray, m: np.ndarray, word: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), word)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], ["gram", "word", "n", "m"])
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["gram", "n"])
+    return docs.select("text", "train").mapInArrow(run, "gram long, word boolean, n long, m long").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-    return docs.select("text", "train").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def low(column: str, bytes_: int) -> Column:
+    """The last bytes of a gram or context."""
+    return F.col(column) if bytes_ >= 8 else F.col(column).bitwiseAND(F.lit((1 << 8 * bytes_) - 1))
 
 
 def candidates(full: DataFrame) -> pa.Table:
-    """(depth, gram, n) of each context of P_MIN of all symbols or more, gram being the context and the next symbol.
+    """(depth, gram, n) of each context of MIN_COUNT symbols or more, for a Tree of a small corpus, which tests compare."""
+    full = full.where("not word and n > 0")
+    levels = F.array(*[F.struct(F.lit(d).alias("depth"), low("gram", d + 1).alias("gram")) for d in range(DEPTH + 1)])
+    at = full.select(F.explode(levels).alias("x"), "n").groupBy("x.depth", "x.gram").agg(F.sum("n").alias("n"))
+    context = Window.partitionBy("depth", F.shiftrightunsigned("gram", 8))
+    return at.withColumn("of", F.sum("n").over(context)).where(F.col("of") >= MIN_COUNT).select("depth", "gram", "n").toArrow()
 
-    At most 256 / P_MIN rows a depth come to the driver.
+
+def probabilities(full: DataFrame) -> DataFrame:
+    """(gram, m, log) of each gram: log10 of its symbol's probability in the state of its context.
+
+    Level d has the grams of d + 1 bytes. A group of a join or window is the symbols after one context, or the bytes
+    before one gram: 256 rows at most.
     """
-    full = full.where("gram >= 0")
-    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")) for d in range(DEPTH + 1)])
-    at = full.select(F.explode(levels).alias("x"), "n").groupBy("x.depth", "x.gram").agg(F.sum("n").alias("n"))
-    context = Window.partitionBy("depth", F.shiftright("gram", 8))
-    return at.withColumn("of", F.sum("n").over(context)).where(F.col("of") >= P_MIN * total).select("depth", "gram", "n").toArrow()
+    levels = {DEPTH: full.where("not word").select("gram", "n")}
+    for d in range(DEPTH - 1, -1, -1):
+        levels[d] = settle(levels[d + 1].groupBy(low("gram", d + 1).alias("gram")).agg(F.sum("n").alias("n")))
+    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    smooth = {0: settle(levels[0].select("gram", ((F.col("n") + ROOT_PRIOR) / F.lit(total + 256 * ROOT_PRIOR)).alias("p")))}
+    context, seen = Window.partitionBy("context"), F.col("n") > 0
+    for d in range(1, DEPTH + 1):
+        rows = levels[d].withColumn("suffix", low("gram", d)).join(smooth[d - 1].select(F.col("gram").alias("suffix"), F.col("p").alias("up")), "suffix")
+        rows = rows.withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("of", F.sum("n").over(context)).withColumn("prior", PRIOR * F.count(F.when(seen, 1)).over(context))
+        p = (F.col("n") + F.col("prior") * F.col("up")) / (F.col("of") + F.col("prior"))
+        rows = rows.withColumn("p", F.when(F.col("of") >= MIN_COUNT, p).otherwise(F.col("up")))
+        # the symbols that a context lacks all have the same share of what its suffix gives them
+        rest = F.col("prior") / (F.col("of") + F.col("prior"))
+        divergence = F.sum(F.when(seen, F.col("p") * F.log(F.col("p") / F.col("up"))).otherwise(0.0)).over(context) + rest * F.log(rest) * (1 - F.sum(F.when(seen, F.col("up")).otherwise(0.0)).over(context))
+        rows = rows.withColumn("keep", F.when(F.col("of") >= MIN_COUNT, divergence >= MIN_DIVERGENCE).otherwise(False))
+        smooth[d] = settle(rows.select("gram", "context", "p", "keep"))
+    kept: dict[int, DataFrame] = {}
+    for d in range(DEPTH, 0, -1):
+        own = smooth[d].where("keep").select("context")
+        kept[d] = settle((own.union(kept[d + 1].select(low("context", d).alias("context"))) if d < DEPTH else own).distinct())
+    out = smooth[0].select("gram", "p")
+    for d in range(1, DEPTH + 1):
+        up = out.select(F.col("gram").alias("suffix"), F.col("p").alias("up"))
+        rows = smooth[d].withColumn("suffix", low("gram", d)).join(up, "suffix").join(kept[d].withColumn("state", F.lit(True)), "context", "left")
+        out = rows.select("gram", F.when(F.col("state"), F.col("p")).otherwise(F.col("up")).alias("p"))
+    return settle(out.join(full.where("not word").select("gram", "m"), "gram").select("gram", "m", F.log10("p").alias("log")))
 
 
 class Tree:
-    """States of the suffix tree: child[state, class of the byte before the context], log10 probabilities [state, class].
+    """States of the suffix tree of a small corpus, in one place: child[state, class of the byte before the context], log10 probabilities [state, class].
 
     Bytes that training texts lack share one class, whose probability is split evenly among them.
     """
@@ -151,7 +201,7 @@ class Tree:
                 keep.append(float((p * np.log(p / probability[up])).sum()) >= MIN_DIVERGENCE)
                 probability.append(p)
                 parent.append(up)
-                symbol.append(int(self.of_byte[c >> 8 * (d - 1)]))
+                symbol.append(int(self.of_byte[c >> 8 * (d - 1) & 255]))
         for i in range(len(parent) - 1, 0, -1):  # suffixes of retained contexts; a state comes after its parent
             if keep[i]:
                 keep[parent[i]] = True
@@ -183,27 +233,34 @@ class Tree:
 
 
 class Model(NamedTuple):
-    tree: Tree
     frequent: list[bytes]
     counts: np.ndarray  # of the frequent words, over all training texts
+    gram: np.ndarray  # the frequent grams, in order
+    log: np.ndarray  # of their probabilities
 
 
-def train(docs: DataFrame) -> Model:
-    """docs has ref, text and train."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """docs has ref, text and train. Beside the model, (gram, log) of the grams that aren't frequent."""
     frequent = frequent_words(docs.where("train"))
     full = settle(grams(docs, frequent))
-    own, counts = full.where("gram < 0").toArrow(), np.zeros(len(frequent), np.int64)
-    counts[-1 - own.column("gram").to_numpy()] = own.column("n").to_numpy()
-    return Model(Tree(candidates(full)), frequent, counts)
-
-
-WORDS = "word binary, n long, batch long, texts boolean, payload binary"
+    own, counts = full.where("word").toArrow(), np.zeros(len(frequent), np.int64)
+    counts[own.column("gram").to_numpy()] = own.column("n").to_numpy()
+    scored = probabilities(full)
+    total = scored.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    usual = F.col("m") >= FREQUENT_GRAM_SHARE * total
+    found = scored.where(usual).select("gram", "log").toArrow()
+    gram, log = found.column("gram").to_numpy(), found.column("log").to_numpy()
+    order = np.argsort(gram)
+    return Model(frequent, counts, gram[order], log[order]), scored.where(~usual).select("gram", "log")
+
+
+WORDS = "word binary, n long, batch long, texts boolean, payload binary, log double"
 PARTS = "batch long, texts boolean, payload binary, train_tokens long, distinct_words long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, score double, logs double, known long, train_tokens long, distinct_words long"
 # Payloads are rows of these side by side: Spark moves one binary value where it would copy lists item by item.
 POSTING = np.dtype([("text", "<u4"), ("times", "<u4")])
 TEXT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("score", "<f8"), ("logs", "<f8"), ("known", "<i8")])
-SUM = np.dtype([("text", "<u4"), ("logs", "<f8"), ("known", "<i8")])
+SUM = np.dtype([("text", "<u4"), ("logs", "<f8"), ("known", "<i8"), ("score", "<f8")])
 
 
 def arrow(schema: str) -> pa.Schema:
@@ -223,10 +280,22 @@ def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // kind.itemsize
 
 
+def gram_words(gram: np.ndarray) -> pa.Array:
+    """The words that stand for grams: no word of a text has a line feed."""
+    out = np.full((len(gram), 10), END[0], np.uint8)
+    out[:, 2:] = gram.astype(">i8").view(np.uint8).reshape(-1, 8)
+    return packed(out.reshape(-1), np.arange(len(gram) + 1) * 10)
+
+
+def gram_word(gram: str) -> Column:
+    return F.concat(F.lit(bytearray(END * 2)), F.unhex(F.lpad(F.hex(gram), 16, "0")))
+
+
 def postings(docs: DataFrame, model: Model) -> DataFrame:
     """Of each stretch of texts: a row for each word, with its training count and postings; and a row of all its texts.
 
-    Frequent words have no rows; their part of the baseline is in the row of the texts.
+    A gram of the texts has a row as a word has. Frequent words and grams have none; their part of the base and score is
+    in the row of the texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -264,10 +333,33 @@ def postings(docs: DataFrame, model: Model) -> DataFrame:
         cut = np.searchsorted(pair, np.arange(len(words) + 1) * docs_here)
         n = np.add.reduceat(times * train[found["text"]], cut[:-1]) if words else np.zeros(0, np.int64)
         schema = arrow(WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(np.full(len(n), first_ref)), pa.array(np.zeros(len(n), bool)), packed(found, cut)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(np.full(len(n), first_ref)), pa.array(np.zeros(len(n), bool)), packed(found, cut), pa.nulls(len(n), pa.float64())], schema=schema)
+        score, gram, found, cut = gram_postings(joined)
+        yield pa.RecordBatch.from_arrays([gram_words(gram), pa.array(np.zeros(len(gram), np.int64)), pa.array(np.full(len(gram), first_ref)), pa.array(np.zeros(len(gram), bool)), packed(found, cut), pa.nulls(len(gram), pa.float64())], schema=schema)
         text["doc_id"], text["has_id"] = own["doc_id"].fill_null(0).to_numpy(), own["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-        text["held_out"], text["n_tokens"], text["score"] = ~train, length, shared.value.tree.score(joined)
-        yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % first_ref], pa.binary()), pa.array([0]), pa.array([first_ref]), pa.array([True]), pa.array([text.tobytes()], pa.binary())], schema=schema)
+        text["held_out"], text["n_tokens"], text["score"] = ~train, length, score
+        yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % first_ref], pa.binary()), pa.array([0]), pa.array([first_ref]), pa.array([True]), pa.array([text.tobytes()], pa.binary()), pa.nulls(1, pa.float64())], schema=schema)
+
+    def gram_postings(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(what the frequent grams give each text, the other grams, their postings, the cuts between those)."""
+        data, at, start = sequence(joined)
+        key, of_text = keys(data, at), np.repeat(np.arange(len(joined), dtype=np.uint32), np.diff(np.append(start, len(at))))
+        usual, log = shared.value.gram, np.append(shared.value.log, 0.0)
+        where = np.searchsorted(usual, key)
+        there = np.append(usual, 0)[where] == key if len(usual) else np.zeros(len(key), bool)
+        there &= where < len(usual)
+        score = np.bincount(of_text[there], log[where[there]], len(joined))
+        key, of_text = key[~there], of_text[~there]
+        order = np.argsort(key, kind="stable")  # texts stay in order within a gram
+        key, of_text = key[order], of_text[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        pair = new.copy()
+        pair[1:] |= of_text[1:] != of_text[:-1]
+        first = np.flatnonzero(pair)
+        found = np.empty(len(first), POSTING)
+        found["text"], found["times"] = of_text[first], np.diff(np.append(first, len(key)))
+        return score, key[new], found, np.append(np.searchsorted(first, np.flatnonzero(new)), len(first))
 
     return docs.mapInArrow(run, WORDS)
 
@@ -294,10 +386,12 @@ def contributions(counted: DataFrame) -> DataFrame:
             if not words.num_rows:
                 continue
             c, stretch = words.column("c").to_numpy(), words.column("batch").to_numpy()
+            word, log = words.column("gram_log").is_null().to_numpy(zero_copy_only=False), words.column("gram_log").fill_null(0.0).to_numpy()
             n += int(words.column("n").to_numpy().sum())
-            v += int(((words.column("first").to_numpy() == stretch) & (c > 0)).sum())
+            v += int((word & (words.column("first").to_numpy() == stretch) & (c > 0)).sum())
             rows, lengths = unpacked(words.column("payload"), POSTING)
-            held.append((np.repeat(stretch, lengths), rows["text"], rows["times"] * np.repeat(np.log10(c + 1.0), lengths), rows["times"] * np.repeat(c > 0, lengths)))
+            each = lambda x: rows["times"] * np.repeat(x, lengths)  # noqa: B023, E731
+            held.append((np.repeat(stretch, lengths), rows["text"], each(np.log10(c + 1.0) * word), each(word & (c > 0)), each(log)))
             size += len(rows)
             if size >= POSTINGS_AT_ONCE:
                 yield summed(held)
@@ -308,11 +402,12 @@ def contributions(counted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([False]), pa.array([b""], pa.binary()), pa.array([n]), pa.array([v])], schema=schema)
 
     def summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        batch, text, logs, known = (np.concatenate(x) for x in zip(*held))
+        batch, text, logs, known, score = (np.concatenate(x) for x in zip(*held))
         stretch, which = np.unique(batch, return_inverse=True)
         key, where = np.unique(which.astype(np.int64) << 32 | text, return_inverse=True)
         rows = np.empty(len(key), SUM)
         rows["text"], rows["logs"], rows["known"] = key & 0xFFFFFFFF, np.bincount(where, logs, len(key)), np.bincount(where, known, len(key))
+        rows["score"] = np.bincount(where, score, len(key))
         zero = pa.array(np.zeros(len(stretch), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(stretch), pa.array(np.zeros(len(stretch), bool)), packed(rows, np.searchsorted(key >> 32, np.arange(len(stretch) + 1))), zero, zero], schema=schema)
 
@@ -324,7 +419,7 @@ def gathered(parts: DataFrame) -> DataFrame:
     schema = arrow(RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, text, logs, known, n, v = None, None, None, None, 0, 0
+        now, text, n, v = None, None, 0, 0
         for batch in batches:
             for stretch, of_texts, payload, own_n, own_v in zip(*(batch.column(c).to_pylist() for c in ("batch", "texts", "payload", "train_tokens", "distinct_words"))):
                 n, v = n + own_n, v + own_v
@@ -332,22 +427,21 @@ def gathered(parts: DataFrame) -> DataFrame:
                     continue
                 if stretch != now:
                     if now is not None:
-                        yield result(text, logs, known)
-                    now, text = stretch, np.frombuffer(payload, TEXT)
-                    logs, known = text["logs"].copy(), text["known"].copy()
+                        yield result(text)
+                    now, text = stretch, np.frombuffer(payload, TEXT).copy()
                 if not of_texts:
                     rows = np.frombuffer(payload, SUM)
-                    logs[rows["text"]] += rows["logs"]
-                    known[rows["text"]] += rows["known"]
+                    for own in ("logs", "known", "score"):
+                        text[own][rows["text"]] += rows[own]
         if now is not None:
-            yield result(text, logs, known)
+            yield result(text)
         if n or v:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:-2] + [pa.array([n]), pa.array([v])], schema=schema)
 
-    def result(text: np.ndarray, logs: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    def result(text: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(text), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(text["doc_id"], mask=~text["has_id"]), pa.array(text["held_out"]), pa.array(text["n_tokens"]), pa.array(text["score"]), pa.array(logs), pa.array(known), none, none], schema=schema
+            [pa.array(text["doc_id"], mask=~text["has_id"]), pa.array(text["held_out"]), pa.array(text["n_tokens"]), pa.array(text["score"]), pa.array(text["logs"]), pa.array(text["known"]), none, none], schema=schema
         )
 
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -366,10 +460,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"), F.monotonically_increasing_id().alias("ref")
     )
-    model = train(rows)
-    words = postings(rows, model)
+    model, scored = train(rows)
+    known = scored.select(gram_word("gram").alias("word"), *[F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("batch", "long"), ("texts", "boolean"), ("payload", "binary"))], "log")
     of_word = Window.partitionBy("word")
-    counted = words.select("*", F.sum("n").over(of_word).alias("c"), F.min("batch").over(of_word).alias("first"))
+    words = postings(rows, model).union(known)
+    counted = words.select("*", F.sum("n").over(of_word).alias("c"), F.min("batch").over(of_word).alias("first"), F.max("log").over(of_word).alias("gram_log")).where("payload is not null").drop("log")
     text = settle(gathered(contributions(counted)))
     total = text.where("train_tokens is not null").agg(F.sum("train_tokens").alias("train_tokens"), F.sum("distinct_words").alias("distinct_words")).first()
     n, v = (total.train_tokens or 0) + int(model.counts.sum()), (total.distinct_words or 0) + int((model.counts > 0).sum())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,25 @@ def test_suffix_tree_is_a_distribution_and_uses_longest_suffixes(spark):
     assert tree.score([b" ".join(t) for t in lists]) == pytest.approx([plain(t) for t in lists], rel=1e-5)
 
 
+def test_suffix_tree_by_joins_equals_the_tree_in_one_place(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "FREQUENT_GRAM_SHARE", 1e-4)
+    docs = sample(spark, DATA)
+    rows, got = docs.collect(), {r.doc_id: r.score for r in suffix_tree.lm_scores(docs).collect()}
+    learned = spark.createDataFrame([(r.text, True) for r in rows if not held_out(r.doc_id, 7, 2)], "text string, train boolean")
+    tree = suffix_tree.Tree(suffix_tree.candidates(suffix_tree.grams(learned)))
+    expected = tree.score([b" ".join((r.text or "").encode().lower().split()) for r in rows])
+    assert [got[r.doc_id] for r in rows] == pytest.approx(expected.tolist(), rel=1e-4)
+
+
+def test_a_context_counts_the_same_however_large_the_corpus(spark):
+    def states(filler: int) -> int:
+        docs = spark.range(20 + filler).selectExpr("if(id < 20, 'qzx wvk', 'abc abd abe') as text", "true as train")
+        table = suffix_tree.candidates(suffix_tree.grams(docs))
+        return sum(g >> 8 == int.from_bytes(b"qzx wvk"[-suffix_tree.DEPTH :], "big") for g in table.filter(pc.equal(table["depth"], suffix_tree.DEPTH))["gram"].to_pylist())
+
+    assert states(10) == states(200_000) == 1
+
+
 def test_odd_documents_are_scored(spark):
     docs = clashing(documents(spark))
     got = suffix_tree.lm_scores(docs).collect()
