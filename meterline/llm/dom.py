@@ -94,6 +94,8 @@ def parse(html: str) -> Page:
             page.attributes[0] += attributes
             continue
         if name in RAW:
+            if name == "iframe":  # its content is raw, its target a link
+                page.add(stack[-1], name, attributes, "", block)
             end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, at)
             if name == "title" and not page.title:
                 page.title = " ".join(unescape(html[at : end.start() if end else size]).split())

@@ -112,3 +112,9 @@ def test_warc_links_and_digests(spark):
     meta = json.loads(by["metadata"].block)
     assert meta["links"] == [{"element": "a", "url": "http://a/b"}] and meta["title"] == "T" and meta["http-headers"]["Content-Type"].startswith("text/html")
     assert len({source.record_id, *(r.record_id for r in by.values())}) == 3
+
+
+def test_iframes_are_links():
+    page = parse("<p>a<iframe src='/x'><a href='/raw'>no</a></iframe>b<a href='y'>c</a>")
+    assert warc.outlinks(page, "http://h/") == [{"element": "iframe", "url": "http://h/x"}, {"element": "a", "url": "http://h/y"}]
+    assert "no" not in "".join(page.text)
