@@ -8,8 +8,8 @@ left. The share of the item's words under tiles is its coverage, which doesn't d
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from typing import Any
 
 import numpy as np
@@ -38,37 +38,71 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def runs(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in a, start in b, length) of every match of `least` words or more that can't be extended; id 0 matches nothing.
+
+    Words of a that lie in no seed, by the running Karp-Rabin hashes of `least` words, are passed over. At each other
+    word of a, `length` holds how many words match up to it and each word of b: one row of the table of matches.
+    """
+    hash_a, hash_b = roll(a, least), roll(b, least)
+    seed = np.isin(hash_a, hash_b)
+    covered = np.convolve(seed, np.ones(least, int)) > 0 if len(hash_a) else np.zeros(len(a), bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # ends in b and lengths, of those that end before a word of a
+    ends: list[int] = []
+    length, none = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
+
+    def ended(i: int, over: np.ndarray) -> None:
+        j = np.flatnonzero(over)
+        if len(j):
+            found.append((j + 1, length[j]))
+            ends.append(i)
+
+    last = -1
+    for i in np.flatnonzero(covered & (a > 0)).tolist():
+        if i != last + 1:
+            ended(last + 1, length >= least)
+            length = none
+        same = b == a[i]
+        over = length >= least
+        over[:-1] &= ~same[1:]
+        ended(i, over)
+        longer = np.empty_like(length)
+        longer[0] = 0
+        np.add(length[:-1], 1, out=longer[1:])
+        longer[0] = 1
+        longer *= same
+        length, last = longer, i
+    ended(last + 1, length >= least)
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    n = np.concatenate([x for _, x in found]).astype(np.int64)
+    return np.repeat(ends, [len(x) for x, _ in found]) - n, np.concatenate([x for x, _ in found]) - n, n
+
+
 def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of word ids a and b: (start in a, start in b, length), longest first, ties by position.
 
-    Id 0 matches nothing. Running Karp-Rabin hashes of `least` words give the candidates among unmarked words, which
-    are extended word by word; each round marks the longest ones.
+    Of the longest matches of unmarked words the first is marked, again and again. What a mark cuts off a match goes back
+    with its own length, so that each match is looked at once for each tile that touches it.
     """
-    tiles, free_a, free_b = [], a > 0, b > 0
-    hash_a, hash_b = roll(a, least), roll(b, least)
-    while True:
-        # Seeds of `least` words of which all are unmarked on both sides.
-        ok_a = np.convolve(free_a, np.ones(least, int), "valid") == least if len(a) >= least else np.zeros(0, bool)
-        ok_b = np.convolve(free_b, np.ones(least, int), "valid") == least if len(b) >= least else np.zeros(0, bool)
-        at: dict[int, list[int]] = defaultdict(list)
-        for j in np.nonzero(ok_b)[0].tolist():
-            at[int(hash_b[j])].append(j)
-        longest, found = least - 1, []
-        for i in np.nonzero(ok_a & np.isin(hash_a, np.fromiter(at, np.uint64, len(at))))[0].tolist():
-            for j in at[int(hash_a[i])]:
-                n = 0
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                if n > longest:
-                    longest, found = n, []
-                if n == longest and n >= least:
-                    found.append((i, j))
-        if longest < least:
-            return tiles
-        for i, j in found:  # those of one length, as long as they don't overlap
-            if free_a[i : i + longest].all() and free_b[j : j + longest].all():
-                free_a[i : i + longest] = free_b[j : j + longest] = False
-                tiles.append((i, j, longest))
+    starts_a, starts_b, lengths = runs(a, b, least)
+    order = np.lexsort((starts_b, starts_a, -lengths))
+    queue = [(-int(lengths[x]), int(starts_a[x]), int(starts_b[x])) for x in order[::-1]]
+    cut: list[tuple[int, int, int]] = []  # a heap
+    tiles, free_a, free_b, left = [], np.ones(len(a), bool), np.ones(len(b), bool), len(b)
+    while (queue or cut) and left >= least:
+        n, i, j = queue.pop() if queue and (not cut or queue[-1] < cut[0]) else heappop(cut)
+        free = free_a[i : i - n] & free_b[j : j - n]
+        if free.all():
+            free_a[i : i - n] = free_b[j : j - n] = False
+            tiles.append((i, j, -n))
+            left += n
+        elif free.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if end - begin >= least:
+                    heappush(cut, (begin - end, i + begin, j + begin))
+    return tiles
 
 
 class Block:

@@ -6,13 +6,14 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S,
-)
+COMMENT = r"<!--.*?(?:-->|\Z)"
+QUOTED = r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+PLAIN = r"<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)>"
+OTHER = r"<[!?/][^>]*>"
+TOKEN = re.compile("|".join((COMMENT, QUOTED, PLAIN, OTHER)), re.S)
+#: Where quotes don't close, each tag would be read to the page's end in vain: after so many of them quotes are plain.
+TOKEN_WITHOUT_QUOTES = re.compile("|".join((COMMENT, QUOTED.replace("""|\\"[^\\"]*\\"|'[^']*')""", "|[\"'])"), PLAIN, OTHER)), re.S)
+UNCLOSED_QUOTES = 8
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,35 +60,54 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """Any text is a page: what doesn't read as markup is text; open elements end with the page."""
+    """Any text is a page: what doesn't read as markup is text; open elements end with the page.
+
+    Time is linear in the page: of each name it is known where its open elements are on the stack.
+    """
     page, stack, at, block, size = Page(), [0], 0, 0, len(html)
+    last = html.rfind(">") + 1  # no tag ends behind it
+    token, unclosed = TOKEN, 0
+    opened: dict[str, list[int]] = {}  # by name, the places on the stack
+    scopes: list[int] = []
 
     def close(index: int) -> None:
         nonlocal block
-        for node in stack[index:]:
-            block += page.tag[node] in BLOCK
-        del stack[index:]
+        while len(stack) > index:
+            name = page.tag[stack.pop()]
+            block += name in BLOCK
+            opened[name].pop()
+            if name in SCOPE:
+                scopes.pop()
+
+    def highest(names: frozenset[str] | set[str]) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
 
     while at < size:
-        found = TOKEN.search(html, at)
-        start = found.start() if found else size
+        found = token.search(html, at, last) if at < last else None
+        if found:
+            start, end = found.span()
+            if end == last and html.startswith("<!--", start) and html[max(end - 3, start + 4) : end] != "-->":
+                end = size  # a comment that isn't closed
+        else:
+            start = html.find("<!--", max(at, last))
+            start, end = (start if start >= 0 else size), size
         if start > at:
             page.add(stack[-1], "", "", unescape(html[at:start]), block)
         if not found:
             break
-        at = found.end()
+        at = end
         name = (found["name"] or found["name2"] or "").lower()
         if not name:
             continue
+        if found["name2"]:
+            unclosed += 1
+            token = TOKEN_WITHOUT_QUOTES if unclosed >= UNCLOSED_QUOTES else TOKEN
         if found["end"] or found["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == name:
-                    close(i)
-                    break
-                if page.tag[stack[i]] in SCOPE and name not in SCOPE and name not in BLOCK:
-                    break
-            else:
+            place = highest({name})
+            if not place:
                 block += name in BLOCK
+            elif name in SCOPE or name in BLOCK or not scopes or scopes[-1] < place:
+                close(place)
             continue
         attributes = found["attributes"] or found["attributes2"] or ""
         if name == "html":
@@ -96,21 +116,19 @@ def parse(html: str) -> Page:
         if name in RAW:
             if name == "iframe":  # its content is raw, its target a link
                 page.add(stack[-1], name, attributes, "", block)
-            end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, at)
+            ending = re.compile(f"</{re.escape(name)}", re.I).search(html, at)
+            closed = html.find(">", ending.end()) + 1 if ending else 0
             if name == "title" and not page.title:
-                page.title = " ".join(unescape(html[at : end.start() if end else size]).split())
-            at = end.end() if end else size
+                page.title = " ".join(unescape(html[at : ending.start() if closed else size]).split())
+            at = closed or size
             continue
         closes, until = CLOSES.get(name, (frozenset(), frozenset()))
         if name in BLOCK and name not in ("option", "body"):
             closes, until = closes | {"p"}, until | SCOPE
-        for i in range(len(stack) - 1, 0, -1):
-            own = page.tag[stack[i]]
-            if own in closes:
-                close(i)
-                if name in CLOSES and own != "p":
-                    break
-            elif own in until:
+        while closes and (place := highest(closes)) and highest(until) <= place:
+            own = page.tag[stack[place]]
+            close(place)
+            if name in CLOSES and own != "p":
                 break
         block += name in BLOCK
         if name == "br":
@@ -118,6 +136,9 @@ def parse(html: str) -> Page:
             continue
         node = page.add(stack[-1], name, attributes, "", block)
         if name not in VOID and not attributes.endswith("/"):
+            opened.setdefault(name, []).append(len(stack))
+            if name in SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
         elif name == "hr":
             block += 1

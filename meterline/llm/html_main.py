@@ -10,7 +10,9 @@ needs no column that pages lack. The text nodes whose marginal is 1/2 or more ar
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
+from math import exp, log1p
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ KINDS = 3  # a child that is a block, another element, or text
 PAGES, STEPS, RATE, PENALTY = 400, 150, 0.1, 1e-3
 
 
-@cache
+@lru_cache(1 << 14)
 def named(raw: str) -> tuple[int, ...]:
     """The features of an element's class, id and role."""
     found = attributes(raw)
@@ -97,6 +99,14 @@ def features(page: Page) -> list[tuple[int, ...]]:
     return rows
 
 
+#: Levels of so few nodes, as of very deep pages, are summed node by node.
+FEW = 4
+
+
+def sum_logs(x: float, y: float) -> float:
+    return max(x, y) + log1p(exp(-abs(x - y)))
+
+
 class Forest:
     """The nodes of some pages side by side, by depth."""
 
@@ -126,10 +136,23 @@ class Forest:
         said = np.zeros((n, 2))  # what a node says to its parent, by the parent's state
         between = pair[self.kind]
         for level in reversed(self.levels[1:]):
+            if len(level) <= FEW:
+                for i in level.tolist():
+                    (w, x), (y, z), (p, q) = *between[i].tolist(), up[i].tolist()
+                    said[i] = sum_logs(w + p, x + q), sum_logs(y + p, z + q)
+                    up[self.parent[i]] += said[i]
+                continue
             said[level] = np.logaddexp.reduce(between[level] + up[level][:, None, :], axis=2)
             np.add.at(up, self.parent[level], said[level])
         down, both = np.zeros((n, 2)), np.zeros((n, 2, 2))
         for level in self.levels[1:]:
+            if len(level) <= FEW:
+                for i in level.tolist():
+                    p = self.parent[i]
+                    (w, x), (y, z), (r, s), (t, u) = *between[i].tolist(), (up[p] + down[p] - said[i]).tolist(), up[i].tolist()
+                    down[i] = sum_logs(w + r, y + s), sum_logs(x + r, z + s)
+                    both[i] = ((w + r + t, x + r + u), (y + s + t, z + s + u))
+                continue
             p = self.parent[level]
             joint = between[level] + (up[p] + down[p] - said[level])[:, :, None]
             down[level] = np.logaddexp.reduce(joint, axis=1)
@@ -140,6 +163,7 @@ class Forest:
         return q, both
 
 
+@cache
 def train() -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features (for open against boilerplate) and of parent and child, by gradient ascent."""
     random = np.random.default_rng(17)
@@ -174,67 +198,68 @@ def truth(page: Page) -> np.ndarray:
 
 def labelled_page(random: np.random.Generator) -> str:
     """A page of usual parts in one of many arrangements."""
-    pick = lambda *x: x[random.integers(len(x))]
+    own = Random(int(random.integers(1 << 62)))  # much faster for single numbers
+    pick = lambda *x: x[own.randrange(len(x))]
 
     def words(low: int, high: int) -> str:
-        out = " ".join("".join(pick("an", "the", "er", "in", "on", "st", "re", "al", "io", "de", "qu", "ém") for _ in range(random.integers(1, 4))) for _ in range(random.integers(low, high)))
+        out = " ".join("".join(pick("an", "the", "er", "in", "on", "st", "re", "al", "io", "de", "qu", "ém") for _ in range(own.randrange(1, 4))) for _ in range(own.randrange(low, high)))
         return out.capitalize()
 
     def prose(sentences: int) -> str:
         return " ".join(words(4, 14) + pick(".", ".", "!", "?") for _ in range(sentences))
 
     def link(low: int = 1, high: int = 4) -> str:
-        return f'<a href="/{random.integers(999)}">{words(low, high)}</a>'
+        return f'<a href="/{own.randrange(999)}">{words(low, high)}</a>'
 
     def off(tag: str, name: str, inner: str) -> str:
-        if tag in ("header", "footer", "nav", "aside", "form") and random.random() < 0.5:
+        if tag in ("header", "footer", "nav", "aside", "form") and own.random() < 0.5:
             name = ""  # the element says it all
         return f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-main="0">{inner}</{tag}>'
 
     def text() -> str:
         """Prose of a paragraph, of an article or of what isn't: some is marked up, some of that never closed."""
-        part, inline = prose(random.integers(1, 5)), pick("b", "i", "em", "strong", "span", "a")
-        if random.random() < 0.55:
+        part, inline = prose(own.randrange(1, 5)), pick("b", "i", "em", "strong", "span", "a")
+        if own.random() < 0.55:
             return part
-        return f"{part} {link()} {prose(1)}" if random.random() < 0.4 else f"<{inline}>{words(1, 4)}{pick(f'</{inline}>', '')} {part}"
+        return f"{part} {link()} {prose(1)}" if own.random() < 0.4 else f"<{inline}>{words(1, 4)}{pick(f'</{inline}>', '')} {part}"
 
     def heading(low: int, high: int) -> str:
         tag = pick("h1", "h2", "h3", "h4")
         return f"<{tag}>{words(low, high)}</{tag}>"
 
     def links() -> str:
-        return pick("<ul>{}</ul>", "<ol>{}</ol>", "<div>{}</div>").format("".join(pick("<li>{}</li>", "<li>{}</li>", "<span>{}</span>").format(link()) for _ in range(random.integers(2, 8))))
+        return pick("<ul>{}</ul>", "<ol>{}</ol>", "<div>{}</div>").format("".join(pick("<li>{}</li>", "<li>{}</li>", "<span>{}</span>").format(link()) for _ in range(own.randrange(2, 8))))
 
     def menu() -> str:
         return pick(off("nav", "", links()), off("nav", "main-nav", links()), off("div", "menu", links()), off("ul", "navbar", f"<li>{link()}</li>" * 4), off("div", "breadcrumbs", f"{link()} &gt; {link()}"))
 
     def advert() -> str:
-        return off(pick("div", "div", "aside", "section", "p"), pick("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement"), pick(prose(random.integers(1, 4)), text(), link(2, 6), words(1, 6)))
+        return off(pick("div", "div", "aside", "section", "p"), pick("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement"), pick(prose(own.randrange(1, 4)), text(), link(2, 6), words(1, 6)))
 
     def notice() -> str:
-        return off(pick("div", "div", "p", "section"), pick("notice", "cookie-notice", "consent", "alert", "newsletter", "popup", "subscribe-box", "disclaimer"), pick(prose(random.integers(1, 3)), f"{heading(1, 3)}<p>{text()}</p>", f"<p>{prose(1)}</p><button>{words(1, 2)}</button>"))
+        return off(pick("div", "div", "p", "section"), pick("notice", "cookie-notice", "consent", "alert", "newsletter", "popup", "subscribe-box", "disclaimer"), pick(prose(own.randrange(1, 3)), f"{heading(1, 3)}<p>{text()}</p>", f"<p>{prose(1)}</p><button>{words(1, 2)}</button>"))
 
     def form() -> str:
         return off("form", pick("", "search", "signup"), f"<label>{words(1, 3)}</label><input name=q>{pick('', f'<p>{prose(1)}</p>')}<button>{words(1, 2)}</button><select><option>{words(1, 2)}<option>{words(1, 2)}</select>")
 
     def comments() -> str:
         one = lambda: pick("<div class='comment'><p>{}</p></div>", "<li>{}</li>", "<p>{}</p>", "<article class='comment'><p>{}</p></article>").replace("{}", text())
-        return off(pick("section", "div", "ol", "ul", "aside"), pick("comments", "comment-list", "reader-comments", "discussion", "replies"), pick("", heading(1, 3)) + "".join(one() for _ in range(random.integers(1, 5))))
+        return off(pick("section", "div", "ol", "ul", "aside"), pick("comments", "comment-list", "reader-comments", "discussion", "replies"), pick("", heading(1, 3)) + "".join(one() for _ in range(own.randrange(1, 5))))
 
     def side() -> str:
         return off(pick("aside", "aside", "div"), pick("sidebar", "widget", "right-rail", "related", "side-bar"), pick("", heading(1, 3)) + pick(links(), f"<p>{text()}</p>", text()))
 
     def head() -> str:
-        return off(pick("header", "div", "header"), pick("site-header", "header", "masthead", "topbar"), pick(f"<h1>{link()}</h1>", heading(1, 4), f"<p>{words(2, 6)}</p>", text(), f"<div class='logo'>{words(1, 3)}</div>") + (menu() if random.random() < 0.5 else ""))
+        return off(pick("header", "div", "header"), pick("site-header", "header", "masthead", "topbar"), pick(f"<h1>{link()}</h1>", heading(1, 4), f"<p>{words(2, 6)}</p>", text(), f"<div class='logo'>{words(1, 3)}</div>") + (menu() if own.random() < 0.5 else ""))
 
     def foot() -> str:
-        return off(pick("footer", "footer", "div"), pick("site-footer", "footer", "copyright"), pick(f"&copy; {words(1, 4)} &middot; {prose(random.integers(1, 3))}", f"<p>{prose(1)}</p>{links()}", links(), text(), words(2, 6)))
+        return off(pick("footer", "footer", "div"), pick("site-footer", "footer", "copyright"), pick(f"&copy; {words(1, 4)} &middot; {prose(own.randrange(1, 3))}", f"<p>{prose(1)}</p>{links()}", links(), text(), words(2, 6)))
 
     def share() -> str:
         return off("div", pick("share", "social-links", "sharing"), f"{link(1, 2)} {link(1, 2)}")
 
-    body = [pick(f"<h1>{words(3, 9)}</h1>", heading(3, 9))] if random.random() < 0.85 else []
-    for _ in range(random.integers(1, 9)):
+    body = [pick(f"<h1>{words(3, 9)}</h1>", heading(3, 9))] if own.random() < 0.85 else []
+    for _ in range(own.randrange(1, 9)):
         body.append(
             pick(
                 *[f"<p>{text()}</p>"] * 5,
@@ -253,15 +278,15 @@ def labelled_page(random: np.random.Generator) -> str:
             )
         )
     for part in (advert, notice, share, side, form, comments):
-        if random.random() < 0.15:
-            body.insert(int(random.integers(1, len(body) + 1)), part())
+        if own.random() < 0.15:
+            body.insert(own.randrange(1, len(body) + 1), part())
     kind, name = pick(("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content"), ("section", "story"), ("div", "article-body"), ("div", "x1"), ("section", ""), ("td", ""))
     main = f'<{kind}{f" class={chr(34)}{name}{chr(34)}" if name else ""}>{"".join(body)}</{kind}>'
     main = f"<table><tr>{main}</table>" if kind == "td" else main
-    before = [f() for f in (head, menu, advert, notice, form) if random.random() < 0.45]
-    after = [f() for f in (side, comments, advert, notice, form, foot, share) if random.random() < 0.4]
+    before = [f() for f in (head, menu, advert, notice, form) if own.random() < 0.45]
+    after = [f() for f in (side, comments, advert, notice, form, foot, share) if own.random() < 0.4]
     page = "".join(before) + main + "".join(after)
-    page = f"<div class='{pick('wrapper', 'container', 'page', 'row', 'layout')}'>{page}</div>" if random.random() < 0.4 else page
+    page = f"<div class='{pick('wrapper', 'container', 'page', 'row', 'layout')}'>{page}</div>" if own.random() < 0.4 else page
     return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{page}</body></html>"
 
 

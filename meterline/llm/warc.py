@@ -26,7 +26,8 @@ from .dom import Page, attributes, joined, parse
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
-# Header fields of a WARC record, and the columns that hold them.
+# Header fields of a WARC record, and the columns that hold them. The source's digest is a field of our own:
+# that of the payload is the record's own.
 FIELDS = {
     "WARC-Type": "record_type",
     "WARC-Record-ID": "record_id",
@@ -35,10 +36,11 @@ FIELDS = {
     "WARC-Date": "warc_date",
     "WARC-Payload-Digest": "payload_digest",
     "WARC-Block-Digest": "block_digest",
+    "WARC-Source-Payload-Digest": "source_digest",
     "Content-Type": "content_type",
     "Content-Length": "content_length",
 }
-RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block string"
+RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, source_digest string, content_length long, block string"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 ARROW = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in RECORD.split(", ")])
 
@@ -56,9 +58,9 @@ def one_line(value: str | None) -> str | None:
     return " ".join(value.split()) if value is not None else None
 
 
-def record(page_id: int | None, kind: str, refers: str | None, uri: str | None, date: str, content: str, payload: str, block: str, own_id: str) -> tuple:
+def record(page_id: int | None, kind: str, refers: str | None, uri: str | None, date: str, content: str, payload: str, source: str | None, block: str, own_id: str) -> tuple:
     data = block.encode()
-    return (page_id, kind, own_id, refers, one_line(uri), date, content, payload, digest(data), len(data), block)
+    return (page_id, kind, own_id, refers, one_line(uri), date, content, payload, digest(data), source, len(data), block)
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -75,7 +77,7 @@ def responses(pages: DataFrame) -> DataFrame:
             payload = (html or "").encode()
             sum_ = digest(payload)
             block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n{html or ''}"
-            rows.append(record(page_id, "response", None, url, DATE, "application/http; msgtype=response", sum_, block, identifier("response", str(page_id), url, sum_)))
+            rows.append(record(page_id, "response", None, url, DATE, "application/http; msgtype=response", sum_, None, block, identifier("response", str(page_id), url, sum_)))
         return to_batch(rows)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -113,7 +115,7 @@ def derive(records: DataFrame) -> DataFrame:
 
     Metadata is a JSON block: the response's identifier, digests, HTTP status and headers, the page's title and links.
     Conversion is the page's text, blocks two line feeds apart. Both refer to the response and keep its target, date
-    and payload digest. A null block counts as empty. Records that repeat are derived each, with equal identifiers. An
+    and, as source_digest, payload digest. A null block counts as empty. Records that repeat are derived each, with equal identifiers. An
     empty table gives none; other columns aren't read.
     """
     small_batches(records.sparkSession)
@@ -139,7 +141,7 @@ def derive(records: DataFrame) -> DataFrame:
                 ensure_ascii=False,
             )
             for kind, content, own in (("metadata", "application/json", block), ("conversion", "text/plain; charset=utf-8", text)):
-                rows.append(record(x["page_id"], kind, x["record_id"], x["target_uri"], date, content, sum_, own, identifier(kind, x["record_id"], sum_)))
+                rows.append(record(x["page_id"], kind, x["record_id"], x["target_uri"], date, content, digest(own.encode()), sum_, own, identifier(kind, x["record_id"], sum_)))
         return to_batch(rows)
 
     return map_arrow(records.where("record_type = 'response'").select(*NAMES), run, RECORD)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 
@@ -89,3 +90,38 @@ def test_odd_documents(spark):
     assert kept.columns == docs.columns and kept.count() == 7
     assert d.overlaps(docs.limit(0), items).count() == 0 == d.overlaps(docs, items.limit(0)).count()
     assert d.drop_contaminated(docs, items.limit(0)).count() == 10
+
+
+def rounds(a, b, least):
+    """Greedy string tiling, round by round: all longest matches of unmarked words, by position."""
+    free_a, free_b, tiles = [x > 0 for x in a], [x > 0 for x in b], []
+    while True:
+        best, found = least - 1, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best and n >= least:
+                    found.append((i, j, n))
+        if best < least:
+            return tiles
+        for i, j, n in found:
+            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
+                free_a[i : i + n] = free_b[j : j + n] = [False] * n
+                tiles.append((i, j, n))
+
+
+def test_tiles_of_texts_that_repeat_themselves():
+    random = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = (random.integers(0, random.integers(2, 5), random.integers(1, 60)) for _ in range(2))
+        least = int(random.integers(1, 6))
+        assert d.tile(a, b, least) == rounds(a.tolist(), b.tolist(), least)
+    cycle = np.arange(1, 6)
+    for n, m in ((1600, 800), (20_000, 800), (5, 20_000)):
+        began = time.perf_counter()
+        assert sum(t[2] for t in d.tile(np.tile(cycle, n // 5), np.tile(cycle, m // 5), 5)) == min(n, m)
+        assert time.perf_counter() - began < 2

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from itertools import product
 
 import numpy as np
@@ -106,7 +107,8 @@ def test_warc_links_and_digests(spark):
     response = warc.responses(spark.createDataFrame([(1, "http://a/p", "<title>T</title><p>one<p>two <a href='/b'>l</a>")], "page_id long, url string, html string"))
     source = response.first()
     by = {r.record_type: r for r in warc.derive(response).collect()}
-    assert {r.refers_to for r in by.values()} == {source.record_id} and {r.payload_digest for r in by.values()} == {source.payload_digest}
+    assert {r.refers_to for r in by.values()} == {source.record_id} and {r.source_digest for r in by.values()} == {source.payload_digest}
+    assert all(r.payload_digest == r.block_digest == warc.digest(r.block.encode()) for r in by.values())
     assert by["conversion"].block == "one\n\ntwo l"
     assert by["conversion"].block_digest == "sha1:" + base64.b32encode(hashlib.sha1(b"one\n\ntwo l").digest()).decode()
     meta = json.loads(by["metadata"].block)
@@ -118,3 +120,19 @@ def test_iframes_are_links():
     page = parse("<p>a<iframe src='/x'><a href='/raw'>no</a></iframe>b<a href='y'>c</a>")
     assert warc.outlinks(page, "http://h/") == [{"element": "iframe", "url": "http://h/x"}, {"element": "a", "url": "http://h/y"}]
     assert "no" not in "".join(page.text)
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 100_000, "<div>" * 50_000 + "x" + "</div>" * 50_000, "<a b " * 100_000, "<a b " * 100_000 + ">", "<b>" * 1000 + "<table>" + "<i></b>" * 50_000, '<a "> "' * 100_000, "<p><b>" * 50_000, "</u>" * 100_000, "<script></script " * 50_000, "<!-- <!--" * 50_000, "<a b='" * 100_000],
+    ids=["nested", "closed", "unclosed", "late", "scoped", "quotes", "paragraphs", "ends", "raw", "comments", "apostrophes"],
+)
+def test_deep_and_broken_pages_take_linear_time(html, model):
+    began = time.perf_counter()
+    h.main_texts([html], model)
+    assert time.perf_counter() - began < 10
+
+
+def test_quotes_that_never_close_are_plain_after_some():
+    assert text('<a "> "' * 20).count('"') >= 19
+    assert text("<a t='x>y'>u</a>" * 50) == "u" * 50
