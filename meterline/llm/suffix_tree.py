@@ -1,479 +1,359 @@
-"""Language-model scoring with a probabilistic suffix tree over bytes (operator 7).
-
-A text is its lower-cased words joined by one space and closed by a line feed, so its probability is that of the word
-sequence with its end. Counts of DEPTH + 1 bytes are gathered from all training texts. A context is a candidate if it occurs MIN_COUNT times,
-so that the tree grows with the corpus. It is retained if its next-symbol distribution diverges from that of its longest
-proper suffix by MIN_DIVERGENCE; suffixes of retained contexts stay as inner states. Distributions are smoothed towards
-those of their suffix. A symbol is scored by the state that is the longest suffix of what stands before it.
-
-The tree is never in one place: its levels are tables, smoothed and tested depth by depth by joins of a gram with its
-suffix. The probability of each distinct gram meets the texts as a word's count does (below). A gram's key is one long,
-which bounds contexts to seven bytes.
-
-The unigram baseline needs each word's count beside its texts. Words that are frequent in a sample (at most
-1 / FREQUENT_SHARE) are counted in the pass over the grams, and their counts are broadcast; the counts of all others meet
-their texts by one shuffle of postings. So no word's postings grow to a group of more than about that share of all
-tokens; which words are frequent decides the way only, no result.
+"""Language-model scoring with a probabilistic suffix tree over words (operator 7).
+
+Symbols are the tokens: lower-cased words and an end for each text. Contexts are the one to DEPTH tokens before a symbol
+(a mark stands before a text's first). A context that occurs MIN_COUNT times is a candidate, so the tree grows with the
+corpus; it is retained if its next-symbol distribution diverges from that of its longest proper suffix by MIN_GAIN, in
+nats over all its occurrences. The distribution of a context is smoothed towards that of its suffix (Witten and Bell),
+down to the unigram base. A symbol is scored by the longest retained context that stands before it, else by the base.
+
+The tree is never in one place. Texts are cut into stretches of bounded size. Each stretch asks for the counts of its
+distinct grams and gets them back: grams of up to DEPTH + 1 tokens are hashed and dealt to slices, which add up what the
+stretches have. A second round adds up the divergences, to which each distinct gram contributes in one stretch, and
+the numbers of different next symbols. Then each stretch scores its texts. A gram's rows in a slice are at most one for each
+stretch, however frequent it is, so no hot word or context gathers in one task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, settle, small_batches, texts
 
-DEPTH, MIN_COUNT, MIN_DIVERGENCE = 7, 3, 1e-2
+DEPTH, MIN_COUNT, MIN_GAIN = 2, 2, 2.0
 #: Weight of the suffix's distribution, for each different next symbol of a context (Witten and Bell's choice is 1).
-PRIOR = 2.0
-ROOT_PRIOR = 0.01
-END = b"\n"
-#: Words are sampled from about that many rows; those with that share or more of its tokens are frequent.
-SAMPLE_ROWS, FREQUENT_SHARE, FREQUENT_BYTES = 20_000, 2e-5, 64
-#: Grams with that share or more of all symbols are broadcast with their probabilities.
-FREQUENT_GRAM_SHARE = 2e-6
-SYMBOLS_AT_ONCE = 1 << 22
-POSTINGS_AT_ONCE = 1 << 20
-BYTES_AT_ONCE = 6 << 20
-
-
-def sequence(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of some texts, each after DEPTH ends: (bytes, positions of the symbols to score, first of each text).
-
-    A text is its words joined by one space.
-    """
-    data = np.frombuffer(b"".join(END * DEPTH + t + END for t in joined), np.uint8)
-    own = np.array([len(t) + 1 for t in joined], np.int64)
-    start = np.concatenate([[0], np.cumsum(own)[:-1]])
-    return data, np.arange(own.sum()) + np.repeat(np.arange(1, len(own) + 1) * DEPTH, own), start
+PRIOR = 1.0
+#: Divergences are added up as whole numbers of this part of a nat, so that sums don't depend on their order.
+STEPS = 64
+#: Stretches have about so many bytes of text, or one longer text; slices are asked for about so many tokens' grams.
+BYTES_AT_ONCE, TOKENS_A_SLICE = 12 << 20, 1 << 20
+#: Keys of grams of two tokens or more have so many bits above the logarithm of the number of tokens: a gram shares its
+#: key with another one with a probability of about 2^-18. Keys of single tokens have all 64 bits.
+SPARE_BITS = 18
+#: Keys of the end and of what stands before a text; no word has a line feed or is empty.
+END, BEFORE = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"")
+ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def frequent_words(docs: DataFrame) -> list[bytes]:
-    """The end, and the words that are frequent in a sample of docs: ref, text. At most 1 / FREQUENT_SHARE + 1."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more, side by side, as compressed planes of bytes."""
+    out = []
+    for column in columns:
+        planes = np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+        used = 8
+        while used and not planes[used - 1].any():
+            used -= 1
+        out += [np.array([len(column), used], "<u8").tobytes(), planes[:used].tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count = Counter(chain.from_iterable(t.lower().split() for t in texts(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("ref"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    counts = settle(sample.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = counts.where((F.col("n") >= FREQUENT_SHARE * total) & (F.length("word") <= FREQUENT_BYTES)).select("word").collect()
-    return [END, *sorted(bytes(r.word) for r in found)]
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, columns = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n, used = np.frombuffer(raw, "<u8", 2, at).tolist()
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :used] = np.frombuffer(raw, np.uint8, n * used, at + 16).reshape(used, n).T
+        columns.append(planes.view("<u8")[:, 0])
+        at += 16 + n * used
+    return columns
 
 
-def keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The symbols at some positions with the DEPTH bytes before each, as longs."""
-    key = np.zeros(len(at), np.int64)
-    for back in range(DEPTH, -1, -1):
-        key = (key << 8) | data[at - back]
-    return key
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
 
 
-def grams(docs: DataFrame, frequent: list[bytes] | None = None) -> DataFrame:
-    """(gram long, word boolean, n long, m long): DEPTH + 1 bytes, how often they occur over all rows that have train,
-    and over all rows.
+def folded(signed: np.ndarray) -> np.ndarray:
+    """Signed numbers as numbers of 0 or more: 0, -1, 1, -2, 2, ..."""
+    return (signed << 1) ^ (signed >> 63)
 
-    Rows of words are those of the frequent ones, by their place.
-    """
-    number = {w: i for i, w in enumerate(frequent or [])}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        for batch in batches:
-            for train, own in held.items():
-                words = [t.lower().split() for t, x in zip(texts(batch.column("text")), batch.column("train").to_pylist()) if x == train]
-                if not words:
-                    continue
-                if number and train:
-                    found = np.fromiter(map(number.get, chain(chain.from_iterable(words), repeat(END, len(words))), repeat(-1)), np.int64)
-                    n = np.bincount(found[found >= 0], minlength=len(number))
-                    there = np.flatnonzero(n)
-                    yield rows(there, n[there], n[there], True)
-                data, at, _ = sequence([b" ".join(w) for w in words])
-                own.append(keys(data, at))
-                if sum(map(len, own)) >= SYMBOLS_AT_ONCE:
-                    yield counted(own, train)
-                    own.clear()
-        for train, own in held.items():
-            if own:
-                yield counted(own, train)
-
-    def counted(held: list[np.ndarray], train: bool) -> pa.RecordBatch:
-        values, m = np.unique(np.concatenate(held), return_counts=True)
-        return rows(values, m * train, m, False)
-
-    def rows(gram: np.ndarray, n: np.ndarray, m: np.ndarray, word: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), word)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], ["gram", "word", "n", "m"])
-
-    return docs.select("text", "train").mapInArrow(run, "gram long, word boolean, n long, m long").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def low(column: str, bytes_: int) -> Column:
-    """The last bytes of a gram or context."""
-    return F.col(column) if bytes_ >= 8 else F.col(column).bitwiseAND(F.lit((1 << 8 * bytes_) - 1))
-
-
-def candidates(full: DataFrame) -> pa.Table:
-    """(depth, gram, n) of each context of MIN_COUNT symbols or more, for a Tree of a small corpus, which tests compare."""
-    full = full.where("not word and n > 0")
-    levels = F.array(*[F.struct(F.lit(d).alias("depth"), low("gram", d + 1).alias("gram")) for d in range(DEPTH + 1)])
-    at = full.select(F.explode(levels).alias("x"), "n").groupBy("x.depth", "x.gram").agg(F.sum("n").alias("n"))
-    context = Window.partitionBy("depth", F.shiftrightunsigned("gram", 8))
-    return at.withColumn("of", F.sum("n").over(context)).where(F.col("of") >= MIN_COUNT).select("depth", "gram", "n").toArrow()
-
-
-def probabilities(full: DataFrame) -> DataFrame:
-    """(gram, m, log) of each gram: log10 of its symbol's probability in the state of its context.
-
-    Level d has the grams of d + 1 bytes. A group of a join or window is the symbols after one context, or the bytes
-    before one gram: 256 rows at most.
-    """
-    levels = {DEPTH: full.where("not word").select("gram", "n")}
-    for d in range(DEPTH - 1, -1, -1):
-        levels[d] = settle(levels[d + 1].groupBy(low("gram", d + 1).alias("gram")).agg(F.sum("n").alias("n")))
-    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    smooth = {0: settle(levels[0].select("gram", ((F.col("n") + ROOT_PRIOR) / F.lit(total + 256 * ROOT_PRIOR)).alias("p")))}
-    context, seen = Window.partitionBy("context"), F.col("n") > 0
-    for d in range(1, DEPTH + 1):
-        rows = levels[d].withColumn("suffix", low("gram", d)).join(smooth[d - 1].select(F.col("gram").alias("suffix"), F.col("p").alias("up")), "suffix")
-        rows = rows.withColumn("context", F.shiftrightunsigned("gram", 8)).withColumn("of", F.sum("n").over(context)).withColumn("prior", PRIOR * F.count(F.when(seen, 1)).over(context))
-        p = (F.col("n") + F.col("prior") * F.col("up")) / (F.col("of") + F.col("prior"))
-        rows = rows.withColumn("p", F.when(F.col("of") >= MIN_COUNT, p).otherwise(F.col("up")))
-        # the symbols that a context lacks all have the same share of what its suffix gives them
-        rest = F.col("prior") / (F.col("of") + F.col("prior"))
-        divergence = F.sum(F.when(seen, F.col("p") * F.log(F.col("p") / F.col("up"))).otherwise(0.0)).over(context) + rest * F.log(rest) * (1 - F.sum(F.when(seen, F.col("up")).otherwise(0.0)).over(context))
-        rows = rows.withColumn("keep", F.when(F.col("of") >= MIN_COUNT, divergence >= MIN_DIVERGENCE).otherwise(False))
-        smooth[d] = settle(rows.select("gram", "context", "p", "keep"))
-    kept: dict[int, DataFrame] = {}
-    for d in range(DEPTH, 0, -1):
-        own = smooth[d].where("keep").select("context")
-        kept[d] = settle((own.union(kept[d + 1].select(low("context", d).alias("context"))) if d < DEPTH else own).distinct())
-    out = smooth[0].select("gram", "p")
-    for d in range(1, DEPTH + 1):
-        up = out.select(F.col("gram").alias("suffix"), F.col("p").alias("up"))
-        rows = smooth[d].withColumn("suffix", low("gram", d)).join(up, "suffix").join(kept[d].withColumn("state", F.lit(True)), "context", "left")
-        out = rows.select("gram", F.when(F.col("state"), F.col("p")).otherwise(F.col("up")).alias("p"))
-    return settle(out.join(full.where("not word").select("gram", "m"), "gram").select("gram", "m", F.log10("p").alias("log")))
-
-
-class Tree:
-    """States of the suffix tree of a small corpus, in one place: child[state, class of the byte before the context], log10 probabilities [state, class].
-
-    Bytes that training texts lack share one class, whose probability is split evenly among them.
-    """
+def unfolded(numbers: np.ndarray) -> np.ndarray:
+    n = numbers.view(np.int64)
+    return (n >> 1) ^ -(n & 1)
 
-    def __init__(self, counts: pa.Table) -> None:
-        depth, gram, n = (counts.column(c).to_numpy() for c in ("depth", "gram", "n"))
-        seen = np.unique(gram[depth == 0]) if len(gram) else np.zeros(0, np.int64)
-        self.classes = len(seen) + 1
-        self.of_byte = np.full(256, len(seen), np.int32)
-        self.of_byte[seen] = np.arange(len(seen))
-        self.byte_of = np.append(seen, -1)
-        share = np.append(np.ones(len(seen)), 256 - len(seen))
-        root = ROOT_PRIOR * share
-        root[self.of_byte[gram[depth == 0]]] += n[depth == 0]
-        probability, parent, symbol, keep = [root / root.sum()], [-1], [-1], [True]
-        at = {(0, 0): 0}  # (depth, context) -> state
-        for d in range(1, DEPTH + 1):
-            rows = np.nonzero(depth == d)[0]
-            rows = rows[np.argsort(gram[rows], kind="stable")]
-            context, first = np.unique(gram[rows] >> 8, return_index=True)
-            for c, own in zip(context.tolist(), np.split(rows, first[1:])):
-                up = at.get((d - 1, c & ((1 << 8 * (d - 1)) - 1)))
-                if up is None:
-                    continue
-                counted = np.zeros(self.classes)
-                counted[self.of_byte[gram[own] & 255]] = n[own]
-                prior = PRIOR * np.count_nonzero(counted)
-                p = (counted + prior * probability[up]) / (counted.sum() + prior)
-                at[d, c] = len(probability)
-                keep.append(float((p * np.log(p / probability[up])).sum()) >= MIN_DIVERGENCE)
-                probability.append(p)
-                parent.append(up)
-                symbol.append(int(self.of_byte[c >> 8 * (d - 1) & 255]))
-        for i in range(len(parent) - 1, 0, -1):  # suffixes of retained contexts; a state comes after its parent
-            if keep[i]:
-                keep[parent[i]] = True
-        number = np.cumsum(keep) - 1
-        self.states = int(number[-1]) + 1
-        self.child = np.zeros((self.states, self.classes), np.int32)
-        for i in range(1, len(parent)):
-            if keep[i]:
-                self.child[number[parent[i]], symbol[i]] = number[i]
-        p = np.array([x for x, k in zip(probability, keep) if k])
-        self.log = np.log10(p / np.maximum(share, 1)).astype(np.float32)
-
-    def score(self, joined: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its words joined by one space."""
-        data, at, start = sequence(joined)
-        symbols, child, log = self.of_byte[data], self.child.ravel(), self.log.ravel()
-        out, step = np.empty(len(at)), 1 << 14  # so that the arrays of a step stay in the cache
-        for begin in range(0, len(at), step):
-            own = at[begin : begin + step]
-            state = child.take(symbols.take(own - 1))  # the root is state 0, whose children come first
-            live = np.flatnonzero(state)
-            for back in range(2, DEPTH + 1):
-                found = child.take(state.take(live) * self.classes + symbols.take(own.take(live) - back))
-                more = np.flatnonzero(found)
-                live, found = live.take(more), found.take(more)
-                state[live] = found
-            out[begin : begin + step] = log.take(state * self.classes + symbols.take(own))
-        return np.add.reduceat(out, start)
-
-
-class Model(NamedTuple):
-    frequent: list[bytes]
-    counts: np.ndarray  # of the frequent words, over all training texts
-    gram: np.ndarray  # the frequent grams, in order
-    log: np.ndarray  # of their probabilities
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """docs has ref, text and train. Beside the model, (gram, log) of the grams that aren't frequent."""
-    frequent = frequent_words(docs.where("train"))
-    full = settle(grams(docs, frequent))
-    own, counts = full.where("word").toArrow(), np.zeros(len(frequent), np.int64)
-    counts[own.column("gram").to_numpy()] = own.column("n").to_numpy()
-    scored = probabilities(full)
-    total = scored.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    usual = F.col("m") >= FREQUENT_GRAM_SHARE * total
-    found = scored.where(usual).select("gram", "log").toArrow()
-    gram, log = found.column("gram").to_numpy(), found.column("log").to_numpy()
-    order = np.argsort(gram)
-    return Model(frequent, counts, gram[order], log[order]), scored.where(~usual).select("gram", "log")
-
-
-WORDS = "word binary, n long, batch long, texts boolean, payload binary, log double"
-PARTS = "batch long, texts boolean, payload binary, train_tokens long, distinct_words long"
-RESULT = "doc_id long, held_out boolean, n_tokens long, score double, logs double, known long, train_tokens long, distinct_words long"
-# Payloads are rows of these side by side: Spark moves one binary value where it would copy lists item by item.
-POSTING = np.dtype([("text", "<u4"), ("times", "<u4")])
-TEXT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("score", "<f8"), ("logs", "<f8"), ("known", "<i8")])
-SUM = np.dtype([("text", "<u4"), ("logs", "<f8"), ("known", "<i8"), ("score", "<f8")])
-
-
-def arrow(schema: str) -> pa.Schema:
-    types = {"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
-    return pa.schema([(name, types[kind]) for name, kind in (x.split() for x in schema.split(", "))])
-
-
-def packed(rows: np.ndarray, cut: np.ndarray) -> pa.Array:
-    """A binary value of the rows between each two cuts."""
-    offsets = (cut * rows.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
-
-
-def unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(all rows, how many each value has)."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), kind), np.array([len(v) for v in values], np.int64) // kind.itemsize
-
-
-def gram_words(gram: np.ndarray) -> pa.Array:
-    """The words that stand for grams: no word of a text has a line feed."""
-    out = np.full((len(gram), 10), END[0], np.uint8)
-    out[:, 2:] = gram.astype(">i8").view(np.uint8).reshape(-1, 8)
-    return packed(out.reshape(-1), np.arange(len(gram) + 1) * 10)
-
-
-def gram_word(gram: str) -> Column:
-    return F.concat(F.lit(bytearray(END * 2)), F.unhex(F.lpad(F.hex(gram), 16, "0")))
-
-
-def postings(docs: DataFrame, model: Model) -> DataFrame:
-    """Of each stretch of texts: a row for each word, with its training count and postings; and a row of all its texts.
-
-    A gram of the texts has a row as a word has. Frequent words and grams have none; their part of the base and score is
-    in the row of the texts.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left * ODD[0] + right
+    x = (x ^ (x >> np.uint64(30))) * ODD[1]
+    x = (x ^ (x >> np.uint64(27))) * ODD[2]
+    return x ^ (x >> np.uint64(31))
+
+
+RECORD = "stretch long, tokens long, train_tokens long, payload binary"
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """Of each stretch of docs (ref, doc_id, text, train): its distinct words' keys, and its texts as places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        frequent = {w: i for i, w in enumerate(shared.value.frequent)}
         for batch in batches:
             held.append(batch)
             if sum(x.nbytes for x in held) >= BYTES_AT_ONCE:
-                yield from stretch(pa.Table.from_batches(held), frequent)
+                yield stretch(pa.Table.from_batches(held))
                 held = []
         if sum(x.num_rows for x in held):
-            yield from stretch(pa.Table.from_batches(held), frequent)
-
-    def stretch(rows: pa.Table, frequent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        own = {c: rows.column(c).combine_chunks() for c in rows.column_names}
-        joined, codes, number, counts = [], [], frequent.copy(), shared.value.counts
-        for t in texts(own["text"]):
-            words = t.lower().split()
-            joined.append(b" ".join(words))
-            words.append(END)
-            codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
-        docs_here, length = len(joined), np.array([len(c) for c in codes])
-        first_ref, train = own["ref"][0].as_py(), own["train"].to_numpy(zero_copy_only=False).astype(bool)
-        code, of_text = np.concatenate(codes).astype(np.int64), np.repeat(np.arange(docs_here), length)
-        del codes
-        text = np.empty(docs_here, TEXT)
-        usual = code < len(frequent)
-        text["logs"] = np.bincount(of_text[usual], np.log10(counts + 1.0)[code[usual]], docs_here)
-        text["known"] = np.bincount(of_text[usual], (counts > 0)[code[usual]], docs_here)
-        words = list(number)[len(frequent) :]
-        pair, times = np.unique((code[~usual] - len(frequent)) * docs_here + of_text[~usual], return_counts=True)
-        found = np.empty(len(pair), POSTING)
-        found["text"], found["times"] = pair % docs_here, times
-        cut = np.searchsorted(pair, np.arange(len(words) + 1) * docs_here)
-        n = np.add.reduceat(times * train[found["text"]], cut[:-1]) if words else np.zeros(0, np.int64)
-        schema = arrow(WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(np.full(len(n), first_ref)), pa.array(np.zeros(len(n), bool)), packed(found, cut), pa.nulls(len(n), pa.float64())], schema=schema)
-        score, gram, found, cut = gram_postings(joined)
-        yield pa.RecordBatch.from_arrays([gram_words(gram), pa.array(np.zeros(len(gram), np.int64)), pa.array(np.full(len(gram), first_ref)), pa.array(np.zeros(len(gram), bool)), packed(found, cut), pa.nulls(len(gram), pa.float64())], schema=schema)
-        text["doc_id"], text["has_id"] = own["doc_id"].fill_null(0).to_numpy(), own["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-        text["held_out"], text["n_tokens"], text["score"] = ~train, length, score
-        yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % first_ref], pa.binary()), pa.array([0]), pa.array([first_ref]), pa.array([True]), pa.array([text.tobytes()], pa.binary()), pa.nulls(1, pa.float64())], schema=schema)
-
-    def gram_postings(joined: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(what the frequent grams give each text, the other grams, their postings, the cuts between those)."""
-        data, at, start = sequence(joined)
-        key, of_text = keys(data, at), np.repeat(np.arange(len(joined), dtype=np.uint32), np.diff(np.append(start, len(at))))
-        usual, log = shared.value.gram, np.append(shared.value.log, 0.0)
-        where = np.searchsorted(usual, key)
-        there = np.append(usual, 0)[where] == key if len(usual) else np.zeros(len(key), bool)
-        there &= where < len(usual)
-        score = np.bincount(of_text[there], log[where[there]], len(joined))
-        key, of_text = key[~there], of_text[~there]
-        order = np.argsort(key, kind="stable")  # texts stay in order within a gram
-        key, of_text = key[order], of_text[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        pair = new.copy()
-        pair[1:] |= of_text[1:] != of_text[:-1]
-        first = np.flatnonzero(pair)
-        found = np.empty(len(first), POSTING)
-        found["text"], found["times"] = of_text[first], np.diff(np.append(first, len(key)))
-        return score, key[new], found, np.append(np.searchsorted(first, np.flatnonzero(new)), len(first))
-
-    return docs.mapInArrow(run, WORDS)
-
-
-def contributions(counted: DataFrame) -> DataFrame:
-    """From words with their count over all stretches, sums by text in a row for each stretch; batch -1 carries N and V.
-
-    What a stretch's texts get from some words is one row, so that rows grow with stretches, not with postings.
+            yield stretch(pa.Table.from_batches(held))
+
+    def stretch(rows: pa.Table) -> pa.RecordBatch:
+        number: dict[bytes, int] = {b"\n": 0}
+        codes = []
+        for t in texts(rows.column("text").combine_chunks()):
+            own = t.lower().split()
+            own.append(b"\n")
+            codes.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
+        length = np.array([len(c) for c in codes])
+        key, place = np.unique(np.array([END, *(xxhash.xxh64_intdigest(w) for w in list(number)[1:])], np.uint64), return_inverse=True)
+        doc_id, train = rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        ids, has_id = doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False)
+        payload = pack(steps(key), place[np.concatenate(codes)], length, train, has_id, ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([rows.column("ref")[0].as_py()]), pa.array([int(length.sum())]), pa.array([int(length[train].sum())]), pa.array([payload], pa.binary())], ["stretch", "tokens", "train_tokens", "payload"]
+        )
+
+    return docs.mapInArrow(run, RECORD)
+
+
+class Corpus(NamedTuple):
+    """What all stretches need to know of the corpus: a few numbers."""
+
+    bits: int  # of the keys of grams of two tokens or more
+    slice_bits: int
+    train_tokens: int
+    distinct: int = 0
+
+
+class Grams(NamedTuple):
+    """The grams of some tokens that end at each place of a stretch: distinct keys in order, training counts, the key of
+    each place (-1 for none), a place of each key."""
+
+    key: np.ndarray
+    n: np.ndarray
+    of_place: np.ndarray
+    place: np.ndarray
+
+
+class Stretch:
+    """The texts of a record one after the other, each after DEPTH marks; grams[k] are those of k tokens."""
+
+    def __init__(self, payload: bytes, corpus: Corpus) -> None:
+        self.corpus = corpus
+        steps_, code, length, train, has_id, ids = unpack(payload)
+        self.length, self.train, self.has_id, self.ids = length.astype(np.int64), train.astype(bool), has_id.astype(bool), ids.view(np.int64)
+        texts_, tokens = len(length), len(code)
+        self.of_text = np.repeat(np.arange(texts_), self.length)
+        self.token = np.arange(tokens) + (self.of_text + 1) * DEPTH
+        word = np.full(tokens + texts_ * DEPTH, BEFORE, np.uint64)
+        word[self.token] = np.cumsum(steps_, dtype=np.uint64)[code]
+        last_mark = self.token[np.cumsum(self.length) - self.length] - 1
+        trained = np.zeros(len(word), bool)
+        trained[self.token], trained[last_mark] = self.train[self.of_text], self.train
+        self.is_token = np.zeros(len(word), bool)
+        self.is_token[self.token] = True
+        counted = self.is_token.copy()
+        self.grams: dict[int, Grams] = {}
+        gram = word
+        for k in range(1, DEPTH + 2):
+            if k > 1:
+                gram = np.concatenate([word[:1], mixed(gram[:-1], word[1:])])
+            counted[last_mark] = k <= DEPTH
+            places = np.flatnonzero(counted)
+            own = gram[places] if k == 1 else gram[places] >> np.uint64(64 - corpus.bits)
+            key, first, which = np.unique(own, return_index=True, return_inverse=True)
+            of_place = np.full(len(word), -1, np.int32)
+            of_place[places] = which
+            self.grams[k] = Grams(key, np.bincount(which, trained[places], len(key)).astype(np.int64), of_place, places[first])
+
+    def slices(self, k: int, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(slice, places among the distinct keys, or some of them) of grams of k tokens."""
+        key = self.grams[k].key
+        some = np.arange(len(key)) if some is None else some
+        bits = 64 if k == 1 else self.corpus.bits
+        slice_ = key[some] >> np.uint64(bits - self.corpus.slice_bits) if self.corpus.slice_bits else np.zeros(len(some), np.uint64)
+        cuts = np.flatnonzero(np.diff(slice_, prepend=slice_[:1] + np.uint64(1))) if len(some) else np.zeros(0, int)
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(some))):
+            yield int(slice_[lo]), some[lo:hi]
+
+    def contexts(self, d: int, total: dict[int, np.ndarray]) -> np.ndarray:
+        """The candidates among the contexts of d tokens, as places among the distinct keys."""
+        context = np.unique(self.grams[d].of_place[self.token - 1])
+        return context[total[d][context] >= MIN_COUNT]
+
+
+ASKED = "size int, slice long, stretch long, payload binary"
+ANSWER = "size int, slice long, stretch long, payload binary, distinct long"
+
+
+def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["size", "slice", "stretch", "payload"])
+
+
+def answered(requests: DataFrame, counts: bool) -> DataFrame:
+    """What all stretches together have of each key that one of them asks for, in its order of keys.
+
+    Requests hold keys and numbers. Of counts the answer has the sum, and whether the stretch is the first that has the
+    gram in training; of contexts, whether they are retained and how many different next symbols they have.
     """
-    schema = arrow(PARTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = v = size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            of_texts = batch.column("texts")
-            own = batch.filter(of_texts)
-            if own.num_rows:
-                zero = pa.array(np.zeros(own.num_rows, np.int64))
-                yield pa.RecordBatch.from_arrays([own.column("batch"), own.column("texts"), own.column("payload"), zero, zero], schema=schema)
-            words = batch.filter(pa.compute.invert(of_texts))
-            if not words.num_rows:
-                continue
-            c, stretch = words.column("c").to_numpy(), words.column("batch").to_numpy()
-            word, log = words.column("gram_log").is_null().to_numpy(zero_copy_only=False), words.column("gram_log").fill_null(0.0).to_numpy()
-            n += int(words.column("n").to_numpy().sum())
-            v += int((word & (words.column("first").to_numpy() == stretch) & (c > 0)).sum())
-            rows, lengths = unpacked(words.column("payload"), POSTING)
-            each = lambda x: rows["times"] * np.repeat(x, lengths)  # noqa: B023, E731
-            held.append((np.repeat(stretch, lengths), rows["text"], each(np.log10(c + 1.0) * word), each(word & (c > 0)), each(log)))
-            size += len(rows)
-            if size >= POSTINGS_AT_ONCE:
-                yield summed(held)
-                held, size = [], 0
-        if held:
-            yield summed(held)
-        if n or v:
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([False]), pa.array([b""], pa.binary()), pa.array([n]), pa.array([v])], schema=schema)
-
-    def summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        batch, text, logs, known, score = (np.concatenate(x) for x in zip(*held))
-        stretch, which = np.unique(batch, return_inverse=True)
-        key, where = np.unique(which.astype(np.int64) << 32 | text, return_inverse=True)
-        rows = np.empty(len(key), SUM)
-        rows["text"], rows["logs"], rows["known"] = key & 0xFFFFFFFF, np.bincount(where, logs, len(key)), np.bincount(where, known, len(key))
-        rows["score"] = np.bincount(where, score, len(key))
-        zero = pa.array(np.zeros(len(stretch), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(stretch), pa.array(np.zeros(len(stretch), bool)), packed(rows, np.searchsorted(key >> 32, np.arange(len(stretch) + 1))), zero, zero], schema=schema)
-
-    return counted.mapInArrow(run, PARTS)
-
-
-def gathered(parts: DataFrame) -> DataFrame:
-    """Of the rows of each stretch, side by side with that of its texts first, a row of each text; N and V as they are."""
-    schema = arrow(RESULT)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("stretch")
+        size, slice_ = rows.column("size")[0].as_py(), rows.column("slice")[0].as_py()
+        parts = [unpack(x) for x in rows.column("payload").to_pylist()]
+        keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        own = [np.concatenate([p[i] for p in parts]) for i in (1, 2)] if not counts else [np.concatenate([p[1] for p in parts])]
+        if counts:
+            n = np.bincount(which, own[0].astype(float), len(key)).astype(np.int64)
+            there = np.flatnonzero(own[0] > 0)
+            owner = np.zeros(len(which), bool)
+            owner[there[np.unique(which[there], return_index=True)[1]]] = True
+            columns, distinct = (n[which], owner), int((n > 0).sum() - (size == 1 and bool((n[key == np.uint64(BEFORE)] > 0).any())))
+        else:
+            gain = np.bincount(which, unfolded(own[0]).astype(float), len(key))
+            columns, distinct = ((gain >= MIN_GAIN * STEPS)[which], np.bincount(which, own[1].astype(float), len(key))[which]), 0
+        cuts = np.cumsum([0, *map(len, keys)])
+        payload = [pack(*(c[lo:hi] for c in columns)) for lo, hi in zip(cuts, cuts[1:])]
+        return pa.table(
+            {"size": rows.column("size"), "slice": rows.column("slice"), "stretch": rows.column("stretch"), "payload": pa.array(payload, pa.binary()), "distinct": pa.array([distinct] + [0] * (len(parts) - 1), pa.int64())}
+        )
+
+    return requests.groupBy("size", "slice").applyInArrow(run, ANSWER)
+
+
+def counts(stretches: DataFrame, corpus: Corpus) -> DataFrame:
+    """The request of each stretch for the counts of its distinct grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, text, n, v = None, None, 0, 0
         for batch in batches:
-            for stretch, of_texts, payload, own_n, own_v in zip(*(batch.column(c).to_pylist() for c in ("batch", "texts", "payload", "train_tokens", "distinct_words"))):
-                n, v = n + own_n, v + own_v
-                if stretch == -1:
-                    continue
-                if stretch != now:
-                    if now is not None:
-                        yield result(text)
-                    now, text = stretch, np.frombuffer(payload, TEXT).copy()
-                if not of_texts:
-                    rows = np.frombuffer(payload, SUM)
-                    for own in ("logs", "known", "score"):
-                        text[own][rows["text"]] += rows[own]
-        if now is not None:
-            yield result(text)
-        if n or v:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:-2] + [pa.array([n]), pa.array([v])], schema=schema)
-
-    def result(text: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(text), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(text["doc_id"], mask=~text["has_id"]), pa.array(text["held_out"]), pa.array(text["n_tokens"]), pa.array(text["score"]), pa.array(text["logs"]), pa.array(text["known"]), none, none], schema=schema
+            for id_, payload in zip(batch.column("stretch").to_pylist(), batch.column("payload").to_pylist()):
+                own = Stretch(payload, corpus)
+                for k, grams in own.grams.items():
+                    yield from asked([(k, s, id_, pack(steps(grams.key[at]), grams.n[at])) for s, at in own.slices(k)]).to_batches()
+
+    return stretches.select("stretch", "payload").mapInArrow(run, ASKED)
+
+
+class Known(NamedTuple):
+    """A stretch with the answers that it has got, by the number of tokens."""
+
+    stretch: Stretch
+    total: dict[int, np.ndarray]  # training counts of its distinct grams in the whole corpus
+    owner: dict[int, np.ndarray]
+    kept: dict[int, np.ndarray]  # of its candidates
+    followers: dict[int, np.ndarray]
+
+
+def met(rows: pa.Table, corpus: Corpus) -> tuple[int, Known]:
+    """From the rows of a stretch: round 0 is its record, rounds 1 and 2 have answers."""
+    rows = rows.sort_by([("round", "ascending"), ("size", "ascending"), ("slice", "ascending")])
+    own: Stretch | None = None
+    got: tuple[dict[int, list], dict[int, list]] = ({}, {})
+    for round_, size, payload in zip(*(rows.column(c).to_pylist() for c in ("round", "size", "payload"))):
+        if not round_:
+            own = Stretch(payload, corpus)
+        else:
+            got[round_ - 1].setdefault(size, []).append(unpack(payload))
+    joined = [{k: [np.concatenate(x) for x in zip(*parts)] for k, parts in answers.items()} for answers in got]
+    first, second = ({k: (a.astype(np.int64), b.astype(float if i else bool)) for k, (a, b) in x.items()} for i, x in enumerate(joined))
+    return rows.column("stretch")[0].as_py(), Known(own, {k: a for k, (a, _) in first.items()}, {k: b for k, (_, b) in first.items()}, {k: a > 0 for k, (a, _) in second.items()}, {k: b for k, (_, b) in second.items()})
+
+
+def divergences(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """The request of each stretch for its candidates, with what the grams that it owns contribute."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        id_, known = met(rows, corpus)
+        own, out = known.stretch, []
+        for d in range(1, DEPTH + 1):
+            grams, total = own.grams, known.total
+            mine = np.flatnonzero(known.owner[d + 1])
+            mine = mine[own.is_token[grams[d + 1].place[mine]]]  # what stands before a text is no symbol
+            place = grams[d + 1].place[mine]
+            context = grams[d].of_place[place - 1]
+            some = total[d][context] >= MIN_COUNT
+            mine, place, context = mine[some], place[some], context[some]
+            n, of = total[d + 1][mine], total[d][context]
+            up = total[d][grams[d].of_place[place]]
+            of_up = total[d - 1][grams[d - 1].of_place[place - 1]] if d > 1 else corpus.train_tokens
+            gain = np.rint(STEPS * n * np.log((n / of) / (up / of_up)))
+            asks = own.contexts(d, total)
+            size = len(grams[d].key)
+            gains, followers = np.bincount(context, gain, size).astype(np.int64), np.bincount(context, minlength=size)
+            out += [(d, s, id_, pack(steps(grams[d].key[at]), folded(gains[at]), followers[at])) for s, at in own.slices(d, asks)]
+        return asked(out)
+
+    return rows.groupBy("stretch").applyInArrow(run, ASKED)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def scored(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        known = met(rows, corpus)[1]
+        own, total = known.stretch, known.total
+        grams, token, texts_ = own.grams, own.token, len(own.length)
+        c = total[1][grams[1].of_place[token]]
+        base = (c + 1) / (corpus.train_tokens + corpus.distinct + 1)
+        p = score = base
+        for d in range(1, DEPTH + 1):
+            asks, size = own.contexts(d, total), len(grams[d].key)
+            kept, followers = np.zeros(size, bool), np.zeros(size)
+            if len(asks):
+                kept[asks], followers[asks] = known.kept[d], known.followers[d]
+            context = grams[d].of_place[token - 1]
+            prior = PRIOR * followers[context]
+            p = np.where(prior > 0, (total[d + 1][grams[d + 1].of_place[token]] + prior * p) / np.maximum(total[d][context] + prior, 1), p)
+            score = np.where(kept[context], p, score)
+        of_text = lambda x: np.bincount(own.of_text, x, texts_)
+        return pa.table(
+            {
+                "doc_id": pa.array(own.ids, mask=~own.has_id),
+                "held_out": ~own.train,
+                "n_tokens": own.length,
+                "n_known": of_text(c > 0).astype(np.int64),
+                "base_score": of_text(np.log10(base)),
+                "score": of_text(np.log10(score)),
+            }
         )
 
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "batch").sortWithinPartitions("batch", F.desc("texts")).mapInArrow(run, RESULT)
+    return rows.groupBy("stretch").applyInArrow(run, SCORED)
+
+
+def rounds(stretches: DataFrame, *answers: DataFrame) -> DataFrame:
+    rows = stretches.select("stretch", F.lit(0).alias("round"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("slice"), "payload")
+    for i, own in enumerate(answers, 1):
+        rows = rows.union(own.select("stretch", F.lit(i), "size", "slice", "payload"))
+    return rows
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
     Rows with crc32(doc_id as text) mod 7 = 2 are held out of all learning; a null id counts as the empty text. Null
-    texts count as empty and have one token, the end. Repeated rows are learned and scored as often as they occur. An
-    empty table gives no row; without training rows every symbol has its share of the root prior. Only doc_id and text
-    are read.
+    texts count as empty and have one token, the end. Repeated rows are learned and scored as often as they occur. In the
+    base and so in the score a token that isn't known has the share of one unknown token. An empty table gives no row;
+    without training rows that share is 1. Only doc_id and text are read.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark, 256)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"), F.monotonically_increasing_id().alias("ref")
     )
-    model, scored = train(rows)
-    known = scored.select(gram_word("gram").alias("word"), *[F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("batch", "long"), ("texts", "boolean"), ("payload", "binary"))], "log")
-    of_word = Window.partitionBy("word")
-    words = postings(rows, model).union(known)
-    counted = words.select("*", F.sum("n").over(of_word).alias("c"), F.min("batch").over(of_word).alias("first"), F.max("log").over(of_word).alias("gram_log")).where("payload is not null").drop("log")
-    text = settle(gathered(contributions(counted)))
-    total = text.where("train_tokens is not null").agg(F.sum("train_tokens").alias("train_tokens"), F.sum("distinct_words").alias("distinct_words")).first()
-    n, v = (total.train_tokens or 0) + int(model.counts.sum()), (total.distinct_words or 0) + int((model.counts > 0).sum())
-    return text.where("train_tokens is null").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        F.col("known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        "score",
-    )
+    stretches = settle(records(rows))
+    small_batches(spark, 4)  # a row can have some megabytes
+    size = stretches.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
+    corpus = Corpus(min(64, size.n.bit_length() + SPARE_BITS), max(0, (size.n // TOKENS_A_SLICE).bit_length()), size.train)
+    first = settle(answered(counts(stretches, corpus), True))
+    corpus = corpus._replace(distinct=first.where("size = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
+    second = settle(answered(divergences(rounds(stretches, first), corpus), False))
+    out = settle(scored(rounds(stretches, first, second), corpus))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

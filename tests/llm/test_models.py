@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,61 +122,104 @@ def plain_base(rows) -> dict[int, tuple[int, int, float]]:
     return {i: (len(own), sum(count[t] > 0 for t in own), sum(np.log10((count[t] + 1) / (n + v + 1)) for t in own), n) for i, own in tokens.items()}
 
 
-@pytest.mark.parametrize("share", [2.0, 1e-3, 0.0], ids=["none_frequent", "some", "all"])
-def test_unigram_base_and_better_scores(spark, monkeypatch, share):
-    monkeypatch.setattr(suffix_tree, "FREQUENT_SHARE", share)
-    docs = sample(spark, DATA)
-    got = suffix_tree.lm_scores(docs).collect()
-    expected = plain_base(docs.collect())
+def plain_scores(rows) -> dict[int, float]:
+    """The suffix tree in one place, by dictionaries of token tuples."""
+    from collections import Counter, defaultdict
+    from math import log, log10
+
+    depth = suffix_tree.DEPTH
+    of = lambda r: [b""] * depth + [*(r.text or "").encode().lower().split(), b"\n"]
+    count, follow = Counter(), defaultdict(Counter)
+    for r in rows:
+        own = of(r)
+        if held_out(r.doc_id, 7, 2):
+            continue
+        for at in range(depth, len(own)):
+            count[own[at]] += 1
+            for d in range(1, depth + 1):
+                follow[tuple(own[at - d : at])][own[at]] += 1
+    n, v = sum(count.values()), len(count)
+    kept = set()
+    for context, after in follow.items():
+        m = sum(after.values())
+        up = follow[context[1:]] if len(context) > 1 else count
+        gain = sum(round(suffix_tree.STEPS * k * log(k / m / (up[w] / sum(up.values())))) for w, k in after.items())
+        if m >= suffix_tree.MIN_COUNT and gain >= suffix_tree.MIN_GAIN * suffix_tree.STEPS:
+            kept.add(context)
+    out = {}
+    for r in rows:
+        own, total = of(r), 0.0
+        for at in range(depth, len(own)):
+            p = score = (count[own[at]] + 1) / (n + v + 1)
+            for d in range(1, depth + 1):
+                context = tuple(own[at - d : at])
+                after = follow.get(context)
+                if after and sum(after.values()) >= suffix_tree.MIN_COUNT:
+                    p = (after[own[at]] + suffix_tree.PRIOR * len(after) * p) / (sum(after.values()) + suffix_tree.PRIOR * len(after))
+                    score = p if context in kept else score
+            total += log10(score)
+        out[r.doc_id] = total
+    return out
+
+
+@pytest.mark.parametrize("bytes_at_once", [2000, 12 << 20], ids=["many_stretches", "few"])
+def test_unigram_base_and_the_tree_in_one_place(spark, monkeypatch, bytes_at_once):
+    monkeypatch.setattr(suffix_tree, "BYTES_AT_ONCE", bytes_at_once)
+    monkeypatch.setattr(suffix_tree, "TOKENS_A_SLICE", 1 << 16)
+    docs = sample(spark, "/root/testdata/sf0.001")
+    got, rows = suffix_tree.lm_scores(docs).collect(), docs.collect()
+    expected, scores = plain_base(rows), plain_scores(rows)
+    assert len(got) == len(rows)
     for r in got:
         n, known, base, total = expected[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, held_out(r.doc_id, 7, 2))
-        assert r.base_score == pytest.approx(base, rel=1e-9)
-    assert all(r.score < 0 for r in got)
-    own = [r for r in got if not r.held_out]
-    assert sum(r.score for r in own) > sum(r.base_score for r in own)
-
-
-def test_suffix_tree_is_a_distribution_and_uses_longest_suffixes(spark):
-    docs = sample(spark, DATA).withColumn("train", F.lit(True))
-    table = suffix_tree.candidates(suffix_tree.grams(docs))
-    tree = suffix_tree.Tree(table)
-    share = np.append(np.ones(tree.classes - 1), 256 - (tree.classes - 1))
-    assert np.allclose((10.0**tree.log.astype(float) * share).sum(axis=1), 1, atol=1e-4)
-    lists = [b"the than of".split(), [], "öß漢".encode().split()]
-
-    def plain(tokens: list[bytes]) -> float:
-        text, total = b"\n" * suffix_tree.DEPTH + b" ".join(tokens) + b"\n", 0.0
-        for at in range(suffix_tree.DEPTH, len(text)):
-            state = 0
-            for back in range(1, suffix_tree.DEPTH + 1):
-                child = tree.child[state, tree.of_byte[text[at - back]]]
-                if not child:
-                    break
-                state = child
-            total += tree.log[state, tree.of_byte[text[at]]]
-        return total
-
-    assert tree.score([b" ".join(t) for t in lists]) == pytest.approx([plain(t) for t in lists], rel=1e-5)
-
-
-def test_suffix_tree_by_joins_equals_the_tree_in_one_place(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "FREQUENT_GRAM_SHARE", 1e-4)
-    docs = sample(spark, DATA)
-    rows, got = docs.collect(), {r.doc_id: r.score for r in suffix_tree.lm_scores(docs).collect()}
-    learned = spark.createDataFrame([(r.text, True) for r in rows if not held_out(r.doc_id, 7, 2)], "text string, train boolean")
-    tree = suffix_tree.Tree(suffix_tree.candidates(suffix_tree.grams(learned)))
-    expected = tree.score([b" ".join((r.text or "").encode().lower().split()) for r in rows])
-    assert [got[r.doc_id] for r in rows] == pytest.approx(expected.tolist(), rel=1e-4)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(scores[r.doc_id], rel=1e-9)
+
+
+def test_held_out_texts_score_better_than_by_the_base(spark):
+    got = suffix_tree.lm_scores(sample(spark, DATA)).collect()
+    for own in ([r for r in got if r.held_out], [r for r in got if not r.held_out]):
+        assert len(own) > 100 and sum(r.score for r in own) > sum(r.base_score for r in own)
+
+
+def test_starts_and_unknown_tokens(spark):
+    """Held-out texts after any start, with and without known tokens, score as by the tree in one place."""
+    random = np.random.default_rng(4)
+    known = [f"w{i}" for i in range(6)]
+    docs = [(i, " ".join(random.choice(known, random.integers(1, 30)))) for i in range(60)]
+    starts = ["", "w1", "w1 w2", "w3 unheard", "w2 w2 w2 w5"]
+    asked = [(1000 + i, f"{s} {w}".strip()) for i, (s, w) in enumerate((s, w) for s in starts for w in [*known, "another", ""])]
+    asked = [(next(j for j in range(i * 1000, i * 1000 + 999) if held_out(j, 7, 2)), t) for i, t in asked]
+    got = {r.doc_id: r for r in suffix_tree.lm_scores(spark.createDataFrame([d for d in docs if not held_out(d[0], 7, 2)] + asked, "doc_id long, text string")).collect()}
+    plain = plain_scores(spark.createDataFrame([d for d in docs if not held_out(d[0], 7, 2)] + asked, "doc_id long, text string").collect())
+    assert all(got[i].score == pytest.approx(plain[i]) for i, _ in asked)
 
 
 def test_a_context_counts_the_same_however_large_the_corpus(spark):
-    def states(filler: int) -> int:
-        docs = spark.range(20 + filler).selectExpr("if(id < 20, 'qzx wvk', 'abc abd abe') as text", "true as train")
-        table = suffix_tree.candidates(suffix_tree.grams(docs))
-        return sum(g >> 8 == int.from_bytes(b"qzx wvk"[-suffix_tree.DEPTH :], "big") for g in table.filter(pc.equal(table["depth"], suffix_tree.DEPTH))["gram"].to_pylist())
+    """What repeats in training is learned, also among a thousand times as many other tokens."""
+    first, second = [i for i in range(20) if not held_out(i, 7, 2)][:2]
+    row = [(first, "the rare qzx wvk passage"), (second, "the rare qzx wvk passage")]
+    for n in (10, 3000):
+        noise = [(i, " ".join(f"n{j}" for j in range(i, i + 5))) for i in range(100, 100 + n)]
+        got = {r.doc_id: r for r in suffix_tree.lm_scores(spark.createDataFrame(row + noise, "doc_id long, text string")).collect()}
+        assert got[first].score > got[first].base_score + 2
+
 
-    assert states(10) == states(200_000) == 1
+def test_long_frequent_tokens_are_scored(spark):
+    rule = "-" * 300
+    docs = spark.createDataFrame([(i, f"{rule} a{i % 3} {rule}") for i in range(500)], "doc_id long, text string")
+    rows = docs.collect()
+    expected, scores = plain_base(rows), plain_scores(rows)
+    for r in suffix_tree.lm_scores(docs).collect():
+        assert r.base_score == pytest.approx(expected[r.doc_id][2]) and r.score == pytest.approx(scores[r.doc_id])
+
+
+def test_numbers_are_packed_and_unpacked():
+    random = np.random.default_rng(2)
+    columns = [random.integers(0, 1 << b, n, dtype=np.uint64) for b, n in ((1, 5), (63, 100), (9, 0), (20, 1))]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, suffix_tree.unpack(suffix_tree.pack(*columns))))
+    signed = np.array([0, -1, 1, -(1 << 40), 1 << 40])
+    assert (suffix_tree.unfolded(suffix_tree.folded(signed).astype("<u8")) == signed).all()
 
 
 def test_odd_documents_are_scored(spark):
