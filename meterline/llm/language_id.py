@@ -7,8 +7,6 @@ zero state, all of a batch side by side.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +21,6 @@ PER_LANGUAGE = 400
 STEPS, BATCH, RATE, WINDOW = 300, 256, 0.02, 64
 SIDE_BY_SIDE = 1024
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class Network:
@@ -34,6 +31,7 @@ class Network:
 
     def __init__(self, languages: list[str], seed: int = 7) -> None:
         self.languages, h, k = languages, HIDDEN, len(languages)
+        self.familiar = np.zeros(256, bool)  # bytes of the texts learned from
         random = np.random.default_rng(seed)
         self.w: dict[str, np.ndarray] = {"bias": np.zeros(k, np.float32)}
         for d in "fb":
@@ -128,6 +126,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     if not languages:
         return None
     net, random = Network(languages), np.random.default_rng(11)
+    for text, _ in sample:
+        net.familiar[np.unique(np.frombuffer(text, np.uint8))] = True
     by_language = [[t for t, label in sample if label == x] for x in languages]
     adam = Adam(net.w, RATE)
     for step in range(STEPS):
@@ -147,7 +147,7 @@ def judge(net: Network | None, column: pa.Array) -> tuple[list[str], np.ndarray]
     documents = texts(column)
     p = net.pooled([t.replace(b"\0", b" ") for t in documents]) if net else np.zeros((len(documents), 1))
     best = p.argmax(axis=1)
-    lettered = [net is not None and LETTER.search(t.decode("utf-8", "replace")) is not None for t in documents]
+    lettered = [net is not None and any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in documents]
     return [net.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)], np.where(lettered, p.max(axis=1), 0.0).clip(0, 1)
 
 
@@ -170,17 +170,32 @@ def languages(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: A document is kept in a pipeline if its language is determined with this score.
-KEEP_SCORE = 0.3
+#: A document is kept in a pipeline if its score, times the share of its bytes that the learned texts have, lies this
+#: part of the way from chance to certainty; for a text of n bytes the bar is n / (n + SHORT) of that, as few bytes tell little.
+SURE, SHORT = 0.3, 200
+
+
+def bar(languages: int, length: np.ndarray) -> np.ndarray:
+    return 1 / languages + (1 - 1 / languages) * SURE * length / (length + SHORT)
+
+
+def identified(net: Network | None, column: pa.Array) -> np.ndarray:
+    """Whether each text's language can be told: it is learned, and more likely by far than chance has it."""
+    documents = texts(column)
+    if net is None:
+        return np.zeros(len(documents), bool)
+    predicted, score = judge(net, column)
+    share = np.array([net.familiar[np.frombuffer(t, np.uint8)].mean() if t else 0.0 for t in documents])
+    length = np.array([len(t) for t in documents], float)
+    return (np.array(predicted, object) != UNDETERMINED) & (score * share >= bar(max(2, len(net.languages)), length))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which the language can be told."""
+    """The rows of docs, all columns, of which the language can be told; where one language alone is learned, chance is a half."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        predicted, score = judge(shared.value, batch.column("text"))
-        return batch.filter(pa.array([p != UNDETERMINED and s >= KEEP_SCORE for p, s in zip(predicted, score)]))
+        return batch.filter(pa.array(identified(shared.value, batch.column("text"))))
 
     return map_arrow(docs, run, docs.schema)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, map_arrow, settle, small_batches, texts
 
@@ -147,7 +148,7 @@ def link(classes: DataFrame) -> DataFrame:
         i, key, home = anchors(fp.view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(fp[i]), pa.array(rep[i])], ["k", "home", "fp", "rep"])
 
-    rows = settle(map_arrow(classes.where("rep is not null"), replicate, "k long, home boolean, fp long, rep long"))
+    rows = settle(map_arrow(classes, replicate, "k long, home boolean, fp long, rep long"))
     # Tiles: an anchor with many members is cut into slices of its homes times slices of its replicas.
     crowd = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * TILE).select("k", F.ceil(F.col("n") / (2 * TILE)).cast("int").alias("slices"))
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("long")
@@ -187,28 +188,50 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def groups(fps: DataFrame) -> DataFrame:
+    """(fp, component) of each fingerprint of fps; a component is named by a number of its own, as ids can repeat."""
+    classes = settle(fps.groupBy("fp").agg(F.lit(1).alias("one")).select("fp", F.monotonically_increasing_id().alias("rep")))
+    component = connected_components(link(classes))
+    return classes.join(component, classes.rep == component.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs.
 
     Equal fingerprints are one class; classes are linked by the anchors. Nulls: a null text counts as empty; a row
-    with a null doc_id gets the smallest id that shares its component, or null if none has one. Repeated rows give
-    repeated results. An empty table gives none. Only doc_id and text are read, whatever other columns there are.
+    with a null doc_id gets the smallest id that shares its component, or null if none has one. Rows of one id whose
+    texts differ can be of different components. Repeated rows give repeated results. An empty table gives none. Only
+    doc_id and text are read, whatever other columns there are.
     """
     fps = settle(fingerprints(docs))
-    classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    component = connected_components(link(classes))
-    labels = classes.join(component, classes.rep == component.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    group = groups(fps)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(group, "fp")
+    named = least.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = group.join(named, "component").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one of each component stays: that with the smallest id.
+    """The rows of docs, all columns, of which one of each component stays: that with the smallest id, nulls last.
 
-    Rows with a null id stay, as nothing can name them. Of rows that repeat a kept id one stays.
+    Of rows with that id the one of the smallest fingerprint stays, if it is of that component; of equal ones any.
     """
-    marked = simhash_components(docs)
-    kept = marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = settle(kept)
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+    fps = settle(fingerprints(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first")
+    chosen = fps.distinct().join(groups(fps), "fp").groupBy("component").agg(first).select("first.doc_id", "first.fp")
+    rows = fps.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "id")
+    chosen = settle(chosen.join(rows, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("chosen_id"), F.col("fp").alias("chosen_fp"), (F.col("id").isNull() | (F.col("n") > 1)).alias("several")))
+    once = docs.join(chosen.where("not several"), docs.doc_id == F.col("chosen_id"), "left_semi")
+    # Rows that share an id, or have none, are told apart by their fingerprints.
+    several = chosen.where("several")
+    own = next(f"fp{i}" for i in range(len(docs.columns) + 1) if f"fp{i}" not in docs.columns)
+    at = docs.columns.index("text")
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = np.array([fingerprint(t) for t in texts(batch.column(at).cast(pa.string()))], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.view(np.int64))], [*batch.schema.names, own])
+
+    rest = docs.join(several.select("chosen_id").distinct(), docs.doc_id.eqNullSafe(F.col("chosen_id")), "left_semi")
+    rest = map_arrow(rest, marked, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    rest = rest.join(several, rest.doc_id.eqNullSafe(F.col("chosen_id")) & (rest[own] == F.col("chosen_fp")), "left_semi").dropDuplicates(["doc_id", own])
+    return once.select(docs.columns).unionByName(rest.select(docs.columns))

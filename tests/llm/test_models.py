@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,17 @@ def test_odd_documents_have_languages(spark):
     assert {r.lang_pred for r in language_id.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go_and_short_clean_ones_stay(spark):
+    docs = sample(spark, DATA)
+    clean = {50_000: "A cat sat here.", 50_001: "Hallo Welt", 50_002: "Bonjour"}
+    other = {60_000: "Η γλώσσα αυτή δεν έχει διδαχθεί και κανείς δεν την ξέρει εδώ σήμερα. " * 5, 60_001: "这是一种没有学过的语言，没有人知道它在说什么。" * 8, 60_002: "Этот язык не был изучен, поэтому его нельзя определить. " * 5, 60_003: "½ ² ① 12 !", 60_004: "", 60_005: None}
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in {**clean, **other}.items()], docs.schema)
+    kept = {r.doc_id for r in language_id.keep_identified(docs.unionByName(more)).collect()}
+    assert set(clean) <= kept and not set(other) & kept
+    assert len(kept) >= 0.99 * docs.where("text is not null and text <> ''").count()
+    assert language_id.judge(language_id.train(docs), pa.array(["½ ² ①", "a½"]))[0][0] == language_id.UNDETERMINED
+
+
 def test_quality_of_held_out_documents(spark):
     docs, labels = sample(spark, DATA), spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality.quality(docs, labels).join(labels, "doc_id").collect()

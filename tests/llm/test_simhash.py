@@ -70,3 +70,17 @@ def test_odd_documents(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(False, i) for i in (1, 3, 6, 7, 8)]
     assert kept.where("doc_id is null").count() == 1
     assert simhash.simhash_components(docs.limit(0)).count() == 0 == simhash.keep_one(docs.limit(0)).count()
+
+
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, c), (None, c), (None, a), (4, b), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp0", F.lit("clash"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, c)], key=str)
+    got = simhash.simhash_components(docs)
+    assert got.select("fingerprint").distinct().count() == 3
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got.collect()) == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
