@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir; one of our own without it."""
-    context = df.sparkSession.sparkContext
+    """A reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
+
+    Only a session on one machine that names none gets a temporary one; on a cluster that is an error.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        where = session.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
