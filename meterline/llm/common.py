@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark allows no more buckets.
+MOST_BUCKETS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,18 +24,43 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors can reach.
 
-    A folder is chosen here only if neither the session nor the context names one.
+    Only a session on one machine that names none gets a temporary one; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or "/tmp/checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[str, str]:
+    """(name, folder) of a table with the rows of df, in buckets by key, in the shared folder: what meets it by the key
+    is moved to it."""
+    spark = df.sparkSession
+    name = f"stretches_{uuid.uuid4().hex}"
+    where, n = f"{shared_folder(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(min(n, MOST_BUCKETS), key).option("path", where).option("compression", "none").saveAsTable(name)
+    return name, where
+
+
+def unbucket(spark: SparkSession, name: str, where: str) -> None:
+    """Drops a table of bucketed(), files included."""
+    spark.sql(f"DROP TABLE {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -16,6 +16,7 @@ stretch, however frequent it is, so no hot word or context gathers in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -24,44 +25,51 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from .common import crc_mod, settle, small_batches, texts
+from .common import bucketed, crc_mod, settle, small_batches, texts, unbucket
 
 DEPTH, MIN_COUNT, MIN_GAIN = 2, 2, 2.0
 #: Weight of the suffix's distribution, for each different next symbol of a context (Witten and Bell's choice is 1).
 PRIOR = 1.0
 #: Divergences are added up as whole numbers of this part of a nat, so that sums don't depend on their order.
-STEPS = 64
+STEPS = 16
 #: Stretches have about so many bytes of text, or one longer text; slices are asked for about so many tokens' grams.
-BYTES_AT_ONCE, TOKENS_A_SLICE = 12 << 20, 1 << 20
+BYTES_AT_ONCE, TOKENS_A_SLICE = 10 << 20, 2 << 20
 #: Keys of grams of two tokens or more have so many bits above the logarithm of the number of tokens: a gram shares its
-#: key with another one with a probability of about 2^-18. Keys of single tokens have all 64 bits.
-SPARE_BITS = 18
+#: key with another one with a probability of about 2^-11. Keys of single tokens have all 64 bits.
+SPARE_BITS, LEAST_BITS = 11, 39
 #: Keys of the end and of what stands before a text; no word has a line feed or is empty.
 END, BEFORE = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"")
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Whole numbers of 0 or more, side by side, as compressed planes of bytes."""
-    out = []
+    """Whole numbers of 0 or more, side by side, as planes of bytes, each compressed by itself: high ones take hardly any room."""
+    squeeze, head, out = zstandard.ZstdCompressor(level=1).compress, [], []
     for column in columns:
         planes = np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8).T)
         used = 8
         while used and not planes[used - 1].any():
             used -= 1
-        out += [np.array([len(column), used], "<u8").tobytes(), planes[:used].tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+        own = [squeeze(x.tobytes()) for x in planes[:used]]
+        head += [len(column), used, *map(len, own)]
+        out += own
+    return b"".join([np.array([len(head), *head], "<u4").tobytes(), *out])
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw, at, columns = zstandard.ZstdDecompressor().decompress(data), 0, []
-    while at < len(raw):
-        n, used = np.frombuffer(raw, "<u8", 2, at).tolist()
+    expand, columns = zstandard.ZstdDecompressor().decompress, []
+    (size,) = np.frombuffer(data, "<u4", 1).tolist()
+    head, at = iter(np.frombuffer(data, "<u4", size, 4).tolist()), 4 + 4 * size
+    for n in head:
+        used = next(head)
         planes = np.zeros((n, 8), np.uint8)
-        planes[:, :used] = np.frombuffer(raw, np.uint8, n * used, at + 16).reshape(used, n).T
+        for plane in range(used):
+            length = next(head)
+            planes[:, plane] = np.frombuffer(expand(data[at : at + length]), np.uint8)
+            at += length
         columns.append(planes.view("<u8")[:, 0])
-        at += 16 + n * used
     return columns
 
 
@@ -110,10 +118,14 @@ def records(docs: DataFrame) -> DataFrame:
             own.append(b"\n")
             codes.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
         length = np.array([len(c) for c in codes])
-        key, place = np.unique(np.array([END, *(xxhash.xxh64_intdigest(w) for w in list(number)[1:])], np.uint64), return_inverse=True)
+        code = np.concatenate(codes)
+        usual = np.argsort(-np.bincount(code), kind="stable")  # frequent words have low places, which take less room
+        place = np.empty(len(usual), np.int64)
+        place[usual] = np.arange(len(usual))
+        key = np.array([END, *(xxhash.xxh64_intdigest(w) for w in list(number)[1:])], np.uint64)[usual]
         doc_id, train = rows.column("doc_id").combine_chunks(), rows.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         ids, has_id = doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False)
-        payload = pack(steps(key), place[np.concatenate(codes)], length, train, has_id, ids)
+        payload = pack(key, place[code], length, train, has_id, ids)
         return pa.RecordBatch.from_arrays(
             [pa.array([rows.column("ref")[0].as_py()]), pa.array([int(length.sum())]), pa.array([int(length[train].sum())]), pa.array([payload], pa.binary())], ["stretch", "tokens", "train_tokens", "payload"]
         )
@@ -145,13 +157,13 @@ class Stretch:
 
     def __init__(self, payload: bytes, corpus: Corpus) -> None:
         self.corpus = corpus
-        steps_, code, length, train, has_id, ids = unpack(payload)
+        key, code, length, train, has_id, ids = unpack(payload)
         self.length, self.train, self.has_id, self.ids = length.astype(np.int64), train.astype(bool), has_id.astype(bool), ids.view(np.int64)
         texts_, tokens = len(length), len(code)
         self.of_text = np.repeat(np.arange(texts_), self.length)
         self.token = np.arange(tokens) + (self.of_text + 1) * DEPTH
         word = np.full(tokens + texts_ * DEPTH, BEFORE, np.uint64)
-        word[self.token] = np.cumsum(steps_, dtype=np.uint64)[code]
+        word[self.token] = key[code]
         last_mark = self.token[np.cumsum(self.length) - self.length] - 1
         trained = np.zeros(len(word), bool)
         trained[self.token], trained[last_mark] = self.train[self.of_text], self.train
@@ -181,10 +193,29 @@ class Stretch:
         for lo, hi in zip(cuts, np.append(cuts[1:], len(some))):
             yield int(slice_[lo]), some[lo:hi]
 
-    def contexts(self, d: int, total: dict[int, np.ndarray]) -> np.ndarray:
-        """The candidates among the contexts of d tokens, as places among the distinct keys."""
+    def contexts(self, d: int, total: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates among the contexts of d tokens, as places among the distinct keys: those that also occur in
+        other stretches, and those of which all is here."""
         context = np.unique(self.grams[d].of_place[self.token - 1])
-        return context[total[d][context] >= MIN_COUNT]
+        context = context[total[d][context] >= MIN_COUNT]
+        here = total[d][context] == self.grams[d].n[context]
+        return context[~here], context[here]
+
+    def evidence(self, d: int, total: dict[int, np.ndarray], owner: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct gram of d tokens as a context: the divergence in steps, and how many next symbols, by the grams owned."""
+        grams, size = self.grams, len(self.grams[d].key)
+        mine = np.flatnonzero(owner[d + 1])
+        mine = mine[self.is_token[grams[d + 1].place[mine]]]  # what stands before a text is no symbol
+        place = grams[d + 1].place[mine]
+        context = grams[d].of_place[place - 1]
+        some = total[d][context] >= MIN_COUNT
+        mine, place, context = mine[some], place[some], context[some]
+        n, of = total[d + 1][mine], total[d][context]
+        up = total[d][grams[d].of_place[place]]
+        of_up = total[d - 1][grams[d - 1].of_place[place - 1]] if d > 1 else self.corpus.train_tokens
+        # grams that share a key can lack a suffix: they say nothing of divergence
+        gain = np.rint(STEPS * n * np.log((n / of) / np.where((up > 0) & (of_up > 0), up / np.maximum(of_up, 1), n / of)))
+        return np.bincount(context, gain, size).astype(np.int64), np.bincount(context, minlength=size)
 
 
 ASKED = "size int, slice long, stretch long, payload binary"
@@ -199,7 +230,7 @@ def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 def answered(requests: DataFrame, counts: bool) -> DataFrame:
     """What all stretches together have of each key that one of them asks for, in its order of keys.
 
-    Requests hold keys and numbers. Of counts the answer has the sum, and whether the stretch is the first that has the
+    Requests hold keys and numbers. Of counts the answer has what other stretches have, and whether the stretch is the first that has the
     gram in training; of contexts, whether they are retained and how many different next symbols they have.
     """
 
@@ -215,7 +246,8 @@ def answered(requests: DataFrame, counts: bool) -> DataFrame:
             there = np.flatnonzero(own[0] > 0)
             owner = np.zeros(len(which), bool)
             owner[there[np.unique(which[there], return_index=True)[1]]] = True
-            columns, distinct = (n[which], owner), int((n > 0).sum() - (size == 1 and bool((n[key == np.uint64(BEFORE)] > 0).any())))
+            # what others have, and who is first where that isn't plain: mostly 0
+            columns, distinct = (2 * (n[which] - own[0].astype(np.int64)) + (owner ^ (own[0] > 0)),), int((n > 0).sum() - (size == 1 and bool((n[key == np.uint64(BEFORE)] > 0).any())))
         else:
             gain = np.bincount(which, unfolded(own[0]).astype(float), len(key))
             columns, distinct = ((gain >= MIN_GAIN * STEPS)[which], np.bincount(which, own[1].astype(float), len(key))[which]), 0
@@ -246,67 +278,63 @@ class Known(NamedTuple):
 
     stretch: Stretch
     total: dict[int, np.ndarray]  # training counts of its distinct grams in the whole corpus
-    owner: dict[int, np.ndarray]
-    kept: dict[int, np.ndarray]  # of its candidates
+    owner: dict[int, np.ndarray]  # whether a gram's part in divergences is this stretch's to give
+    kept: dict[int, np.ndarray]  # of its candidates that occur elsewhere too
     followers: dict[int, np.ndarray]
 
 
-def met(rows: pa.Table, corpus: Corpus) -> tuple[int, Known]:
-    """From the rows of a stretch: round 0 is its record, rounds 1 and 2 have answers."""
-    rows = rows.sort_by([("round", "ascending"), ("size", "ascending"), ("slice", "ascending")])
-    own: Stretch | None = None
+def met(record: pa.Table, answers: pa.Table, corpus: Corpus) -> Known:
+    answers = answers.sort_by([("round", "ascending"), ("size", "ascending"), ("slice", "ascending")])
     got: tuple[dict[int, list], dict[int, list]] = ({}, {})
-    for round_, size, payload in zip(*(rows.column(c).to_pylist() for c in ("round", "size", "payload"))):
-        if not round_:
-            own = Stretch(payload, corpus)
-        else:
-            got[round_ - 1].setdefault(size, []).append(unpack(payload))
-    joined = [{k: [np.concatenate(x) for x in zip(*parts)] for k, parts in answers.items()} for answers in got]
-    first, second = ({k: (a.astype(np.int64), b.astype(float if i else bool)) for k, (a, b) in x.items()} for i, x in enumerate(joined))
-    return rows.column("stretch")[0].as_py(), Known(own, {k: a for k, (a, _) in first.items()}, {k: b for k, (_, b) in first.items()}, {k: a > 0 for k, (a, _) in second.items()}, {k: b for k, (_, b) in second.items()})
+    for round_, size, payload in zip(*(answers.column(c).to_pylist() for c in ("round", "size", "payload"))):
+        got[round_ - 1].setdefault(size, []).append(unpack(payload))
+    first, second = ({k: [np.concatenate(x) for x in zip(*parts)] for k, parts in own.items()} for own in got)
+    own = Stretch(record.column("payload")[0].as_py(), corpus)
+    return Known(
+        own,
+        {k: (x >> np.uint64(1)).astype(np.int64) + own.grams[k].n for k, (x,) in first.items()},
+        {k: (x & np.uint64(1)).astype(bool) ^ (own.grams[k].n > 0) for k, (x,) in first.items()},
+        {k: kept.astype(bool) for k, (kept, _) in second.items()},
+        {k: followers.astype(float) for k, (_, followers) in second.items()},
+    )
+
+
+def together(stretches: DataFrame, *answers: DataFrame) -> PandasCogroupedOps:
+    """Each stretch's record with the answers of all rounds; records lie in buckets, so that only answers are moved."""
+    rows = [own.select("stretch", F.lit(i).alias("round"), "size", "slice", "payload") for i, own in enumerate(answers, 1)]
+    return stretches.groupBy("stretch").cogroup(reduce(DataFrame.union, rows).groupBy("stretch"))
 
 
-def divergences(rows: DataFrame, corpus: Corpus) -> DataFrame:
+def divergences(rows: PandasCogroupedOps, corpus: Corpus) -> DataFrame:
     """The request of each stretch for its candidates, with what the grams that it owns contribute."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        id_, known = met(rows, corpus)
+    def run(record: pa.Table, answers: pa.Table) -> pa.Table:
+        id_, known = record.column("stretch")[0].as_py(), met(record, answers, corpus)
         own, out = known.stretch, []
         for d in range(1, DEPTH + 1):
-            grams, total = own.grams, known.total
-            mine = np.flatnonzero(known.owner[d + 1])
-            mine = mine[own.is_token[grams[d + 1].place[mine]]]  # what stands before a text is no symbol
-            place = grams[d + 1].place[mine]
-            context = grams[d].of_place[place - 1]
-            some = total[d][context] >= MIN_COUNT
-            mine, place, context = mine[some], place[some], context[some]
-            n, of = total[d + 1][mine], total[d][context]
-            up = total[d][grams[d].of_place[place]]
-            of_up = total[d - 1][grams[d - 1].of_place[place - 1]] if d > 1 else corpus.train_tokens
-            gain = np.rint(STEPS * n * np.log((n / of) / (up / of_up)))
-            asks = own.contexts(d, total)
-            size = len(grams[d].key)
-            gains, followers = np.bincount(context, gain, size).astype(np.int64), np.bincount(context, minlength=size)
-            out += [(d, s, id_, pack(steps(grams[d].key[at]), folded(gains[at]), followers[at])) for s, at in own.slices(d, asks)]
+            gains, followers = own.evidence(d, known.total, known.owner)
+            key = own.grams[d].key >> np.uint64(64 - corpus.bits if d == 1 else 0)
+            out += [(d, s, id_, pack(steps(key[at]), folded(gains[at]), followers[at])) for s, at in own.slices(d, own.contexts(d, known.total)[0])]
         return asked(out)
 
-    return rows.groupBy("stretch").applyInArrow(run, ASKED)
+    return rows.applyInArrow(run, ASKED)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored(rows: DataFrame, corpus: Corpus) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
-        known = met(rows, corpus)[1]
+def scored(rows: PandasCogroupedOps, corpus: Corpus) -> DataFrame:
+    def run(record: pa.Table, answers: pa.Table) -> pa.Table:
+        known = met(record, answers, corpus)
         own, total = known.stretch, known.total
         grams, token, texts_ = own.grams, own.token, len(own.length)
         c = total[1][grams[1].of_place[token]]
         base = (c + 1) / (corpus.train_tokens + corpus.distinct + 1)
         p = score = base
         for d in range(1, DEPTH + 1):
-            asks, size = own.contexts(d, total), len(grams[d].key)
-            kept, followers = np.zeros(size, bool), np.zeros(size)
+            (asks, here), (gains, followers) = own.contexts(d, total), own.evidence(d, total, known.owner)
+            kept = np.zeros(len(gains), bool)
+            kept[here], followers = gains[here] >= MIN_GAIN * STEPS, np.where(np.isin(np.arange(len(gains)), here), followers, 0)
             if len(asks):
                 kept[asks], followers[asks] = known.kept[d], known.followers[d]
             context = grams[d].of_place[token - 1]
@@ -325,14 +353,7 @@ def scored(rows: DataFrame, corpus: Corpus) -> DataFrame:
             }
         )
 
-    return rows.groupBy("stretch").applyInArrow(run, SCORED)
-
-
-def rounds(stretches: DataFrame, *answers: DataFrame) -> DataFrame:
-    rows = stretches.select("stretch", F.lit(0).alias("round"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("slice"), "payload")
-    for i, own in enumerate(answers, 1):
-        rows = rows.union(own.select("stretch", F.lit(i), "size", "slice", "payload"))
-    return rows
+    return rows.applyInArrow(run, SCORED)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -348,12 +369,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", 7) != 2).alias("train"), F.monotonically_increasing_id().alias("ref")
     )
-    stretches = settle(records(rows))
+    name, where = bucketed(records(rows), "stretch")
+    stretches = spark.table(name)
     small_batches(spark, 4)  # a row can have some megabytes
     size = stretches.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
-    corpus = Corpus(min(64, size.n.bit_length() + SPARE_BITS), max(0, (size.n // TOKENS_A_SLICE).bit_length()), size.train)
+    corpus = Corpus(min(64, max(LEAST_BITS, size.n.bit_length() + SPARE_BITS)), max(0, (size.n // TOKENS_A_SLICE).bit_length()), size.train)
     first = settle(answered(counts(stretches, corpus), True))
     corpus = corpus._replace(distinct=first.where("size = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
-    second = settle(answered(divergences(rounds(stretches, first), corpus), False))
-    out = settle(scored(rounds(stretches, first, second), corpus))
+    second = settle(answered(divergences(together(stretches, first), corpus), False))
+    out = settle(scored(together(stretches, first, second), corpus))
+    unbucket(spark, name, where)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
