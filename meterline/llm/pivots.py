@@ -146,8 +146,25 @@ def keys(near: Column, size: int) -> Column:
     return F.array(*[F.shiftleft(F.least(p, q).cast("long"), 32) + F.greatest(p, q) for p, q in of_two])
 
 
-def tiles(of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by key, low and high: `of` of the rows of each tile, of which at most 8,192 are held beside."""
+Rows = dict[str, np.ndarray]
+
+
+def arrays(table: pa.Table) -> Rows:
+    """The columns of a table: v as unit vectors, lists as rows of a matrix."""
+    out: Rows = {}
+    for name in table.column_names:
+        column = table.column(name).combine_chunks()
+        if name == "v":
+            out[name] = matrix(column)
+        elif pa.types.is_list(column.type):
+            out[name] = column.flatten().to_numpy().reshape(len(column), -1)
+        else:
+            out[name] = column.to_numpy(zero_copy_only=False)
+    return out
+
+
+def tiles(of: Callable[[Rows], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by key, low and high: `of` the rows of each tile of two or more, of which at most 8,192 are held beside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -163,12 +180,15 @@ def tiles(of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Itera
             for c in ("key", "low", "high"):
                 column = kept.column(c).to_numpy()
                 new[1:] |= column[1:] != column[:-1]
-            bounds = np.flatnonzero(new).tolist()
+            bounds = np.flatnonzero(new)
             if batch is None:
-                bounds.append(kept.num_rows)
-            for lo, hi in zip(bounds, bounds[1:]):
-                yield from of(kept.slice(lo, hi - lo).combine_chunks())
-            kept = kept.slice(bounds[-1]) if batch is not None else None
+                bounds = np.append(bounds, kept.num_rows)
+            now, out = arrays(kept.slice(0, int(bounds[-1]))), []
+            more = np.diff(bounds) > 1
+            for lo, hi in zip(bounds[:-1][more].tolist(), bounds[1:][more].tolist()):
+                out += of({name: x[lo:hi] for name, x in now.items()})
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+            kept = kept.slice(int(bounds[-1])) if batch is not None else None
 
     return run
 
@@ -180,7 +200,7 @@ def found_rows(kind: int, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, m:
     )
 
 
-def links(node: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, block: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def links(node: np.ndarray, weight: np.ndarray, left: np.ndarray, block: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Counts of each node's links, and edges that span them; block gives the linked places of some of left."""
     n, edges = np.zeros(len(node), np.int64), []
     for at in range(0, len(left), SIDE_BY_SIDE):
@@ -195,12 +215,11 @@ def links(node: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndar
         yield found_rows(EDGE, a, b, np.zeros(len(a)))
 
 
-def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def compare(rows: Rows) -> Iterator[pa.RecordBatch]:
     """Of a tile of a list: links between single vectors; and the balls that others meet, as pairs that other lists can give too."""
-    key, low, high = (rows.column(c)[0].as_py() for c in ("key", "low", "high"))
-    node, weight, slice_, radius = (rows.column(c).to_numpy() for c in ("node", "members", "slice", "radius"))
-    ball = rows.column("ball").to_numpy(zero_copy_only=False).astype(bool)
-    v, near = matrix(rows.column("v").combine_chunks()), rows.column("near").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    key, low, high = (rows[c][0] for c in ("key", "low", "high"))
+    node, weight, slice_, radius, v, near = (rows[c] for c in ("node", "members", "slice", "radius", "v", "near"))
+    ball = rows["ball"].astype(bool)
     left, right = (np.arange(len(node)),) * 2 if low == high else (np.flatnonzero(slice_ == low), np.flatnonzero(slice_ == high))
 
     def later(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -221,7 +240,9 @@ def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             mine[at : at + (1 << 15)] = (both[:, 0].astype(np.int64) << 32) + both[:, 1] == key
         return x[mine], y[mine]
 
-    yield from links(node, weight, left, right, block)
+    yield from links(node, weight, left, block)
+    if not ball.any():
+        return
     for own in (left[at : at + SIDE_BY_SIDE] for at in range(0, len(left), SIDE_BY_SIDE)):
         for mine, theirs in ((own[ball[own]], right), (own[~ball[own]], others)):
             if not len(mine) or not len(theirs):
@@ -240,17 +261,16 @@ def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
                     yield found_rows(kind, node[a], node[b], weight[a], weight[b])
 
 
-def compare_members(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def compare_members(rows: Rows) -> Iterator[pa.RecordBatch]:
     """Links between the members of a ball (on the left) and those of what it meets in part."""
-    node, weight = (rows.column(c).to_numpy() for c in ("node", "members"))
-    v, host = matrix(rows.column("v").combine_chunks()), rows.column("host").to_numpy(zero_copy_only=False).astype(bool)
+    node, weight, v, host = rows["node"], rows["members"], rows["v"], rows["host"].astype(bool)
     left, right = np.flatnonzero(host), np.flatnonzero(~host)
 
     def block(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.nonzero(v[own] @ v[right].T >= THRESHOLD)
         return own[x], right[y]
 
-    yield from links(node, weight, left, right, block)
+    yield from links(node, weight, left, block)
 
 
 def sliced(n: str) -> Column:
