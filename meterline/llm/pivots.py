@@ -326,7 +326,8 @@ def near_links(vectors: DataFrame) -> DataFrame:
     # A ball's members are linked with each other and with all of what the ball is linked with.
     of_unit = whole.select(F.col("a").alias("unit"), F.col("m").alias("n")).union(whole.select(F.col("b").alias("unit"), "n")).groupBy("unit").agg(F.sum("n").alias("n"))
     inside = rows.where("unit is not null").join(F.broadcast(balls.select("unit", "weight")), "unit").select("unit", "node", (F.col("weight") - F.col("members")).alias("inner"))
-    counted = inside.join(of_unit, "unit", "left").select(F.col("node").alias("a"), (F.col("inner") + F.coalesce("n", F.lit(0))).alias("n"))
+    ball_sums = of_unit.join(F.broadcast(balls.select("unit")), "unit", "left_semi")  # a row a ball at most
+    counted = inside.join(F.broadcast(ball_sums), "unit", "left").select(F.col("node").alias("a"), (F.col("inner") + F.coalesce("n", F.lit(0))).alias("n"))
     alone = of_unit.join(balls.select("unit"), "unit", "left_anti").select(F.col("unit").alias("a"), "n")
     edges = whole.select("a", "b").union(inside.where("node <> unit").select("node", "unit"))
     blank = F.lit(None).cast("long")
