@@ -126,3 +126,16 @@ def resolve_period(label: str | None, zone: str | None, now: datetime) -> Period
     if label in ("today", "week", "month") and compare_start and start:
         compare_end = min(compare_start + (now - start), start)
     return Period(label, start, now, compare_start, compare_end, tz.key, grain, partial)
+
+
+def duration_label(minutes: str | Column) -> Column:
+    """Minutes as text: in days or hours if they are whole, else in minutes."""
+    m = _column(minutes)
+    unit = lambda n, name: F.concat((m / n).cast("bigint").cast("string"), F.lit(f" {name}"))
+    return F.when((m >= 1440) & (m % 1440 == 0), unit(1440, "days")).when((m >= 60) & (m % 60 == 0), unit(60, "hours")).otherwise(unit(1, "minutes"))
+
+
+def crosses(start: str | Column, end: str | Column, zone: str, year: bool = False) -> Column:
+    """Whether a window's start and end lie in different months, or years, of a zone; false without a start."""
+    part = lambda at: F.substring(zoned(at, zone).cast("string"), 1, 4 if year else 7)
+    return F.coalesce(part(start) != part(end), F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import git_identity, normal_path
+from ..functions.time import CUBE_HOURS
+from .aggregates import DIMENSIONS, cube_totals
 
 #: Ranks of attribution confidence.
 CONFIDENCE = {"verified": 2, "inferred": 1, "unknown": 0}
@@ -98,6 +100,41 @@ def epoch_at(facts: DataFrame, epochs: DataFrame, at: str = "source_timestamp")
     return facts.join(found, holds, "left").drop("_slot", "seg_from", "seg_to")
 
 
+def applied_to_facts(facts: DataFrame, epochs: DataFrame) -> DataFrame:
+    """facts whose account isn't known with that of the epoch that holds their time, if one does."""
+    found = epoch_at(facts, epochs).withColumn("account", F.coalesce("account", "epoch_account"))
+    return found.drop("epoch_account", "epoch_confidence")
+
+
+def applied_to_cube(cube: DataFrame, key: str, epochs: DataFrame) -> DataFrame:
+    """A day or hour cube whose rows without account move to the epoch that holds their whole bucket.
+
+    Buckets in which an epoch begins or ends stay as they are, but for the day in which the first epoch begins, which
+    counts from its start. key is local_day or local_hour; epochs don't overlap. Rows of equal keys are added up.
+    """
+    grain = {"local_day": "day", "local_hour": "hour"}[key]
+    shift = F.make_dt_interval(hours=F.lit(CUBE_HOURS))
+    floor = lambda c: F.date_trunc(grain, F.col(c) + shift).cast("timestamp_ntz")
+    up = F.when(floor("observed_from") == F.col("observed_from") + shift, floor("observed_from")).otherwise(floor("observed_from") + F.expr(f"interval 1 {grain}"))
+    if grain == "day":
+        first = epochs.agg(F.min("observed_from").alias("first"))
+        epochs = epochs.crossJoin(first)  # one row
+        up = F.when(F.col("observed_from") == F.col("first"), floor("observed_from")).otherwise(up)
+    whole = epochs.select(up.alias("observed_from"), floor("observed_to").alias("observed_to"), "account", "confidence").where("observed_to is null or observed_from < observed_to")
+    named = cube.where("account <> ''")
+    nameless = cube.where("account = ''").withColumn("_at", F.col(key).cast("timestamp_ntz"))
+    moved = epoch_at(nameless, whole, "_at").withColumn("account", F.coalesce("epoch_account", F.lit("")))
+    return cube_totals(named.unionByName(moved.select(*cube.columns)), key, *DIMENSIONS, "quality")
+
+
+def evidence_of_roots(threads: DataFrame, roots: DataFrame) -> DataFrame:
+    """(project_id, identity): remotes of threads whose folder is a project's root or below it, each once."""
+    parts = F.split(normal_path("cwd"), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    own = threads.where("cwd is not null").select(git_identity("git_origin").alias("identity"), F.explode(prefixes).alias("root")).where("identity is not null").distinct()
+    return own.join(roots.select(normal_path("path").alias("root"), "project_id").where("root <> ''"), "root").select("project_id", "identity").distinct()
+
+
 def longest_root(threads: DataFrame, roots: DataFrame) -> DataFrame:
     """(thread_id, root_project): the project of the longest root that is a path's ancestor or itself.
 

@@ -60,3 +60,19 @@ def without_repeats(rows: DataFrame, key: str, payload: str, *order: str) -> Dat
     """Rows whose payload differs from the row before them."""
     before = F.lag(payload).over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("_before", before).where(f"not (_before <=> {payload})").drop("_before")
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows of both, of each key the one written last; of two written at once the new one."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return latest_by_key(both, key, at, "_new").drop("_new")
+
+
+def capped_coverage(facts: DataFrame) -> DataFrame:
+    """facts whose observed cache writes are no more than their input."""
+    return facts.withColumn("cache_write_observed", F.least("cache_write_observed", "input"))
+
+
+def oldest(facts: DataFrame, before: str, limit: int) -> DataFrame:
+    """The facts that compaction takes next: those before a local day, oldest first, `limit` at most."""
+    return facts.where(F.col("local_day") < before).orderBy("source_timestamp", "event_id").limit(limit)

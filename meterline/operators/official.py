@@ -165,3 +165,39 @@ def alignment(local: DataFrame, official: DataFrame, captured: DataFrame) -> Dat
         sum_("official").alias("official_tokens"),
         sum_(F.when(known, F.least("local", "official"))).alias("capped_tokens"),
     )
+
+
+def gap_buckets(official: DataFrame, evidence: DataFrame, display: DataFrame, local: DataFrame) -> DataFrame:
+    """One row: what of the gap between the shown account total and local usage has which cause.
+
+    official has day and tokens, evidence the days with any local evidence, display and local one row each. Official
+    days before the first evidence, later ones without evidence, and the rest, which may be negative, add up to the gap.
+    """
+    first = evidence.agg(F.min("day").alias("first"))
+    days = official.groupBy("day").agg(F.sum("tokens").alias("tokens"))
+    known = days.join(evidence.select("day").distinct().withColumn("seen", F.lit(True)), "day", "left").crossJoin(first)  # one row
+    early = F.coalesce(F.col("day") < F.col("first"), F.lit(True))
+    part = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("tokens"))), F.lit(0)).cast("bigint").alias(name)
+    parts = known.agg(part(early, "before_evidence"), part(~early & F.col("seen").isNull(), "without_evidence"))
+    rows = parts.crossJoin(display.select(F.col("display_tokens").alias("account_total"))).crossJoin(local.select(F.col("total").alias("local_tokens")))  # single rows
+    return rows.withColumn("gap", F.col("account_total") - F.col("local_tokens")).withColumn("rest", F.col("gap") - F.col("before_evidence") - F.col("without_evidence"))
+
+
+def resolved_total(days: DataFrame, known_accounts: int) -> DataFrame:
+    """The account total as a metric: value, source, status and how many known accounts the external ledger covers.
+
+    It is exact only if it has no local part and every known account is covered on all of its days.
+    """
+    shown = display_total(days, known_accounts)
+    covered = F.countDistinct(F.when(F.col("state") != "only", F.col("account")))
+    cover = days.agg(covered.alias("covered"), (F.coalesce(F.min(F.col("state") == "official"), F.lit(False)) & (covered == known_accounts)).alias("complete"))
+    source = F.when(F.col("kind") == "official", "official").when(F.col("kind") == "official_plus_local_tail_lower_bound", "reconciled").otherwise("local")
+    status = F.when(F.col("display_tokens").isNull(), "unknown").when(F.col("is_lower_bound") | ~F.col("complete"), "lower_bound").otherwise("exact")
+    rows = shown.crossJoin(cover)  # two single rows
+    return rows.select(F.col("display_tokens").alias("value"), source.alias("source"), status.alias("status"), "complete", F.lit(known_accounts).cast("bigint").alias("known_accounts"), (F.lit(known_accounts) - F.col("covered")).alias("missing_accounts"))
+
+
+def period_table(days: DataFrame, starts: dict[str, str], end: str) -> DataFrame:
+    """Of each account: the tokens of each period, from its first day up to `end`, and of all days."""
+    part = lambda first: F.coalesce(F.sum(F.when(F.col("day").between(first, end), F.col("tokens"))), F.lit(0)).cast("bigint")
+    return days.groupBy("account").agg(*[part(first).alias(name) for name, first in starts.items()], F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("lifetime"))

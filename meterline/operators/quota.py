@@ -14,13 +14,13 @@ LEAST_DROP, CONFIRM_SECONDS, CONFIRM_RISE = 5.0, 600, 2.0
 BEFORE_SECONDS, AFTER_SECONDS = 600, 1800
 
 
-def latest(observations: DataFrame) -> DataFrame:
-    """The last reading of each account."""
-    order = Window.partitionBy("account").orderBy(F.desc("observed_at"), F.desc("event_id"))
+def latest(observations: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
+    """The last reading of each account, or of each of the given keys, such as account, pool and window."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("observed_at"), F.desc("event_id"))
     return observations.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-#: What the reference lists of an account at most (src/store/account_repository.rs:646).
+#: Fixed value: how many readings of an account are listed at most.
 NEWEST = 1_000
 
 
@@ -66,30 +66,34 @@ def switches(epochs: DataFrame) -> DataFrame:
 RESETS = "account string, at timestamp_ntz, event_id long, before_used double, after_used double, previous_reset timestamp_ntz, next_reset timestamp_ntz, reset_class string"
 
 
-def reset_events(observations: DataFrame) -> DataFrame:
+def reset_events(observations: DataFrame, keys: tuple[str, ...] = ("account",)) -> DataFrame:
     """Drops of LEAST_DROP or more below the high water, to another boundary, that a reading soon after confirms.
 
-    A drop that isn't confirmed leaves the high water as it was, so that each decision depends on those before it: the
-    readings of an account pass in order, and all that is kept of them is the high water. Confirmation, which looks
-    ahead, is a window over the time range.
+    There is one high water for each account, or for each of the given keys, such as account, pool and window; keys
+    other than account are columns of the result. A drop that isn't confirmed leaves the high water as it was, so that
+    each decision depends on those before it: the readings of a key pass in order, and all that is kept of them is the
+    high water. Confirmation, which looks ahead, is the least of the readings to one boundary within CONFIRM_SECONDS.
     """
-    soon = Window.partitionBy("account", "resets_at").orderBy(F.unix_micros(F.col("observed_at").cast("timestamp"))).rangeBetween(0, CONFIRM_SECONDS * 1_000_000)
-    nth = F.row_number().over(Window.partitionBy("account").orderBy("observed_at", "event_id"))
-    rows = observations.withColumn("n", nth)
-    readings = rows.withColumn("ahead", F.collect_list(F.struct("n", "used_percent")).over(soon))
-    confirmed = F.exists("ahead", lambda x: (x["n"] > F.col("n")) & (x["used_percent"] <= F.col("used_percent") + CONFIRM_RISE))
-    ordered = readings.select("account", "observed_at", "event_id", "used_percent", "resets_at", F.coalesce(confirmed, F.lit(False)).alias("confirmed"))
+    extra = [k for k in keys if k != "account"]
+    micros = F.unix_micros(F.col("observed_at").cast("timestamp"))
+    later = Window.partitionBy(*keys, "resets_at").orderBy(micros).rangeBetween(1, CONFIRM_SECONDS * 1_000_000)
+    tied = Window.partitionBy(*keys, "resets_at", "observed_at").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    least = F.least(F.min("used_percent").over(later), F.min("used_percent").over(tied))
+    confirmed = F.coalesce(least <= F.col("used_percent") + CONFIRM_RISE, F.lit(False))
+    series = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    ordered = observations.select(*dict.fromkeys(("account", *keys)), "observed_at", "event_id", "used_percent", "resets_at", confirmed.alias("confirmed"), series.alias("series"))
     parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartition(parts, "account").sortWithinPartitions("account", "observed_at", "event_id").mapInPandas(scan_resets, RESETS)
+    schema = ", ".join([f"{k} {observations.schema[k].dataType.simpleString()}" for k in extra] + [RESETS])
+    return ordered.repartition(parts, "series").sortWithinPartitions("series", "observed_at", "event_id").mapInPandas(lambda batches: scan_resets(batches, extra), schema)
 
 
-def scan_resets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    account, high = None, None
+def scan_resets(batches: Iterator[pd.DataFrame], extra: list[str]) -> Iterator[pd.DataFrame]:
+    series, high = None, None
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            if r.account != account:
-                account, high = r.account, None
+            if r.series != series:
+                series, high = r.series, None
             if pd.isna(r.used_percent):
                 continue
             if high is None or r.used_percent >= high.used_percent:
@@ -99,6 +103,26 @@ def scan_resets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if high.used_percent - r.used_percent < LEAST_DROP or same or not r.confirmed:
                 continue
             due = not pd.isna(high.resets_at) and -BEFORE_SECONDS <= (r.observed_at - high.resets_at).total_seconds() <= AFTER_SECONDS
-            out.append((r.account, r.observed_at, r.event_id, high.used_percent, r.used_percent, high.resets_at, r.resets_at, "scheduled_rollover" if due else "observed_official_reset"))
+            kind = "scheduled_rollover" if due else "observed_official_reset"
+            out.append((*[getattr(r, k) for k in extra], r.account, r.observed_at, r.event_id, high.used_percent, r.used_percent, high.resets_at, r.resets_at, kind))
             high = r
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in RESETS.split(", ")])
+        yield pd.DataFrame(out, columns=[*extra, *[x.split()[0] for x in RESETS.split(", ")]])
+
+
+def held_back(observations: DataFrame, epochs: DataFrame, source_id: str = "source_id") -> DataFrame:
+    """observations with epoch_account and held: whether the reading waits for an epoch.
+
+    The readings of a source are taken in order up to the first that no epoch covers; it and all after it are held, to
+    be asked for again when epochs are known.
+    """
+    from .attribution import epoch_at
+
+    order = Window.partitionBy(source_id).orderBy("observed_at", "event_id")
+    found = epoch_at(observations, epochs, "observed_at")
+    return found.withColumn("held", F.max(F.col("epoch_account").isNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("epoch_confidence")
+
+
+def cards(readings: DataFrame, main: str = "main") -> DataFrame:
+    """The latest reading of each account, pool and window: by account, the main pool first, longer windows first."""
+    own = latest(readings, ("account", "pool_key", "window_name"))
+    return own.orderBy("account", F.col("pool_key") != main, F.desc("window_seconds"), "pool_key", "window_name")

@@ -532,7 +532,7 @@ def quota_account_switches(x: Ledger) -> DataFrame:
     return quota.switches(seen).select("event_id", "before", "account")
 
 
-query("quota_reset_events")(lambda x: quota.reset_events(x.quota))
+query("quota_reset_events", "select * from resets")(lambda x: quota.reset_events(x.quota))
 
 # --- state machines, tested against step-by-step versions
 
@@ -577,8 +577,12 @@ def _records(x: Ledger) -> DataFrame:
     return out
 
 
-query("replay_guard_facts")(lambda x: machines.guarded(_records(x)))
-query("reconstruction_machine")(lambda x: machines.reconstructed(_records(x), x.catalog.select(F.col("thread_id").alias("source"), "thread_id", "parent_thread_id")))
+def _plain_time(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+query("replay_guard_facts", "select * from guard")(lambda x: _plain_time(machines.guarded(_records(x))))
+query("reconstruction_machine", "select * from remade")(lambda x: _plain_time(machines.reconstructed(_records(x), x.catalog.select(F.col("thread_id").alias("source"), "thread_id", "parent_thread_id"))))
 
 # --- scalar functions over small inputs
 

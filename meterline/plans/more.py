@@ -84,7 +84,10 @@ def tree_search(x: Ledger) -> DataFrame:
     return views.search(x, "3")
 
 
-query("timeline")(views.timeline)
+query(
+    "timeline",
+    f"select observed_at as at, 'account_switch' kind, account, concat_ws(' > ', before, account) detail from (select event_id, observed_at, account, lag(account) over (order by observed_at, event_id) before from markers where kind = 'account_seen') where before is not null and account is distinct from before union all select resets.at, 'quota_reset', account, reset_class from resets union all select resets_at, 'quota_reset_scheduled', account, 'scheduled' from (select *, row_number() over (partition by account order by observed_at desc, event_id desc) n from quota) where n = 1 and resets_at > {T}",
+)(views.timeline)
 query("bundle")(views.bundle)
 
 

@@ -13,6 +13,20 @@ CUBE = f"coalesce(cast(sum(event_count) as bigint), 0) event_count, {M}"
 KEYS = "coalesce(thread_id, '') thread_id, coalesce(account, '') account, coalesce(project_id, '') project_id, coalesce(model, '') model"
 T = f"timestamp '{NOW}'"
 
+
+
+def _each(text: str, between: str = ", ") -> str:
+    """A piece of SQL for each measure, whose name stands for @."""
+    return between.join(text.replace("@", m) for m in MEASURES)
+
+
+def _valid(prefix: str) -> str:
+    return f"({prefix}cached_input + {prefix}cache_write_input <= {prefix}input and {prefix}cache_write_observed <= {prefix}input and {prefix}input + {prefix}output = {prefix}total and {prefix}reasoning_output <= {prefix}output)"
+
+
+#: Whether a reading s is a reset after the high water of w.
+HIT = "(s.used_percent < w.high and w.high - s.used_percent >= 5 and s.resets_at is distinct from w.high_reset and s.confirmed)"
+
 RELATIONS = {
     "raw_events": """
   select event_id, ts source_timestamp, user_id u, cast(json_extract_string(props, '$.k') as int) k, event_type,
@@ -144,7 +158,40 @@ RELATIONS = {
          case when e <= {T} then e end observed_to, account from (
     select s, e, min(account) account, min(observed_at) first_seen from windows join markers m on m.observed_at >= s and m.observed_at < e
     where m.kind = 'account_seen' group by s, e having count(distinct account) = 1)""",
+    "readings": "select *, row_number() over (partition by account order by observed_at, event_id) n from quota",
+    "sure": """
+  select a.*, exists (select 1 from readings b where b.account = a.account and b.resets_at is not distinct from a.resets_at and b.n > a.n
+    and b.observed_at <= a.observed_at + interval 600 second and b.used_percent <= a.used_percent + 2) confirmed from readings a""",
+    "walk": f"""
+  select account, n, used_percent high, resets_at high_reset, observed_at, event_id, used_percent, resets_at, cast(null as double) before_used, cast(null as timestamp) previous_reset, false hit from sure where n = 1
+  union all
+  select s.account, s.n, case when s.used_percent >= w.high or {HIT} then s.used_percent else w.high end, case when s.used_percent >= w.high or {HIT} then s.resets_at else w.high_reset end,
+         s.observed_at, s.event_id, s.used_percent, s.resets_at, w.high, w.high_reset, {HIT} from walk w join sure s on s.account = w.account and s.n = w.n + 1""",
+    "resets": """
+  select account, observed_at as at, event_id, before_used, used_percent after_used, previous_reset, resets_at next_reset,
+         case when epoch_us(observed_at) - epoch_us(previous_reset) between -600000000 and 1800000000 then 'scheduled_rollover' else 'observed_official_reset' end reset_class
+  from walk where hit""",
+    "paired": f"""
+  select c.thread_id, c.event_id, c.source_timestamp, f.parent_thread_id, {_each("c.@ t_@")}, {_each("f.@ l_@")}, {_each("lag(c.@) over w p_@")}, lag(c.source_timestamp) over w before_at
+  from counters c join facts f on f.event_id = c.event_id window w as (partition by c.thread_id order by c.event_id)""",
+    "guard": f"""
+  select thread_id source, event_id line_no, source_timestamp as at, thread_id, parent_thread_id parent_id, cast(null as varchar) model, cast(null as varchar) cwd, quality, reason, counter_epoch, {_each("l_@ @")}
+  from (select *, cast(sum(case when falls then 1 else 0 end) over (partition by thread_id order by event_id) as int) counter_epoch, case when sound then 'confirmed' else 'quarantined' end quality,
+               case when not sound then 'last_usage_invalid' when falls then 'counter_reset' when before_at is not null and ({_each("t_@ - p_@ <> l_@", " or ")}) then 'delta_differs' end reason
+        from (select *, before_at is not null and ({_each("t_@ < p_@", " or ")}) falls, before_at is not null and ({_each("t_@ = p_@", " and ")}) same, {_valid("l_")} sound from paired))
+  where not same and not (quality = 'confirmed' and {_each("l_@ = 0", " and ")})""",
+    "metered": f"""
+  select *, sum(case when near then 0 else 1 end) over (partition by thread_id order by event_id) broken, {_each("d_@ >= 0", " and ")} and (before_at is null or {_valid("d_")}) rises
+  from (select p.*, {_each("coalesce(t_@ - p_@, t_@) d_@")}, greatest(epoch_ms(p.source_timestamp) - epoch_ms(coalesce(before_at, k.created_at)), 0) <= 2000 near
+        from paired p join catalog k on k.thread_id = p.thread_id where {_valid("t_")})""",
+    "remade": f"""
+  select thread_id source, event_id line_no, source_timestamp as at, thread_id, cast(null as varchar) model, cast(null as varchar) cwd, counter_epoch, {_each("case when rises then d_@ else l_@ end @")}
+  from (select *, parent_thread_id is not null and broken = 0 prefix,
+               cast(sum(case when not (parent_thread_id is not null and broken = 0) and not rises then 1 else 0 end) over (partition by thread_id order by event_id) as int) counter_epoch from metered)
+  where not prefix and (rises or {_valid("l_")}) and not ({_each("case when rises then d_@ else l_@ end = 0", " and ")})""",
 }
+
+
 def sql(query: str) -> str:
     """A query with the relations that it reads, as common tables."""
     wanted: list[str] = []
@@ -164,5 +211,5 @@ def sql(query: str) -> str:
 ORDER = (
     "raw_events", "facts", "recon", "days", "hours", "recon_days", "recon_hours", "catalog", "tree", "member", "standalone", "selection",
     "eff_days", "eff_hours", "eff_facts", "official", "coverage", "grid", "account_days", "reconciled", "residual_rows", "excess", "weights",
-    "bases", "shares", "allocated", "epochs", "counters", "quota", "markers", "logouts", "windows", "inferred",
+    "bases", "shares", "allocated", "epochs", "counters", "quota", "markers", "logouts", "windows", "inferred", "readings", "sure", "walk", "resets", "paired", "guard", "metered", "remade",
 )

@@ -67,3 +67,30 @@ def account_list(*sources: DataFrame) -> DataFrame:
     for other in sources[1:]:
         out = out.union(other.select("account"))
     return out.where("account is not null").distinct()
+
+
+#: The states of a file whose counters are reconstructed.
+STATES = ("pending", "reconstructing", "reconstructed", "unrecoverable")
+
+
+def reconstruction_status(sources: DataFrame, selection: DataFrame) -> DataFrame:
+    """One row: files by state, bytes done and in all, and the tokens for which reconstruction is the chosen evidence."""
+    sum_ = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    files = sources.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATES], sum_("bytes_processed").alias("bytes_processed"), sum_("bytes_total").alias("bytes_total"))
+    chosen = selection.where("source = 'reconstruction'").agg(sum_("reconstruction_tokens").alias("selected_tokens"))
+    return files.crossJoin(chosen)  # two single rows
+
+
+def kept_cursors(cursors: DataFrame, swapped: DataFrame) -> DataFrame:
+    """cursors without those of files that were swapped, which are read anew."""
+    return cursors.join(swapped.select("source").distinct(), "source", "left_anti")
+
+
+def source_id(path: str) -> Column:
+    """A file's id as a source: the hash of its path, which doesn't show the path."""
+    return F.concat(F.lit("file-"), F.substring(F.sha2(F.col(path), 256), 1, 24))
+
+
+def relative_id(path: str) -> Column:
+    """A relative path as an id: its separators become underscores."""
+    return F.replace(F.col(path), F.lit("/"), F.lit("_"))

@@ -61,6 +61,20 @@ def lenient_usage(path: str, prefix: str, line: str = "line") -> list[Column]:
     return [F.when(there, own[m]).cast("bigint").alias(prefix + m) for m in MEASURES]
 
 
+def strict_usage(path: str, prefix: str = "", line: str = "line") -> list[Column]:
+    """A usage object as seven columns, as sampled records have it: whole numbers from 0 to 2**63 - 1 that are JSON
+    numbers; anything else counts as absent, and what is absent as 0, the total too. Rows that aren't valid() then are
+    no usage. Cache writes have one name only, and are observed if it holds such a number."""
+    node = lambda f: F.try_variant_get(F.try_parse_json(F.col(line)), f"{path}.{f}", "variant")
+    whole = lambda f: F.when(F.schema_of_variant(node(f)) == "BIGINT", F.try_variant_get(F.try_parse_json(F.col(line)), f"{path}.{f}", "bigint"))
+    at = lambda f: F.when(whole(f) >= 0, whole(f))
+    own = {m: F.coalesce(at(f), F.lit(0)) for m, f in USAGE.items()}
+    written = at(CACHE_WRITES[0])
+    own["cache_write_input"] = F.coalesce(written, F.lit(0))
+    own["cache_write_observed"] = F.when(written.isNotNull(), own["input"]).otherwise(F.lit(0))
+    return [own[m].cast("bigint").alias(prefix + m) for m in MEASURES]
+
+
 def records(lines: DataFrame) -> DataFrame:
     """Lines as records: kind, time, session, parent, model, folder, task and usage. Lines that aren't JSON have no kind."""
     json = lambda p: F.get_json_object("line", p)

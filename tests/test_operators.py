@@ -110,3 +110,50 @@ def test_newest_readings_are_as_many_as_the_reference_lists(spark):
     got = {(r.account, r.event_id) for r in quota.newest(frame).collect()}
     assert got == {(f"a{i % 2}", i) for i in range(200, 2200)}
     assert quota.newest(frame, 20).count() == 40
+
+
+def test_resets_have_a_high_water_for_each_window(spark):
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    data = [("a", "primary", at(0), 1, 80.0, at(30)), ("a", "secondary", at(1), 2, 10.0, at(50)), ("a", "primary", at(2), 3, 5.0, at(40)), ("a", "secondary", at(3), 4, 11.0, at(50)), ("a", "primary", at(4), 5, 6.0, at(40))]
+    frame = spark.createDataFrame(data, "account string, window_name string, o string, event_id long, used_percent double, r string").selectExpr("account", "window_name", "cast(o as timestamp_ntz) observed_at", "event_id", "used_percent", "cast(r as timestamp_ntz) resets_at")
+    got = [(r.window_name, r.event_id, r.before_used) for r in quota.reset_events(frame, ("account", "window_name")).collect()]
+    assert got == [("primary", 3, 80.0)]
+
+
+def test_confirmation_by_readings_of_the_same_time(spark):
+    data = [("a", "2024-01-01 00:00:00", 1, 80.0, 1), ("a", "2024-01-01 00:05:00", 2, 5.0, 2), ("a", "2024-01-01 00:05:00", 3, 6.0, 2)]
+    frame = spark.createDataFrame(data, "account string, o string, event_id long, used_percent double, d int").selectExpr("account", "cast(o as timestamp_ntz) observed_at", "event_id", "used_percent", "cast(date_add(date'2024-01-01', d) as timestamp_ntz) resets_at")
+    assert [r.event_id for r in quota.reset_events(frame).collect()] == [2]
+    assert not quota.reset_events(frame.where("event_id < 3")).collect()
+
+
+def test_gap_buckets_add_up(spark):
+    from meterline.operators import official
+
+    days = spark.createDataFrame([("a", "2024-01-01", 5), ("b", "2024-01-01", 2), ("a", "2024-01-03", 4), ("a", "2024-01-04", 9)], "account string, day string, tokens long")
+    seen = spark.createDataFrame([("2024-01-02",), ("2024-01-04",)], "day string")
+    shown, local = spark.range(1).selectExpr("25 display_tokens"), spark.range(1).selectExpr("10 total")
+    r = official.gap_buckets(days, seen, shown, local).first()
+    assert (r.before_evidence, r.without_evidence, r.gap, r.rest) == (7, 4, 15, 4)
+    none = official.gap_buckets(days, seen.where("false"), shown, local).first()
+    assert (none.before_evidence, none.without_evidence) == (20, 0)
+
+
+def test_strict_usage_takes_numbers_only(spark):
+    from meterline.functions.tokens import valid
+    from meterline.sources import logs
+
+    texts = ['{"u":{"input_tokens":8,"output_tokens":2,"total_tokens":10,"cache_write_input_tokens":3}}', '{"u":{"input_tokens":"8","output_tokens":2,"total_tokens":10}}', '{"u":{"input_tokens":8,"output_tokens":2}}', '{"u":{"input_tokens":8.0,"output_tokens":-2,"total_tokens":8}}', "no json", None, '{"u":{"input_tokens":8,"total_tokens":8,"cache_write_input_tokens":null}}']
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, line string").select("id", *logs.strict_usage("$.u"))
+    got = {r.id: (r.input, r.cache_write_input, r.cache_write_observed, r.total) for r in frame.where(valid()).where("total > 0").collect()}
+    assert got == {0: (8, 3, 8, 10), 6: (8, 0, 0, 8)}
+
+
+def test_labels_of_windows(spark):
+    from meterline.functions import time
+
+    rows = spark.createDataFrame([(2880,), (1500,), (120,), (90,), (0,)], "m int").select(time.duration_label("m").alias("x"))
+    assert [r.x for r in rows.collect()] == ["2 days", "25 hours", "2 hours", "90 minutes", "0 minutes"]
+    at = spark.sql("select timestamp_ntz'2023-12-31 15:00:00' a, timestamp_ntz'2023-12-31 17:00:00' b, cast(null as timestamp_ntz) c")
+    zone = "Asia/Shanghai"
+    assert at.select(time.crosses("a", "b", zone), time.crosses("a", "b", zone, year=True), time.crosses("a", "b", "UTC"), time.crosses("c", "b", zone)).first() == (True, True, False, False)
