@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,17 @@ def effective(sampled: DataFrame, reconstructed: DataFrame, chosen: DataFrame) -
         for rows, source in ((sampled, "sampling"), (reconstructed, "reconstruction"))
     ]
     return branches[0].unionByName(branches[1], allowMissingColumns=True)
+
+
+def chosen(sampled: DataFrame, reconstructed: DataFrame) -> DataFrame:
+    """Both cubes' rows of the source that selection() prefers for their thread and day, with the source.
+
+    As selection() and effective() in one pass: a window over thread and day sums both sources beside the rows, so that
+    neither cube is read twice nor joined. A thread's day without confirmed usage of either source has no rows.
+    """
+    both = sampled.withColumn("source", F.lit("sampling")).unionByName(reconstructed.withColumn("source", F.lit("reconstruction")))
+    group = Window.partitionBy("local_day", "thread_id")
+    of = lambda source: F.sum(F.when((F.col("source") == source) & (F.col("quality") == "confirmed"), F.col("total"))).over(group)
+    rows = both.select("*", of("sampling").alias("_s"), of("reconstruction").alias("_r"))
+    prefers = F.when(F.coalesce("_r", F.lit(0)) > F.coalesce("_s", F.lit(0)), "reconstruction").otherwise("sampling")
+    return rows.where((F.col("_s").isNotNull() | F.col("_r").isNotNull()) & (F.col("source") == prefers)).drop("_s", "_r")

@@ -13,21 +13,22 @@ MOST_LEVELS = 32
 def roots(catalog: DataFrame, levels: int | None = MOST_LEVELS) -> DataFrame:
     """(thread_id, root_id, relative_depth) of threads in a tree of at most so many levels below its root.
 
-    A root has no parent. Threads below a missing parent or on a cycle are in no tree. Without a limit the rounds go on
-    until none resolves more threads. Each round is one self-join, so that a forest takes log2(depth) shuffles.
+    A root has no parent. Threads below a missing parent or on a cycle are in no tree. The rounds end when no thread
+    has anything above it left, or as many as in the round before, as those of cycles do. Each round is one self-join, so
+    that a forest takes log2(depth) shuffles.
     """
     up = settle(catalog.select("thread_id", F.coalesce("parent_thread_id", "thread_id").alias("up"), F.col("parent_thread_id").isNotNull().cast("int").alias("steps")))
     top = catalog.where("parent_thread_id is null").select(F.col("thread_id").alias("root_id"))
-    done, reach = -1, 1
+    left, reach = None, 1
     while levels is None or reach < levels:
         above = up.select(F.col("thread_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        up = settle(up.join(above, "up").select("thread_id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps")))
+        lifted = settle(up.join(above, "up").select("thread_id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "more"))
+        up = lifted.drop("more")
         reach *= 2
-        if levels is None:
-            now = up.join(top, up.up == top.root_id, "left_semi").count()
-            if now == done:
-                break
-            done = now
+        now = lifted.where("more > 0").count()  # falls in each round while there is a tree so deep
+        if now in (0, left):
+            break
+        left = now
     found = up.join(top, up.up == top.root_id).select("thread_id", "root_id", F.col("steps").alias("relative_depth"))
     return found.where(F.col("relative_depth") <= levels) if levels is not None else found
 

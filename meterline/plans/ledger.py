@@ -56,27 +56,21 @@ class Ledger:
     def standalone(self) -> DataFrame:
         return trees.standalone(self.catalog)
 
-    @cached_property
-    def stored_days(self) -> tuple[DataFrame, DataFrame]:
-        """Both day cubes, stored: several joins read them, and they are far smaller than the facts."""
-        return settle(self.days), settle(self.recon_days)
-
     @cached_property
     def selection(self) -> DataFrame:
-        return effective.selection(*self.stored_days)
+        return effective.selection(self.days, self.recon_days)
 
     def _confirmed(self, cube: DataFrame) -> DataFrame:
         return cube.withColumn("quality", F.lit("confirmed"))
 
     @cached_property
     def effective_days(self) -> DataFrame:
-        sampled, reconstructed = self.stored_days
-        return effective.effective(sampled, self._confirmed(reconstructed), self.selection)
+        return effective.chosen(self.days, self._confirmed(self.recon_days))
 
     @cached_property
     def effective_hours(self) -> DataFrame:
         of = lambda c: c.withColumn("local_day", F.substring("local_hour", 1, 10))
-        return effective.effective(of(self.hours), of(self._confirmed(self.recon_hours)), self.selection)
+        return effective.chosen(of(self.hours), of(self._confirmed(self.recon_hours)))
 
     @cached_property
     def effective_facts(self) -> DataFrame:
@@ -108,7 +102,7 @@ class Ledger:
 
     @cached_property
     def residual_rows(self) -> DataFrame:
-        rows = aggregates.classified(self.stored_days[0].where("quality = 'confirmed'"), self.standalone)
+        rows = aggregates.classified(self.days.where("quality = 'confirmed'"), self.standalone)
         captured = self.official.select("account").distinct()
         return aggregates.cube_totals(rows.join(captured, "account", "left_semi"), "account", F.col("local_day").alias("day"), "project", "model")
 
