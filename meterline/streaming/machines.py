@@ -170,6 +170,8 @@ def matched(observations: DataFrame, candidates: DataFrame, micros: int = MATCH_
                     thread = thread_id
                     near.clear()
                 settle(at)
+                while not waiting and near and near[0][1] < at - micros:  # too old for all that may still come
+                    near.popleft()
                 (waiting if kind else near).append((own, at))
             yield frame(out)
             out = []
