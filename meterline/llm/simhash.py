@@ -149,11 +149,12 @@ def link(classes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(fp[i]), pa.array(rep[i])], ["k", "home", "fp", "rep"])
 
     rows = settle(map_arrow(classes, replicate, "k long, home boolean, fp long, rep long"))
-    # Tiles: an anchor with many members is cut into slices of its homes times slices of its replicas.
+    # Tiles: an anchor with many members is cut into slices of its homes times slices of its replicas. There are
+    # 2 * 4,096 + 2 ** 18 anchors, whatever the rows, so that the crowded ones can be broadcast.
     crowd = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * TILE).select("k", F.ceil(F.col("n") / (2 * TILE)).cast("int").alias("slices"))
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("long")
     tiled = (
-        rows.join(crowd, "k", "left")
+        rows.join(F.broadcast(crowd), "k", "left")
         .withColumn("slices", F.coalesce("slices", F.lit(1)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         .select(F.xxhash64("k", F.when(F.col("home"), own).otherwise(F.col("other").cast("long")), F.when(F.col("home"), F.col("other").cast("long")).otherwise(own)).alias("tile"), "k", "home", "fp", "rep")
