@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import git_identity, normal_path
 from ..functions.time import CUBE_HOURS
 from .aggregates import DIMENSIONS, cube_totals
+from .slots import carried, neighbour
 
 #: Ranks of attribution confidence.
 CONFIDENCE = {"verified": 2, "inferred": 1, "unknown": 0}
@@ -28,46 +29,54 @@ def inferred_epochs(markers: DataFrame, earliest: Column, now: Column) -> DataFr
     """
     logouts = kept_apart(markers.where("kind = 'logout'"), "observed_at", 1)
     first = markers.select(earliest.alias("observed_at")).limit(1)
-    bounds = first.unionByName(logouts.select("observed_at").where(F.col("observed_at") > earliest)).where("observed_at is not null")
-    by_time = Window.orderBy("observed_at")  # bounds are logouts of one source, few beside its facts
+    bounds = first.unionByName(logouts.where(F.col("observed_at") > earliest)).where("observed_at is not null")
     far = now + F.expr("interval 3650 days")
-    windows = bounds.select(F.col("observed_at").alias("start"), F.coalesce(F.lead("observed_at").over(by_time), far).alias("end"))
-    seen = markers.join(windows, (F.col("observed_at") >= F.col("start")) & (F.col("observed_at") < F.col("end")))
+    windows = neighbour(bounds, ["observed_at"], ["observed_at"], after=True).select(F.col("observed_at").alias("start"), F.coalesce("near.observed_at", far).alias("end"))
+    # A marker's window is that of the last bound at or before it; bounds come first at equal times.
+    none = lambda kind: F.lit(None).cast(kind)
+    starts = bounds.select("observed_at", none("string").alias("kind"), none("string").alias("account"), F.col("observed_at").alias("bound"), F.lit(0).alias("rank"))
+    rest = markers.where("observed_at is not null").select("observed_at", "kind", "account", none("timestamp_ntz").alias("bound"), F.lit(1).alias("rank"))
+    seen = carried(starts.unionByName(rest), "bound", ["observed_at", "rank"], "start").where("rank = 1 and start is not null").join(windows, "start").where(F.col("observed_at") < F.col("end"))
+    sighted = (F.col("kind") == "account_seen") & F.col("account").isNotNull()
     single = (
         seen.groupBy("start", "end")
-        .agg(
-            F.countDistinct(F.when(F.col("kind") == "account_seen", F.col("account"))).alias("accounts"),
-            F.min(F.when(F.col("kind") == "account_seen", F.col("account"))).alias("account"),
-            F.min(F.when((F.col("kind") == "account_seen") & F.col("account").isNotNull(), F.col("observed_at"))).alias("first_seen"),
-            F.sort_array(F.collect_set(F.when(F.col("kind") == "login_success", F.col("observed_at")))).alias("logins"),
-        )
-        .where("accounts = 1")
+        .agg(F.min(F.when(sighted, F.col("account"))).alias("account"), F.max(F.when(sighted, F.col("account"))).alias("other"), F.min(F.when(sighted, F.col("observed_at"))).alias("first_seen"))
+        .where("account = other")
     )
-    login = F.element_at(F.filter("logins", lambda at: at <= F.col("first_seen")), -1)
-    return single.select(
-        F.coalesce(F.when(F.size(F.filter("logins", lambda at: at <= F.col("first_seen"))) > 0, login), F.col("start")).alias("observed_from"),
+    logins = seen.where("kind = 'login_success'").select("start", F.col("observed_at").alias("login"))
+    last = logins.join(single.select("start", "first_seen"), "start").where("login <= first_seen").groupBy("start").agg(F.max("login").alias("login"))
+    return single.join(last, "start", "left").select(
+        F.coalesce("login", "start").alias("observed_from"),
         F.when(F.col("end") <= now, F.col("end")).alias("observed_to"),
         "account",
     )
 
 
 def kept_apart(rows: DataFrame, at: str, seconds: int) -> DataFrame:
-    """Rows of distinct times more than so many whole seconds after the last kept one, over a time-ordered scan."""
-    times = rows.select(at).distinct().orderBy(at)
+    """Rows of distinct times more than so many whole seconds after the last kept one; null times are none.
+
+    A time so far after the one before it is kept whatever came earlier. It begins a chain, and each chain is thinned in
+    order by itself, of which only the last kept time is held.
+    """
+    times = rows.select(at).where(F.col(at).isNotNull()).distinct()
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    begins = F.when(F.coalesce(micros(at) - micros(f"near.{at}") >= (seconds + 1) * 1_000_000, F.lit(True)), F.col(at))
+    chains = carried(neighbour(times, [at], [at]).select(at, begins.alias("begins")), "begins", [at], "chain").select(at, "chain")
 
     def scan(batches):
         import pandas as pd
 
-        last = None
+        chain = last = None
         for batch in batches:
             keep = []
-            for t in batch[at]:
-                ok = last is None or int((t - last) / pd.Timedelta(seconds=1)) > seconds
+            for t, c in zip(batch[at], batch["chain"]):
+                ok = c != chain or int((t - last) / pd.Timedelta(seconds=1)) > seconds
                 keep.append(ok)
-                last = t if ok else last
-            yield batch[keep]
+                chain, last = c, t if ok else last
+            yield batch.loc[keep, [at]]
 
-    return times.coalesce(1).sortWithinPartitions(at).mapInPandas(scan, times.schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chains.repartition(parts, "chain").sortWithinPartitions("chain", at).mapInPandas(scan, times.schema)
 
 
 def segments(epochs: DataFrame, last: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def segments(epochs: DataFrame, last: DataFrame) -> DataFrame:
     known = epochs.join(last, F.col("observed_from") <= F.col("last"))
     spread = known.select("*", days(F.col("observed_from"), F.least(F.coalesce("observed_to", "last"), F.col("last"))))
     points = known.select(F.col("observed_from").alias("seg_from")).union(known.where("observed_to <= last").select("observed_to")).distinct()
-    cut = points.select("seg_from", F.lead("seg_from").over(Window.orderBy("seg_from")).alias("seg_to"), slot(F.col("seg_from")).alias("slot"))  # epochs, few beside facts
+    cut = neighbour(points, ["seg_from"], ["seg_from"], after=True).select("seg_from", F.col("near.seg_from").alias("seg_to"), slot(F.col("seg_from")).alias("slot"))
     covers = (F.col("observed_from") <= F.col("seg_from")) & (F.col("observed_to").isNull() | (F.col("seg_from") < F.col("observed_to")))
     best = F.max(F.struct(confidence_rank().alias("rank"), F.col("observed_from"), F.col("account"), F.col("confidence"))).alias("best")
     won = cut.join(spread, "slot").where(covers).groupBy("seg_from", "seg_to").agg(best, F.max("last").alias("last"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .slots import neighbour
+
 #: Fixed values of the reset rule: least drop in points, how long a confirmation may take and how far it may rise, and
 #: how near a boundary a scheduled reset lies, before and after.
 LEAST_DROP, CONFIRM_SECONDS, CONFIRM_RISE = 5.0, 600, 2.0
@@ -59,8 +61,8 @@ def cycle_usage(cycles: DataFrame, hours: DataFrame) -> DataFrame:
 
 def switches(epochs: DataFrame) -> DataFrame:
     """Changes of account from one row to the next of a source, ordered by (observed_at, event_id)."""
-    before = F.lag("account").over(Window.partitionBy("source_id").orderBy("observed_at", "event_id"))
-    return epochs.withColumn("before", before).where("before is not null and not (before <=> account)")
+    ordered = neighbour(epochs, ["account"], ["observed_at", "event_id"], ("source_id",))
+    return ordered.withColumn("before", F.col("near.account")).drop("near").where("before is not null and not (before <=> account)")
 
 
 RESETS = "account string, at timestamp_ntz, event_id long, before_used double, after_used double, previous_reset timestamp_ntz, next_reset timestamp_ntz, reset_class string"

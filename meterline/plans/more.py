@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import payload
 from ..operators import aggregates as agg
 from ..operators import attribution, maintenance, quota
+from ..operators.slots import neighbour
 from ..sources import discovery
 from ..sources import ledger as source
 from . import views
@@ -95,9 +96,9 @@ query("bundle")(views.bundle)
 def auth_epochs_appended(x: Ledger) -> DataFrame:
     """Intervals from sightings: an equal account changes nothing, another closes the open interval."""
     seen = source.auth_markers(x.facts).where("kind = 'account_seen' and account is not null").withColumn("source_id", F.lit("log"))
-    order = Window.partitionBy("source_id").orderBy("observed_at", "event_id")
-    changes = seen.withColumn("b", F.lag("account").over(order)).where("b is null or b <> account")
-    return changes.select("account", F.col("observed_at").alias("observed_from"), F.lead("observed_at").over(order).alias("observed_to"))
+    order, keys = ["observed_at", "event_id"], ("source_id",)
+    changes = neighbour(seen, ["account"], order, keys).where("near is null or near.account <> account").drop("near")
+    return neighbour(changes, ["observed_at"], order, keys, after=True).select("account", F.col("observed_at").alias("observed_from"), F.col("near.observed_at").alias("observed_to"))
 
 
 @query("alias_latest", "select thread_id workspace, coalesce(max(account) filter (event_type = 'click'), max_by(account, event_id) filter (account is not null)) account from facts where account is not null group by 1")
