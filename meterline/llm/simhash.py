@@ -148,7 +148,9 @@ def link(classes: DataFrame) -> DataFrame:
         i, key, home = anchors(fp.view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(fp[i]), pa.array(rep[i])], ["k", "home", "fp", "rep"])
 
-    rows = settle(map_arrow(classes, replicate, "k long, home boolean, fp long, rep long"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each class becomes some 60 rows, so that partitions that suit classes are too large for their replicas.
+    rows = settle(map_arrow(classes.repartition(parts, "fp"), replicate, "k long, home boolean, fp long, rep long"))
     # Tiles: an anchor with many members is cut into slices of its homes times slices of its replicas. There are
     # 2 * 4,096 + 2 ** 18 anchors, whatever the rows, so that the crowded ones can be broadcast.
     crowd = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 2 * TILE).select("k", F.ceil(F.col("n") / (2 * TILE)).cast("int").alias("slices"))
@@ -180,7 +182,6 @@ def link(classes: DataFrame) -> DataFrame:
                 x, y = forest(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tiled.select("tile", "home", "fp", "rep").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long")
 
 
