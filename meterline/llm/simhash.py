@@ -224,8 +224,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = fps.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "id")
     chosen = settle(chosen.join(rows, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("chosen_id"), F.col("fp").alias("chosen_fp"), (F.col("id").isNull() | (F.col("n") > 1)).alias("several")))
     once = docs.join(chosen.where("not several"), docs.doc_id == F.col("chosen_id"), "left_semi")
-    # Rows that share an id, or have none, are told apart by their fingerprints.
+    # Rows that share an id, or have none, are told apart by their fingerprints. Where there are none, texts move once.
     several = chosen.where("several")
+    if several.isEmpty():
+        return once.select(docs.columns)
     own = next(f"fp{i}" for i in range(len(docs.columns) + 1) if f"fp{i}" not in docs.columns)
     at = docs.columns.index("text")
 
