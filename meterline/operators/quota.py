@@ -119,9 +119,11 @@ def held_back(observations: DataFrame, epochs: DataFrame, source_id: str = "sour
     """
     from .attribution import epoch_at
 
-    order = Window.partitionBy(source_id).orderBy("observed_at", "event_id")
-    found = epoch_at(observations, epochs, "observed_at")
-    return found.withColumn("held", F.max(F.col("epoch_account").isNull()).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("epoch_confidence")
+    at = F.struct("observed_at", "event_id")
+    found = epoch_at(observations, epochs, "observed_at").drop("epoch_confidence")
+    first = found.where("epoch_account is null").groupBy(F.col(source_id).alias("_source")).agg(F.min(at).alias("_first"))
+    held = F.coalesce(at >= F.col("_first"), F.lit(False))
+    return found.join(first, F.col(source_id).eqNullSafe(F.col("_source")), "left").withColumn("held", held).drop("_source", "_first")
 
 
 def cards(readings: DataFrame, main: str = "main") -> DataFrame:
