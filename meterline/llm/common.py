@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark allows no more buckets.
@@ -86,6 +87,40 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.Table]:
+    """The rows of all batches in pieces of at most `most` bytes of a text column, or of one longer text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_pylist()
+        lo = 0
+        for i, n in enumerate(sizes):
+            if size + n > most and (held or i > lo):
+                if i > lo:
+                    held.append(batch.slice(lo, i - lo))
+                yield pa.Table.from_batches(held)
+                held, size, lo = [], 0, i
+            size += n
+        if len(sizes) > lo:
+            held.append(batch.slice(lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df, settled, with each row's place from 0 in an order of all rows.
+
+    Rows are dealt by ranges and counted range by range, so that no task has more than its range; the order should end
+    in a column that tells equal rows apart, or they are one range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    first = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a shuffle partition
+    before = ranges.select("_range", (F.coalesce(F.sum("_n").over(first), F.lit(0)) - F.col("_first")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component is its smallest reachable node.
 

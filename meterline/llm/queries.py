@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_main, language_id, mixing, pivots, quality, simhash, suffix_tree, token_counts, warc
+from . import decontaminate, html_main, importance, language_id, mixing, pivots, quality, sharding, simhash, suffix_tree, token_counts, warc, whitening
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_vectors": op2_near_vectors,
@@ -61,6 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_token_counts": op10_token_counts,
+    "op11_importance": op11_importance,
+    "op12_sharding": op12_sharding,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL.format(documents="documents")}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.SQL.format(documents="documents"),
+    "op11_importance": importance.SQL.replace("{documents}", "documents").replace("{benchmark}", "benchmark"),
+    "op12_sharding": sharding.SQL.format(documents="documents"),
+}
