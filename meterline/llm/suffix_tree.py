@@ -6,11 +6,15 @@ corpus; it is retained if its next-symbol distribution diverges from that of its
 nats over all its occurrences. The distribution of a context is smoothed towards that of its suffix (Witten and Bell),
 down to the unigram base. A symbol is scored by the longest retained context that stands before it, else by the base.
 
-The tree is never in one place. Texts are cut into stretches of bounded size. Each stretch asks for the counts of its
-distinct grams and gets them back: grams of up to DEPTH + 1 tokens are hashed and dealt to slices, which add up what the
-stretches have. A second round adds up the divergences, to which each distinct gram contributes in one stretch, and
-the numbers of different next symbols. Then each stretch scores its texts. A gram's rows in a slice are at most one for each
-stretch, however frequent it is, so no hot word or context gathers in one task.
+The tree is never in one place. Texts are cut into stretches of bounded size, and grams of one token, then of two, and so
+on to DEPTH + 1, are counted in a round each: every stretch asks for the counts of its distinct grams and gets them back.
+Grams are hashed and dealt to slices, which add up what the stretches have. A gram that no other stretch has is known to
+its own stretch whole, and so are all that contain it: only grams whose first and last tokens less one are both shared are
+asked for in the next round. A last round adds up the divergences of shared contexts, to which each distinct gram
+contributes in one stretch, and the numbers of different next symbols. Then each stretch scores its texts. A context is
+shared if any other stretch meets it, in training or not, so that what one knows is known wherever it is asked for, and
+scores don't depend on how the table is cut. A gram's rows in a slice are at most one for each stretch, however frequent it
+is, so no hot word or context gathers in one task.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from .common import bucketed, crc_mod, settle, small_batches, texts, unbucket
+from .common import blocks, bucketed, crc_mod, settle, small_batches, texts, unbucket
 
 DEPTH, MIN_COUNT, MIN_GAIN = 2, 2, 2.0
 #: Weight of the suffix's distribution, for each different next symbol of a context (Witten and Bell's choice is 1).
@@ -37,8 +41,8 @@ STEPS = 16
 #: Stretches have about so many bytes of text, or one longer text; slices are asked for about so many tokens' grams.
 BYTES_AT_ONCE, TOKENS_A_SLICE = 10 << 20, 2 << 20
 #: Keys of grams of two tokens or more have so many bits above the logarithm of the number of tokens: a gram shares its
-#: key with another one with a probability of about 2^-11. Keys of single tokens have all 64 bits.
-SPARE_BITS, LEAST_BITS = 11, 39
+#: key with another one with a probability of about 2^-16. Keys of single tokens have all 64 bits.
+SPARE_BITS, LEAST_BITS = 16, 44
 #: Keys of the end and of what stands before a text; no word has a line feed or is empty.
 END, BEFORE = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"")
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -101,14 +105,8 @@ def records(docs: DataFrame) -> DataFrame:
     """Of each stretch of docs (ref, doc_id, text, train): its distinct words' keys, and its texts as places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(x.nbytes for x in held) >= BYTES_AT_ONCE:
-                yield stretch(pa.Table.from_batches(held))
-                held = []
-        if sum(x.num_rows for x in held):
-            yield stretch(pa.Table.from_batches(held))
+        for rows in blocks(batches, BYTES_AT_ONCE):
+            yield stretch(rows)
 
     def stretch(rows: pa.Table) -> pa.RecordBatch:
         number: dict[bytes, int] = {b"\n": 0}
@@ -153,9 +151,14 @@ class Grams(NamedTuple):
 
 
 class Stretch:
-    """The texts of a record one after the other, each after DEPTH marks; grams[k] are those of k tokens."""
+    """The texts of a record one after the other, each after DEPTH marks; grams[k] are those of k tokens, up to `most`.
+
+    take() adds what a round has found of the grams of k tokens, in the order of rounds: total[k] are training counts in
+    the whole corpus, owner[k] whether a gram's part in divergences is this stretch's to give, shared[k] whether another
+    stretch has the gram too, in any text.
+    """
 
-    def __init__(self, payload: bytes, corpus: Corpus) -> None:
+    def __init__(self, payload: bytes, corpus: Corpus, most: int) -> None:
         self.corpus = corpus
         key, code, length, train, has_id, ids = unpack(payload)
         self.length, self.train, self.has_id, self.ids = length.astype(np.int64), train.astype(bool), has_id.astype(bool), ids.view(np.int64)
@@ -171,8 +174,11 @@ class Stretch:
         self.is_token[self.token] = True
         counted = self.is_token.copy()
         self.grams: dict[int, Grams] = {}
+        self.total: dict[int, np.ndarray] = {}
+        self.owner: dict[int, np.ndarray] = {}
+        self.shared: dict[int, np.ndarray] = {}
         gram = word
-        for k in range(1, DEPTH + 2):
+        for k in range(1, most + 1):
             if k > 1:
                 gram = np.concatenate([word[:1], mixed(gram[:-1], word[1:])])
             counted[last_mark] = k <= DEPTH
@@ -183,28 +189,45 @@ class Stretch:
             of_place[places] = which
             self.grams[k] = Grams(key, np.bincount(which, trained[places], len(key)).astype(np.int64), of_place, places[first])
 
-    def slices(self, k: int, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """(slice, places among the distinct keys, or some of them) of grams of k tokens."""
+    def asked(self, k: int) -> np.ndarray:
+        """The grams of k tokens of which another stretch can have some, as places among the distinct keys."""
+        own = self.grams[k]
+        if k == 1:
+            return np.arange(len(own.key))
+        shorter = self.grams[k - 1].of_place
+        places = np.flatnonzero(own.of_place >= 0)
+        before, last = shorter[places - 1], shorter[places]  # none stands before a text's last mark
+        both = ((before < 0) | self.shared[k - 1][before]) & self.shared[k - 1][last]
+        return np.unique(own.of_place[places[both]])
+
+    def take(self, k: int, found: np.ndarray) -> None:
+        own, asked = self.grams[k], self.asked(k)
+        self.total[k], self.owner[k], self.shared[k] = own.n.copy(), own.n > 0, np.zeros(len(own.key), bool)
+        self.total[k][asked] += (found >> np.uint64(2)).astype(np.int64)
+        self.owner[k][asked] ^= (found & np.uint64(1)).astype(bool)
+        self.shared[k][asked] = (found & np.uint64(2)).astype(bool)
+
+    def slices(self, k: int, some: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(slice, places among the distinct keys) of some grams of k tokens."""
         key = self.grams[k].key
-        some = np.arange(len(key)) if some is None else some
         bits = 64 if k == 1 else self.corpus.bits
         slice_ = key[some] >> np.uint64(bits - self.corpus.slice_bits) if self.corpus.slice_bits else np.zeros(len(some), np.uint64)
         cuts = np.flatnonzero(np.diff(slice_, prepend=slice_[:1] + np.uint64(1))) if len(some) else np.zeros(0, int)
         for lo, hi in zip(cuts, np.append(cuts[1:], len(some))):
             yield int(slice_[lo]), some[lo:hi]
 
-    def contexts(self, d: int, total: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The candidates among the contexts of d tokens, as places among the distinct keys: those that also occur in
-        other stretches, and those of which all is here."""
+    def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates among the contexts of d tokens, as places among the distinct keys: those that are shared, and
+        those of which all is here."""
         context = np.unique(self.grams[d].of_place[self.token - 1])
-        context = context[total[d][context] >= MIN_COUNT]
-        here = total[d][context] == self.grams[d].n[context]
-        return context[~here], context[here]
+        context = context[self.total[d][context] >= MIN_COUNT]
+        shared = self.shared[d][context]
+        return context[shared], context[~shared]
 
-    def evidence(self, d: int, total: dict[int, np.ndarray], owner: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def evidence(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each distinct gram of d tokens as a context: the divergence in steps, and how many next symbols, by the grams owned."""
-        grams, size = self.grams, len(self.grams[d].key)
-        mine = np.flatnonzero(owner[d + 1])
+        grams, total, size = self.grams, self.total, len(self.grams[d].key)
+        mine = np.flatnonzero(self.owner[d + 1])
         mine = mine[self.is_token[grams[d + 1].place[mine]]]  # what stands before a text is no symbol
         place = grams[d + 1].place[mine]
         context = grams[d].of_place[place - 1]
@@ -222,32 +245,35 @@ ASKED = "size int, slice long, stretch long, payload binary"
 ANSWER = "size int, slice long, stretch long, payload binary, distinct long"
 
 
-def asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+def requests(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows)) or [(), (), (), ()]
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["size", "slice", "stretch", "payload"])
 
 
-def answered(requests: DataFrame, counts: bool) -> DataFrame:
+def answered(asked: DataFrame, counts: bool) -> DataFrame:
     """What all stretches together have of each key that one of them asks for, in its order of keys.
 
-    Requests hold keys and numbers. Of counts the answer has what other stretches have, and whether the stretch is the first that has the
-    gram in training; of contexts, whether they are retained and how many different next symbols they have.
+    Requests hold keys and numbers. Of counts the answer has what other stretches have, whether another one asks for the
+    gram, and whether the stretch is the first that has it in training; of contexts, whether they are retained and how
+    many different next symbols they have.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("stretch")
-        size, slice_ = rows.column("size")[0].as_py(), rows.column("slice")[0].as_py()
+        size = rows.column("size")[0].as_py()
         parts = [unpack(x) for x in rows.column("payload").to_pylist()]
         keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
         key, which = np.unique(np.concatenate(keys), return_inverse=True)
         own = [np.concatenate([p[i] for p in parts]) for i in (1, 2)] if not counts else [np.concatenate([p[1] for p in parts])]
         if counts:
             n = np.bincount(which, own[0].astype(float), len(key)).astype(np.int64)
+            shared = np.bincount(which, minlength=len(key)) > 1
             there = np.flatnonzero(own[0] > 0)
             owner = np.zeros(len(which), bool)
             owner[there[np.unique(which[there], return_index=True)[1]]] = True
             # what others have, and who is first where that isn't plain: mostly 0
-            columns, distinct = (2 * (n[which] - own[0].astype(np.int64)) + (owner ^ (own[0] > 0)),), int((n > 0).sum() - (size == 1 and bool((n[key == np.uint64(BEFORE)] > 0).any())))
+            columns = (4 * (n[which] - own[0].astype(np.int64)) + 2 * shared[which] + (owner ^ (own[0] > 0)),)
+            distinct = int((n > 0).sum() - (size == 1 and bool((n[key == np.uint64(BEFORE)] > 0).any())))
         else:
             gain = np.bincount(which, unfolded(own[0]).astype(float), len(key))
             columns, distinct = ((gain >= MIN_GAIN * STEPS)[which], np.bincount(which, own[1].astype(float), len(key))[which]), 0
@@ -257,65 +283,65 @@ def answered(requests: DataFrame, counts: bool) -> DataFrame:
             {"size": rows.column("size"), "slice": rows.column("slice"), "stretch": rows.column("stretch"), "payload": pa.array(payload, pa.binary()), "distinct": pa.array([distinct] + [0] * (len(parts) - 1), pa.int64())}
         )
 
-    return requests.groupBy("size", "slice").applyInArrow(run, ANSWER)
+    return asked.groupBy("size", "slice").applyInArrow(run, ANSWER)
 
 
-def counts(stretches: DataFrame, corpus: Corpus) -> DataFrame:
-    """The request of each stretch for the counts of its distinct grams."""
+def first_counts(stretches: DataFrame, corpus: Corpus) -> DataFrame:
+    """The request of each stretch for the counts of its distinct tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, payload in zip(batch.column("stretch").to_pylist(), batch.column("payload").to_pylist()):
-                own = Stretch(payload, corpus)
-                for k, grams in own.grams.items():
-                    yield from asked([(k, s, id_, pack(steps(grams.key[at]), grams.n[at])) for s, at in own.slices(k)]).to_batches()
+                yield from counts_of(id_, Stretch(payload, corpus, 1), 1).to_batches()
 
     return stretches.select("stretch", "payload").mapInArrow(run, ASKED)
 
 
-class Known(NamedTuple):
-    """A stretch with the answers that it has got, by the number of tokens."""
-
-    stretch: Stretch
-    total: dict[int, np.ndarray]  # training counts of its distinct grams in the whole corpus
-    owner: dict[int, np.ndarray]  # whether a gram's part in divergences is this stretch's to give
-    kept: dict[int, np.ndarray]  # of its candidates that occur elsewhere too
-    followers: dict[int, np.ndarray]
-
-
-def met(record: pa.Table, answers: pa.Table, corpus: Corpus) -> Known:
-    answers = answers.sort_by([("round", "ascending"), ("size", "ascending"), ("slice", "ascending")])
-    got: tuple[dict[int, list], dict[int, list]] = ({}, {})
-    for round_, size, payload in zip(*(answers.column(c).to_pylist() for c in ("round", "size", "payload"))):
-        got[round_ - 1].setdefault(size, []).append(unpack(payload))
-    first, second = ({k: [np.concatenate(x) for x in zip(*parts)] for k, parts in own.items()} for own in got)
-    own = Stretch(record.column("payload")[0].as_py(), corpus)
-    return Known(
-        own,
-        {k: (x >> np.uint64(1)).astype(np.int64) + own.grams[k].n for k, (x,) in first.items()},
-        {k: (x & np.uint64(1)).astype(bool) ^ (own.grams[k].n > 0) for k, (x,) in first.items()},
-        {k: kept.astype(bool) for k, (kept, _) in second.items()},
-        {k: followers.astype(float) for k, (_, followers) in second.items()},
-    )
+def counts_of(id_: int, own: Stretch, k: int) -> pa.Table:
+    grams = own.grams[k]
+    return requests([(k, s, id_, pack(steps(grams.key[at]), grams.n[at])) for s, at in own.slices(k, own.asked(k))])
+
+
+def counts(rows: PandasCogroupedOps, corpus: Corpus, k: int) -> DataFrame:
+    """The request of each stretch for the counts of its distinct grams of k tokens, after the rounds before."""
+
+    def run(record: pa.Table, answers: pa.Table) -> pa.Table:
+        return counts_of(record.column("stretch")[0].as_py(), met(record, answers, corpus, k - 1, k)[0], k)
+
+    return rows.applyInArrow(run, ASKED)
+
+
+def met(record: pa.Table, answers: pa.Table, corpus: Corpus, rounds: int, most: int) -> tuple[Stretch, dict[int, list[np.ndarray]]]:
+    """A stretch that knows its grams up to `most` tokens, after so many rounds of counts; and what it got of its shared
+    candidates, by the number of tokens."""
+    answers = answers.sort_by([("of_counts", "descending"), ("size", "ascending"), ("slice", "ascending")])
+    found: dict[tuple[bool, int], list] = {}
+    for of_counts, size, payload in zip(*(answers.column(c).to_pylist() for c in ("of_counts", "size", "payload"))):
+        found.setdefault((of_counts, size), []).append(unpack(payload))
+    joined = {key: [np.concatenate(x) for x in zip(*parts)] for key, parts in found.items()}
+    own = Stretch(record.column("payload")[0].as_py(), corpus, most)
+    for k in range(1, rounds + 1):
+        own.take(k, joined.get((True, k), [np.zeros(0, np.uint64)])[0])  # without an answer nothing was asked
+    return own, {size: x for (of_counts, size), x in joined.items() if not of_counts}
 
 
-def together(stretches: DataFrame, *answers: DataFrame) -> PandasCogroupedOps:
+def together(stretches: DataFrame, of_counts: list[DataFrame], of_contexts: DataFrame | None = None) -> PandasCogroupedOps:
     """Each stretch's record with the answers of all rounds; records lie in buckets, so that only answers are moved."""
-    rows = [own.select("stretch", F.lit(i).alias("round"), "size", "slice", "payload") for i, own in enumerate(answers, 1)]
+    rows = [own.select("stretch", F.lit(own is not of_contexts).alias("of_counts"), "size", "slice", "payload") for own in [*of_counts, *([of_contexts] if of_contexts else [])]]
     return stretches.groupBy("stretch").cogroup(reduce(DataFrame.union, rows).groupBy("stretch"))
 
 
 def divergences(rows: PandasCogroupedOps, corpus: Corpus) -> DataFrame:
-    """The request of each stretch for its candidates, with what the grams that it owns contribute."""
+    """The request of each stretch for its shared candidates, with what the grams that it owns contribute."""
 
     def run(record: pa.Table, answers: pa.Table) -> pa.Table:
-        id_, known = record.column("stretch")[0].as_py(), met(record, answers, corpus)
-        own, out = known.stretch, []
+        id_, (own, _) = record.column("stretch")[0].as_py(), met(record, answers, corpus, DEPTH + 1, DEPTH + 1)
+        out = []
         for d in range(1, DEPTH + 1):
-            gains, followers = own.evidence(d, known.total, known.owner)
+            gains, followers = own.evidence(d)
             key = own.grams[d].key >> np.uint64(64 - corpus.bits if d == 1 else 0)
-            out += [(d, s, id_, pack(steps(key[at]), folded(gains[at]), followers[at])) for s, at in own.slices(d, own.contexts(d, known.total)[0])]
-        return asked(out)
+            out += [(d, s, id_, pack(steps(key[at]), folded(gains[at]), followers[at])) for s, at in own.slices(d, own.contexts(d)[0])]
+        return requests(out)
 
     return rows.applyInArrow(run, ASKED)
 
@@ -325,18 +351,17 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 def scored(rows: PandasCogroupedOps, corpus: Corpus) -> DataFrame:
     def run(record: pa.Table, answers: pa.Table) -> pa.Table:
-        known = met(record, answers, corpus)
-        own, total = known.stretch, known.total
-        grams, token, texts_ = own.grams, own.token, len(own.length)
+        own, about = met(record, answers, corpus, DEPTH + 1, DEPTH + 1)
+        grams, total, token, texts_ = own.grams, own.total, own.token, len(own.length)
         c = total[1][grams[1].of_place[token]]
         base = (c + 1) / (corpus.train_tokens + corpus.distinct + 1)
         p = score = base
         for d in range(1, DEPTH + 1):
-            (asks, here), (gains, followers) = own.contexts(d, total), own.evidence(d, total, known.owner)
-            kept = np.zeros(len(gains), bool)
-            kept[here], followers = gains[here] >= MIN_GAIN * STEPS, np.where(np.isin(np.arange(len(gains)), here), followers, 0)
+            (asks, here), (gains, seen) = own.contexts(d), own.evidence(d)
+            kept, followers = np.zeros(len(gains), bool), np.zeros(len(gains))
+            kept[here], followers[here] = gains[here] >= MIN_GAIN * STEPS, seen[here]
             if len(asks):
-                kept[asks], followers[asks] = known.kept[d], known.followers[d]
+                kept[asks], followers[asks] = about[d]
             context = grams[d].of_place[token - 1]
             prior = PRIOR * followers[context]
             p = np.where(prior > 0, (total[d + 1][grams[d + 1].of_place[token]] + prior * p) / np.maximum(total[d][context] + prior, 1), p)
@@ -374,9 +399,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     small_batches(spark, 4)  # a row can have some megabytes
     size = stretches.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
     corpus = Corpus(min(64, max(LEAST_BITS, size.n.bit_length() + SPARE_BITS)), max(0, (size.n // TOKENS_A_SLICE).bit_length()), size.train)
-    first = settle(answered(counts(stretches, corpus), True))
-    corpus = corpus._replace(distinct=first.where("size = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
-    second = settle(answered(divergences(together(stretches, first), corpus), False))
-    out = settle(scored(together(stretches, first, second), corpus))
+    found = [settle(answered(first_counts(stretches, corpus), True))]
+    corpus = corpus._replace(distinct=found[0].agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
+    for k in range(2, DEPTH + 2):
+        found.append(settle(answered(counts(together(stretches, found), corpus, k), True)))
+    of_contexts = settle(answered(divergences(together(stretches, found), corpus), False))
+    out = settle(scored(together(stretches, found, of_contexts), corpus))
     unbucket(spark, name, where)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

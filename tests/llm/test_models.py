@@ -188,6 +188,38 @@ def test_unigram_base_and_the_tree_in_one_place(spark, monkeypatch, bytes_at_onc
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(scores[r.doc_id], rel=1e-9)
 
 
+def test_scores_do_not_depend_on_how_the_table_is_cut(spark, monkeypatch):
+    docs = sample(spark, DATA).where("doc_id < 400")
+    scores = lambda df: {r.doc_id: r.score for r in suffix_tree.lm_scores(df).collect()}
+    one = scores(docs.coalesce(1))
+    assert len(one) == docs.count()
+    for parts, size in ((4, 10 << 20), (16, 10 << 20), (64, 1 << 14)):
+        monkeypatch.setattr(suffix_tree, "BYTES_AT_ONCE", size)
+        cut = docs.repartition(parts, "doc_id")
+        assert scores(cut) == pytest.approx(one, rel=1e-12)
+        rows = cut.selectExpr("doc_id", "text", "true as train", "doc_id as ref")
+        assert suffix_tree.records(rows).count() >= min(parts, 40)
+
+
+def test_held_out_texts_in_a_file_of_their_own_meet_what_is_learned(spark, tmp_path):
+    train, held = [i for i in range(500) if not held_out(i, 7, 2)][:60], [i for i in range(500) if held_out(i, 7, 2)][:3]
+    text = lambda i: f"once w{i} upon a x{i} time there was y{i} a fox z{i}"
+    learned = [(i, text(i // 2)) for i in train]
+    asked = [(i, text(train[0] // 2)) for i in held]
+    together, apart = str(tmp_path / "together"), str(tmp_path / "apart")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    frame(learned + asked).write.parquet(together)
+    for rows in (learned[:20], learned[20:], asked[:2], asked[2:]):
+        frame(rows).write.mode("append").parquet(apart)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a file a partition
+    try:
+        got = [{r.doc_id: (r.score, r.base_score) for r in suffix_tree.lm_scores(spark.read.parquet(x)).collect()} for x in (together, apart)]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(got[0][i] == pytest.approx(got[1][i], rel=1e-12) for i in train + held)
+    assert all(score > base + 2 for score, base in (got[1][i] for i in held))
+
+
 def test_held_out_texts_score_better_than_by_the_base(spark):
     got = suffix_tree.lm_scores(sample(spark, DATA)).collect()
     for own in ([r for r in got if r.held_out], [r for r in got if not r.held_out]):
