@@ -58,10 +58,26 @@ def bucketed(df: DataFrame, key: str) -> tuple[str, str]:
 def unbucket(spark: SparkSession, name: str, where: str) -> None:
     """Drops a table of bucketed(), files included."""
     spark.sql(f"DROP TABLE {name}")
+    discard(spark, where)
+
+
+def discard(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder, and where. Unlike settle() it gives back the disk of df's shuffles at once."""
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    where, before = f"{shared_folder(spark)}/stored_{uuid.uuid4().hex}", spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "none").parquet(where)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(where), where
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

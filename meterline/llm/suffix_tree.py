@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
-from .common import blocks, bucketed, crc_mod, settle, small_batches, texts, unbucket
+from .common import blocks, bucketed, crc_mod, discard, settle, small_batches, stored, texts, unbucket
 
 DEPTH, MIN_COUNT, MIN_GAIN = 2, 2, 2.0
 #: Weight of the suffix's distribution, for each different next symbol of a context (Witten and Bell's choice is 1).
@@ -91,6 +91,24 @@ def unfolded(numbers: np.ndarray) -> np.ndarray:
     return (n >> 1) ^ -(n & 1)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, a place of each, which of them each value is)."""
+    order = np.argsort(values)
+    ascending = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    which = np.empty(len(values), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ascending[new], order[new], which
+
+
+def marked(places: np.ndarray, size: int) -> np.ndarray:
+    """Which of 0 to size - 1 are among places, in order."""
+    there = np.zeros(size, bool)
+    there[places] = True
+    return np.flatnonzero(there)
+
+
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     x = left * ODD[0] + right
     x = (x ^ (x >> np.uint64(30))) * ODD[1]
@@ -165,8 +183,10 @@ class Stretch:
         texts_, tokens = len(length), len(code)
         self.of_text = np.repeat(np.arange(texts_), self.length)
         self.token = np.arange(tokens) + (self.of_text + 1) * DEPTH
-        word = np.full(tokens + texts_ * DEPTH, BEFORE, np.uint64)
-        word[self.token] = key[code]
+        words = np.append(key, np.uint64(BEFORE))
+        of_word = np.full(tokens + texts_ * DEPTH, len(key))
+        of_word[self.token] = code
+        word = words[of_word]
         last_mark = self.token[np.cumsum(self.length) - self.length] - 1
         trained = np.zeros(len(word), bool)
         trained[self.token], trained[last_mark] = self.train[self.of_text], self.train
@@ -179,15 +199,20 @@ class Stretch:
         self.shared: dict[int, np.ndarray] = {}
         gram = word
         for k in range(1, most + 1):
-            if k > 1:
-                gram = np.concatenate([word[:1], mixed(gram[:-1], word[1:])])
             counted[last_mark] = k <= DEPTH
             places = np.flatnonzero(counted)
-            own = gram[places] if k == 1 else gram[places] >> np.uint64(64 - corpus.bits)
-            key, first, which = np.unique(own, return_index=True, return_inverse=True)
+            if k == 1:  # the words are distinct already
+                key, _, of_words = distinct(words)
+                which = of_words[of_word[places]]
+                first = np.empty(len(key), np.int64)
+                first[which] = places
+            else:
+                gram = np.concatenate([word[:1], mixed(gram[:-1], word[1:])])
+                key, first, which = distinct(gram[places] >> np.uint64(64 - corpus.bits))
+                first = places[first]
             of_place = np.full(len(word), -1, np.int32)
             of_place[places] = which
-            self.grams[k] = Grams(key, np.bincount(which, trained[places], len(key)).astype(np.int64), of_place, places[first])
+            self.grams[k] = Grams(key, np.bincount(which, trained[places], len(key)).astype(np.int64), of_place, first)
 
     def asked(self, k: int) -> np.ndarray:
         """The grams of k tokens of which another stretch can have some, as places among the distinct keys."""
@@ -198,7 +223,7 @@ class Stretch:
         places = np.flatnonzero(own.of_place >= 0)
         before, last = shorter[places - 1], shorter[places]  # none stands before a text's last mark
         both = ((before < 0) | self.shared[k - 1][before]) & self.shared[k - 1][last]
-        return np.unique(own.of_place[places[both]])
+        return marked(own.of_place[places[both]], len(own.key))
 
     def take(self, k: int, found: np.ndarray) -> None:
         own, asked = self.grams[k], self.asked(k)
@@ -219,7 +244,7 @@ class Stretch:
     def contexts(self, d: int) -> tuple[np.ndarray, np.ndarray]:
         """The candidates among the contexts of d tokens, as places among the distinct keys: those that are shared, and
         those of which all is here."""
-        context = np.unique(self.grams[d].of_place[self.token - 1])
+        context = marked(self.grams[d].of_place[self.token - 1], len(self.grams[d].key))
         context = context[self.total[d][context] >= MIN_COUNT]
         shared = self.shared[d][context]
         return context[shared], context[~shared]
@@ -263,7 +288,7 @@ def answered(asked: DataFrame, counts: bool) -> DataFrame:
         size = rows.column("size")[0].as_py()
         parts = [unpack(x) for x in rows.column("payload").to_pylist()]
         keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        key, _, which = distinct(np.concatenate(keys))
         own = [np.concatenate([p[i] for p in parts]) for i in (1, 2)] if not counts else [np.concatenate([p[1] for p in parts])]
         if counts:
             n = np.bincount(which, own[0].astype(float), len(key)).astype(np.int64)
@@ -399,11 +424,20 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     small_batches(spark, 4)  # a row can have some megabytes
     size = stretches.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train")).first()
     corpus = Corpus(min(64, max(LEAST_BITS, size.n.bit_length() + SPARE_BITS)), max(0, (size.n // TOKENS_A_SLICE).bit_length()), size.train)
-    found = [settle(answered(first_counts(stretches, corpus), True))]
+    found, folders = [], []
+
+    def keep(answers: DataFrame) -> DataFrame:
+        kept, folder = stored(answers)
+        folders.append(folder)
+        return kept
+
+    found.append(keep(answered(first_counts(stretches, corpus), True)))
     corpus = corpus._replace(distinct=found[0].agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
     for k in range(2, DEPTH + 2):
-        found.append(settle(answered(counts(together(stretches, found), corpus, k), True)))
-    of_contexts = settle(answered(divergences(together(stretches, found), corpus), False))
+        found.append(keep(answered(counts(together(stretches, found), corpus, k), True)))
+    of_contexts = keep(answered(divergences(together(stretches, found), corpus), False))
     out = settle(scored(together(stretches, found, of_contexts), corpus))
+    for folder in folders:
+        discard(spark, folder)
     unbucket(spark, name, where)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
