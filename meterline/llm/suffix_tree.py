@@ -91,7 +91,7 @@ def unfolded(numbers: np.ndarray) -> np.ndarray:
     return (n >> 1) ^ -(n & 1)
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values in order, a place of each, which of them each value is)."""
     order = np.argsort(values)
     ascending = values[order]
@@ -202,13 +202,13 @@ class Stretch:
             counted[last_mark] = k <= DEPTH
             places = np.flatnonzero(counted)
             if k == 1:  # the words are distinct already
-                key, _, of_words = distinct(words)
+                key, _, of_words = distinct_keys(words)
                 which = of_words[of_word[places]]
                 first = np.empty(len(key), np.int64)
                 first[which] = places
             else:
                 gram = np.concatenate([word[:1], mixed(gram[:-1], word[1:])])
-                key, first, which = distinct(gram[places] >> np.uint64(64 - corpus.bits))
+                key, first, which = distinct_keys(gram[places] >> np.uint64(64 - corpus.bits))
                 first = places[first]
             of_place = np.full(len(word), -1, np.int32)
             of_place[places] = which
@@ -288,14 +288,16 @@ def answered(asked: DataFrame, counts: bool) -> DataFrame:
         size = rows.column("size")[0].as_py()
         parts = [unpack(x) for x in rows.column("payload").to_pylist()]
         keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        key, _, which = distinct(np.concatenate(keys))
+        key, _, which = distinct_keys(np.concatenate(keys))
         own = [np.concatenate([p[i] for p in parts]) for i in (1, 2)] if not counts else [np.concatenate([p[1] for p in parts])]
         if counts:
             n = np.bincount(which, own[0].astype(float), len(key)).astype(np.int64)
             shared = np.bincount(which, minlength=len(key)) > 1
             there = np.flatnonzero(own[0] > 0)
+            first = np.full(len(key), -1)
+            first[which[there[::-1]]] = there[::-1]  # the last one written is the first
             owner = np.zeros(len(which), bool)
-            owner[there[np.unique(which[there], return_index=True)[1]]] = True
+            owner[first[first >= 0]] = True
             # what others have, and who is first where that isn't plain: mostly 0
             columns = (4 * (n[which] - own[0].astype(np.int64)) + 2 * shared[which] + (owner ^ (own[0] > 0)),)
             distinct = int((n > 0).sum() - (size == 1 and bool((n[key == np.uint64(BEFORE)] > 0).any())))
