@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import git_identity, normal_path
 from ..functions.time import CUBE_HOURS
 from .aggregates import DIMENSIONS, cube_totals
+from .checkpoint import settle
 from .slots import carried, neighbour
 
 #: Ranks of attribution confidence.
@@ -28,27 +29,28 @@ def inferred_epochs(markers: DataFrame, earliest: Column, now: Column) -> DataFr
     Windows start at `earliest`, the first sampled fact; markers before it belong to none.
     """
     logouts = kept_apart(markers.where("kind = 'logout'"), "observed_at", 1)
-    first = markers.select(earliest.alias("observed_at")).limit(1)
+    first = markers.sparkSession.range(1).select(earliest.alias("observed_at"))
     bounds = first.unionByName(logouts.where(F.col("observed_at") > earliest)).where("observed_at is not null")
     far = now + F.expr("interval 3650 days")
-    windows = neighbour(bounds, ["observed_at"], ["observed_at"], after=True).select(F.col("observed_at").alias("start"), F.coalesce("near.observed_at", far).alias("end"))
-    # A marker's window is that of the last bound at or before it; bounds come first at equal times.
-    none = lambda kind: F.lit(None).cast(kind)
-    starts = bounds.select("observed_at", none("string").alias("kind"), none("string").alias("account"), F.col("observed_at").alias("bound"), F.lit(0).alias("rank"))
-    rest = markers.where("observed_at is not null").select("observed_at", "kind", "account", none("timestamp_ntz").alias("bound"), F.lit(1).alias("rank"))
-    seen = carried(starts.unionByName(rest), "bound", ["observed_at", "rank"], "start").where("rank = 1 and start is not null").join(windows, "start").where(F.col("observed_at") < F.col("end"))
-    sighted = (F.col("kind") == "account_seen") & F.col("account").isNotNull()
-    single = (
-        seen.groupBy("start", "end")
-        .agg(F.min(F.when(sighted, F.col("account"))).alias("account"), F.max(F.when(sighted, F.col("account"))).alias("other"), F.min(F.when(sighted, F.col("observed_at"))).alias("first_seen"))
+    window = F.struct(F.col("observed_at").alias("start"), F.coalesce("near.observed_at", far).alias("end"))
+    starts = neighbour(bounds, ["observed_at"], ["observed_at"], after=True).select("observed_at", window.alias("bound"), F.lit(0).alias("rank"))
+    # At equal times bounds come first, then logins, then sightings.
+    login = F.col("kind") == "login_success"
+    rest = markers.where("observed_at is not null").select("observed_at", "account", "kind", F.when(login, 1).otherwise(2).alias("rank"))
+    rows = starts.unionByName(rest, allowMissingColumns=True)
+    entry = F.when(F.col("rank") == 0, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("observed_at"))
+    rows = rows.withColumn("entry", F.when(F.col("rank") < 2, F.struct(entry.alias("at"))))  # a bound ends what logins say
+    seen = carried(rows, {"bound": "window", "entry": "login"}, ["observed_at", "rank"])
+    seen = seen.where((F.col("kind") == "account_seen") & F.col("account").isNotNull() & (F.col("observed_at") < F.col("window.end")))
+    return (
+        seen.groupBy("window")
+        .agg(F.min("account").alias("account"), F.max("account").alias("other"), F.min(F.struct("observed_at", "login.at")).alias("first"))
         .where("account = other")
-    )
-    logins = seen.where("kind = 'login_success'").select("start", F.col("observed_at").alias("login"))
-    last = logins.join(single.select("start", "first_seen"), "start").where("login <= first_seen").groupBy("start").agg(F.max("login").alias("login"))
-    return single.join(last, "start", "left").select(
-        F.coalesce("login", "start").alias("observed_from"),
-        F.when(F.col("end") <= now, F.col("end")).alias("observed_to"),
-        "account",
+        .select(
+            F.coalesce("first.at", "window.start").alias("observed_from"),
+            F.when(F.col("window.end") <= now, F.col("window.end")).alias("observed_to"),
+            "account",
+        )
     )
 
 
@@ -56,27 +58,32 @@ def kept_apart(rows: DataFrame, at: str, seconds: int) -> DataFrame:
     """Rows of distinct times more than so many whole seconds after the last kept one; null times are none.
 
     A time so far after the one before it is kept whatever came earlier. It begins a chain, and each chain is thinned in
-    order by itself, of which only the last kept time is held.
+    order by itself: from each kept time a search leads to the next, and only the last kept time is held between batches.
     """
     times = rows.select(at).where(F.col(at).isNotNull()).distinct()
+    apart = (seconds + 1) * 1_000_000
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    begins = F.when(F.coalesce(micros(at) - micros(f"near.{at}") >= (seconds + 1) * 1_000_000, F.lit(True)), F.col(at))
-    chains = carried(neighbour(times, [at], [at]).select(at, begins.alias("begins")), "begins", [at], "chain").select(at, "chain")
+    begins = F.when(F.coalesce(micros(at) - micros(f"near.{at}") >= apart, F.lit(True)), micros(at))
+    chains = carried(neighbour(times, [at], [at]).select(at, begins.alias("begins")), {"begins": "chain"}, [at]).select(at, micros(at).alias("micros"), "chain")
 
     def scan(batches):
-        import pandas as pd
+        import numpy as np
 
-        chain = last = None
+        chain, last = None, 0
         for batch in batches:
-            keep = []
-            for t, c in zip(batch[at], batch["chain"]):
-                ok = c != chain or int((t - last) / pd.Timedelta(seconds=1)) > seconds
-                keep.append(ok)
-                chain, last = c, t if ok else last
+            of, time = batch["chain"].to_numpy(), batch["micros"].to_numpy()
+            keep = np.zeros(len(batch), bool)
+            starts = np.flatnonzero(np.diff(of, prepend=of[:1] - 1))
+            for lo, hi in zip(starts, [*starts[1:], len(of)]):
+                i = lo if of[lo] != chain else lo + int(np.searchsorted(time[lo:hi], last + apart))
+                chain = of[lo]
+                while i < hi:
+                    keep[i], last = True, time[i]
+                    i += int(np.searchsorted(time[i:hi], last + apart))
             yield batch.loc[keep, [at]]
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return chains.repartition(parts, "chain").sortWithinPartitions("chain", at).mapInPandas(scan, times.schema)
+    return chains.repartition(parts, "chain").sortWithinPartitions("chain", "micros").mapInPandas(scan, times.schema)
 
 
 def segments(epochs: DataFrame, last: DataFrame) -> DataFrame:
@@ -103,7 +110,8 @@ def epoch_at(facts: DataFrame, epochs: DataFrame, at: str = "source_timestamp")
 
     A fact meets the segments of its day, of which one holds it at most: one equi-join, no grouping of facts.
     """
-    found = segments(epochs, facts.agg(F.max(at).alias("last"))).withColumnRenamed("slot", "_slot")
+    last = settle(facts.agg(F.max(at).alias("last")))  # one row, met in several places
+    found = segments(epochs, last).withColumnRenamed("slot", "_slot")
     own = F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / SLOT_SECONDS)
     holds = (own == F.col("_slot")) & (F.col(at) >= F.col("seg_from")) & (F.col("seg_to").isNull() | (F.col(at) < F.col("seg_to")))
     return facts.join(found, holds, "left").drop("_slot", "seg_from", "seg_to")

@@ -16,7 +16,7 @@ def settle(df: DataFrame) -> DataFrame:
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = session.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local["):
+        if not where and not context.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

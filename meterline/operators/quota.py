@@ -35,12 +35,15 @@ def newest(observations: DataFrame, limit: int = NEWEST) -> DataFrame:
 def current_cycle(observations: DataFrame) -> DataFrame:
     """Of each account: the readings at the end that share one boundary, from the first to the last of them.
 
-    A reading belongs to the cycle if no reading after it has another boundary.
+    A reading belongs to the cycle if no reading after it has another boundary: if it has the last reading's boundary, and
+    comes after the last reading of any other, which are a row a boundary.
     """
-    later = Window.partitionBy("account").orderBy("observed_at", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    final = F.last("resets_at").over(later)
-    other = F.max(F.when(F.col("resets_at").eqNullSafe(final), 0).otherwise(1)).over(later)
-    own = observations.withColumn("_other", other).where("_other = 0")
+    at = F.struct("observed_at", "event_id")
+    bounds = observations.groupBy("account", "resets_at").agg(F.max(at).alias("_last"))
+    newest_first = Window.partitionBy("account").orderBy(F.desc("_last"))
+    final = bounds.select(F.col("account").alias("_account"), F.col("resets_at").alias("_final"), F.lead("_last").over(newest_first).alias("_other"), F.row_number().over(newest_first).alias("_n")).where("_n = 1")
+    same = F.col("account").eqNullSafe(F.col("_account")) & F.col("resets_at").eqNullSafe(F.col("_final")) & (F.col("_other").isNull() | (at > F.col("_other")))
+    own = observations.join(final, same, "left_semi")
     first, last = (lambda c: F.min_by(c, F.struct("observed_at", "event_id"))), (lambda c: F.max_by(c, F.struct("observed_at", "event_id")))
     cycle = own.groupBy("account").agg(
         first("observed_at").alias("first_at"), last("observed_at").alias("last_at"), first("used_percent").alias("first_used"), last("used_percent").alias("last_used"),

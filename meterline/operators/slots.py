@@ -1,4 +1,8 @@
-"""Neighbours in time order without a window over all rows: windows of an hour, joined by a table with a row an hour."""
+"""Neighbours in time order without a window over all rows: windows of an hour, and one over the hours' ends.
+
+The ends are two rows an hour, whatever the number of rows. All is windows over one read of the rows, so that these
+operations can follow each other without a plan that doubles at each.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +15,38 @@ def hour_slot(at: str) -> Column:
     return F.unix_date(F.to_date(at)) * 24 + F.hour(at)
 
 
+def _marked(rows: DataFrame, order: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """rows with _slot, and whether they are an hour's _first and _last in order."""
+    rows = rows.withColumn("_slot", hour_slot(order[0]))
+    hour = Window.partitionBy(*keys, "_slot").orderBy(*order)
+    return rows.select("*", F.lag(F.lit(1)).over(hour).isNull().alias("_first"), F.lead(F.lit(1)).over(hour).isNull().alias("_last"))
+
+
+def _ends(keys: tuple[str, ...]) -> Window:
+    """A window over the ends of all hours, in order; other rows stay in their hours."""
+    end = F.col("_first") | F.col("_last")
+    return Window.partitionBy(*keys, end, F.when(~end, F.col("_slot"))).orderBy("_slot", "_last", F.desc("_first"))
+
+
 def neighbour(rows: DataFrame, values: list[str], order: list[str], keys: tuple[str, ...] = (), after: bool = False) -> DataFrame:
     """rows with `near`: the values, as a struct, of the row before (or after) in order, among those of equal keys.
 
     order begins with a time, nulls first. An hour's first (last) row takes what the nearest other hour ends (begins) with.
     """
-    rows = rows.withColumn("_slot", hour_slot(order[0]))
-    near, end = (F.lead, F.min_by) if after else (F.lag, F.max_by)
-    ends = rows.groupBy(*keys, "_slot").agg(end(F.struct(*values), F.struct(*order)).alias("_end"))
-    ends = ends.select(*keys, "_slot", near("_end").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_beyond"))  # a row an hour
-    own = near(F.struct(*values)).over(Window.partitionBy(*keys, "_slot").orderBy(*order))
-    return _with_ends(rows.withColumn("_own", own), ends, keys).withColumn("near", F.coalesce("_own", "_beyond")).drop("_slot", "_own", "_beyond")
-
-
-def carried(rows: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
-    """rows with `name`: the last value that isn't null, at or before each row in order; order begins with a time."""
-    rows = rows.withColumn("_slot", hour_slot(order[0]))
-    ends = rows.groupBy("_slot").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
-    upto = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("_slot", F.last("_end", True).over(upto).alias("_beyond"))  # a row an hour
-    own = F.last(value, True).over(Window.partitionBy("_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return _with_ends(rows.withColumn("_own", own), ends, ()).withColumn(name, F.coalesce("_own", "_beyond")).drop("_slot", "_own", "_beyond")
-
-
-def _with_ends(rows: DataFrame, ends: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    same = F.lit(True)
-    for k in (*keys, "_slot"):
-        same = same & rows[k].eqNullSafe(ends[k])
-    return rows.join(ends, same, "left").select(*[rows[c] for c in rows.columns], "_beyond")
+    step, outermost = (F.lead, "_last") if after else (F.lag, "_first")
+    own = step(F.struct(*values)).over(Window.partitionBy(*keys, "_slot").orderBy(*order))
+    found = _marked(rows, order, keys).withColumn("_own", own)
+    beyond = step(F.struct(*values)).over(_ends(keys))
+    return found.withColumn("near", F.when(F.col(outermost), beyond).otherwise(F.col("_own"))).drop("_slot", "_first", "_last", "_own")
+
+
+def carried(rows: DataFrame, values: dict[str, str], order: list[str]) -> DataFrame:
+    """rows with new columns: of each column of values, under its name there, the last value that isn't null, at or before
+    each row in order; order begins with a time."""
+    hour = Window.partitionBy("_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _ends(()).rowsBetween(Window.unboundedPreceding, -1)
+    found = _marked(rows, order, ())
+    found = found.select("*", *[F.last(c, True).over(hour).alias(f"_own_{name}") for c, name in values.items()])
+    found = found.select("*", *[F.last(f"_own_{name}", True).over(before).alias(f"_before_{name}") for name in values.values()])
+    carry = [F.coalesce(f"_own_{name}", F.first(f"_before_{name}").over(hour)).alias(name) for name in values.values()]
+    return found.select(*rows.columns, *carry)

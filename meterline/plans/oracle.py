@@ -157,7 +157,7 @@ RELATIONS = {
   select coalesce((select max(m.observed_at) from markers m where m.kind = 'login_success' and m.observed_at >= s and m.observed_at <= first_seen), s) observed_from,
          case when e <= {T} then e end observed_to, account from (
     select s, e, min(account) account, min(observed_at) first_seen from windows join markers m on m.observed_at >= s and m.observed_at < e
-    where m.kind = 'account_seen' group by s, e having count(distinct account) = 1)""",
+    where m.kind = 'account_seen' and m.account is not null group by s, e having count(distinct account) = 1)""",
     "readings": "select *, row_number() over (partition by account order by observed_at, event_id) n from quota",
     "sure": """
   select a.*, exists (select 1 from readings b where b.account = a.account and b.resets_at is not distinct from a.resets_at and b.n > a.n

@@ -43,7 +43,7 @@ def test_values_are_carried_over_hours_without_any(spark):
     for r in sorted(rows, key=key):
         last = r[3] or last
         expected[r[1]] = last
-    got = carried(spark.createDataFrame(rows, SCHEMA), "account", ["observed_at", "event_id"], "was").collect()
+    got = carried(spark.createDataFrame(rows, SCHEMA), {"account": "was", "source_id": "of"}, ["observed_at", "event_id"]).collect()
     assert {r.event_id: r.was for r in got} == expected
 
 
@@ -96,3 +96,28 @@ def test_epochs_are_those_of_a_nested_loop(spark):
     at = lambda t: F.lit(str(t)).cast("timestamp_ntz")
     got = attribution.inferred_epochs(markers, at(earliest), at(now)).collect()
     assert {(r.observed_from, r.observed_to, r.account) for r in got} == expected and len(expected) > 5
+
+
+def test_epochs_read_the_events_twice(spark, data):
+    from meterline.plans.ledger import Ledger
+    from meterline.sources import ledger as source
+
+    own = Ledger(spark, data)
+    epochs = attribution.inferred_epochs(source.auth_markers(own.facts), source.now(), source.now())
+    plan = epochs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2 and plan.count("Window ") <= 16 and plan.count("Join ") == 0
+    looked_up = attribution.epoch_at(own.facts, own.epochs)._jdf.queryExecution().optimizedPlan().toString()
+    assert looked_up.count("Relation [") == 1
+
+
+def test_cycle_is_that_of_the_readings_after_the_last_other_boundary(spark):
+    draw = random.Random(6)
+    schema = "account string, event_id long, observed_at timestamp_ntz, used_percent double, window_seconds long, resets_at timestamp_ntz"
+    rows = [(draw.choice(["a", "b", None]), i, DAY + timedelta(seconds=draw.randrange(5000)), float(i), 60, draw.choice([None, DAY, DAY + timedelta(days=1)])) for i in range(60)]
+    got = {r.account: (r.first_at, r.last_at, r.resets_at, r.samples) for r in quota.current_cycle(spark.createDataFrame(rows, schema)).collect()}
+    for account in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == account), key=lambda r: (r[2], r[1]))
+        cycle = [own.pop()]
+        while own and own[-1][5] == cycle[-1][5]:
+            cycle.append(own.pop())
+        assert got[account] == (cycle[-1][2], cycle[0][2], cycle[0][5], len(cycle))
