@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from ..functions import text, time, tokens
 from ..functions.tokens import MEASURES
 from ..operators import aggregates as agg
 from ..operators import attribution, maintenance, official, quota, trees
+from ..operators.checkpoint import settle
 from ..sources import ledger as source
-from ..streaming import machines
+from ..streaming import ingest, machines
 from . import oracle
 from .ledger import Ledger
 from .oracle import CUBE, RAW, M, T
@@ -584,6 +586,23 @@ def _plain_time(rows: DataFrame) -> DataFrame:
 query("replay_guard_facts", "select * from guard")(lambda x: _plain_time(machines.guarded(_records(x))))
 query("reconstruction_machine", "select * from remade")(lambda x: _plain_time(machines.reconstructed(_records(x), x.catalog.select(F.col("thread_id").alias("source"), "thread_id", "parent_thread_id"))))
 
+
+def _in_slices(x: Ledger, machine: ingest.Machine, slices: int = 3) -> DataFrame:
+    """The facts of files that arrive in slices: each goes on from the state that the one before has left."""
+    rows, out, state = settle(_records(x)), [], None
+    cuts = [r[0] for r in rows.agg(F.percentile_approx("line_no", [i / slices for i in range(1, slices)])).collect()][0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        own = rows.where((F.lit(lo is None) | (F.col("line_no") > F.lit(lo))) & (F.lit(hi is None) | (F.col("line_no") <= F.lit(hi))))
+        walked = machine.walk(own, state)
+        out.append(machine.facts(walked))
+        new = machine.state(walked)
+        state = settle(new if state is None else new.unionByName(state.join(new.select("source"), "source", "left_anti")))
+    return _plain_time(reduce(DataFrame.unionByName, out))
+
+
+query("replay_guard_slices", "select * from guard")(lambda x: _in_slices(x, ingest.GUARD))
+query("reconstruction_slices", "select * from remade")(lambda x: _in_slices(x, ingest.rebuilding(x.catalog.select(F.col("thread_id").alias("source"), "thread_id", "parent_thread_id"))))
+
 # --- scalar functions over small inputs
 
 REMOTES = ("git@Host.example:Owner/Repo.git", "https://user:pw@host.example/owner/repo.git?x=1#f", "ssh://git@host.example/owner/repo/", "", "host.example/owner/repo")

@@ -37,7 +37,7 @@ def written_files(spark: SparkSession, path: str, pattern: str = "rollout-*.json
 def stream_lines(spark: SparkSession, path: str, pattern: str = "rollout-*.jsonl", files_per_trigger: int = 64) -> DataFrame:
     """read_lines as a stream of new files; whole files arrive together, so that a file's order is known.
 
-    The file source takes each path once, so this is for files that grow no more; ingest_folder reads those that grow.
+    The file source takes each path once, so this is for files that grow no more; streaming.ingest.tail reads those that grow.
     """
     reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger)
     return ended_lines(reader.load(path).select(F.col("_metadata.file_path").alias("source"), "value"))

@@ -149,26 +149,6 @@ def test_files_are_read_with_their_place_and_ingested_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 2
 
 
-def test_growing_and_replaced_files_are_ingested_whole(spark, tmp_path):
-    from meterline.streaming.ingest import ingest_folder
-
-    logs = tmp_path / "in"
-    logs.mkdir()
-    file, places = logs / "rollout-a {1}.jsonl", [str(logs), str(tmp_path / "facts"), str(tmp_path / "cursors")]
-    totals = lambda: sorted(r.total for r in spark.read.parquet(places[1]).collect())
-    third = count(3, 60, 30)
-    file.write_text("\n".join([record(0, "session_meta", id="s"), count(1, 10, 10), count(2, 30, 20)]) + "\n" + third[:40])
-    assert (ingest_folder(spark, *places), totals()) == (1, [10, 20])
-    assert (ingest_folder(spark, *places), totals()) == (0, [10, 20])
-    with file.open("a") as f:  # the half line is finished, another one added
-        f.write(third[40:] + "\n" + count(4, 100, 40) + "\n")
-    (logs / "rollout-b.jsonl").write_text(record(0, "session_meta", id="t") + "\n" + count(1, 5, 5) + "\n")
-    assert (ingest_folder(spark, *places), totals()) == (2, [5, 10, 20, 30, 40])
-    file.write_text(record(0, "session_meta", id="s") + "\n" + count(9, 70, 70) + "\n")  # replaced by a shorter one
-    assert (ingest_folder(spark, *places), totals()) == (1, [5, 10, 20, 30, 40, 70])
-    assert (ingest_folder(spark, *places), totals()) == (0, [5, 10, 20, 30, 40, 70])
-
-
 def test_stream_leaves_unfinished_lines(spark, tmp_path):
     from meterline.sources.logs import stream_lines
 
