@@ -17,6 +17,36 @@ def latest_days(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("account", "day").agg(F.max_by("tokens", F.struct("observed_at", "tokens")).alias("tokens"))
 
 
+def as_of(snapshots: DataFrame, seen: Column) -> DataFrame:
+    """(account, day, tokens): the ledger as it was known at a time; snapshots has account, day, observed_at and tokens."""
+    return latest_days(snapshots.where(F.col("observed_at") <= seen))
+
+
+def revised(snapshots: DataFrame, earlier: Column, later: Column) -> DataFrame:
+    """(account, day, before, after, delta): the days of which the ledger says something else at the later time.
+
+    Both states come from one pass over the snapshots; a day that wasn't there is null, and counts as 0 in the delta.
+    """
+    at = lambda seen: F.max_by(F.when(F.col("observed_at") <= seen, F.col("tokens")), F.when(F.col("observed_at") <= seen, F.struct("observed_at", "tokens")))
+    days = snapshots.where(F.col("observed_at") <= later).groupBy("account", "day").agg(at(earlier).alias("before"), at(later).alias("after"))
+    return days.where("not (before <=> after)").withColumn("delta", F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0)))
+
+
+def period_delta(days: DataFrame, current: tuple[str, str], previous: tuple[str, str]) -> DataFrame:
+    """(total, previous, delta, delta_percent): the ledger's tokens of two ranges of days, each with its last day, in one pass.
+
+    A range of which no account has a covered day has no total; without both there is no delta, and no percentage of 0.
+    """
+    covered = days.groupBy("account").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    has = lambda r: F.max((F.col("a") <= r[1]) & (F.col("b") >= r[0]))
+    some = covered.agg(has(current).alias("has_total"), has(previous).alias("has_previous"))
+    sum_ = lambda r: F.coalesce(F.sum(F.when(F.col("day").between(*r), F.col("tokens"))), F.lit(0)).cast("bigint")
+    rows = days.agg(sum_(current).alias("total"), sum_(previous).alias("previous")).crossJoin(some)  # two single rows
+    rows = rows.select(F.when(F.col("has_total"), F.col("total")).alias("total"), F.when(F.col("has_previous"), F.col("previous")).alias("previous"))
+    rows = rows.withColumn("delta", F.col("total") - F.col("previous"))
+    return rows.withColumn("delta_percent", F.when(F.col("previous") > 0, F.col("delta") / F.col("previous")))
+
+
 def coverage(days: DataFrame) -> DataFrame:
     return days.groupBy("account").agg(F.min("day").alias("covered_from"), F.max("day").alias("covered_through"), F.count("*").alias("days"), F.sum("tokens").cast("bigint").alias("tokens"), F.max("tokens").alias("peak"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoint import settle
+from .slots import hour_slot
 
 MOST_LEVELS = 32
 
@@ -56,6 +57,28 @@ def ancestors(catalog: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
     return pairs.where(F.col("distance") <= levels).groupBy("thread_id", "ancestor_id").agg(F.min("distance").alias("distance"))
 
 
+def preorder(catalog: DataFrame, members: DataFrame) -> DataFrame:
+    """(thread_id, root_id, relative_depth, subtree_size, position) of all threads in trees, as members has them.
+
+    position numbers a tree from 0 so that a thread comes before all below it, and siblings, the latest first, with all
+    that is below each. It is the sum, over a thread and all above it, of what comes before among siblings: no walk. Sizes
+    before a sibling are added up within the hour of its time, and over a parent's hours.
+    """
+    tree = catalog.join(members, "thread_id").select("thread_id", "parent_thread_id", "updated_at", "root_id", "relative_depth")
+    tree = settle(tree)
+    pairs = settle(ancestors(tree))
+    sized = tree.join(pairs.groupBy(F.col("ancestor_id").alias("thread_id")).agg(F.count("*").alias("subtree_size")), "thread_id").withColumn("_slot", hour_slot("updated_at"))
+    before = Window.partitionBy("parent_thread_id", "_slot").orderBy(F.desc("updated_at"), "thread_id").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("parent_thread_id").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    below = settle(sized.withColumn("_before", F.coalesce(F.sum("subtree_size").over(before), F.lit(0))))
+    hours = below.where("parent_thread_id is not null").groupBy("parent_thread_id", "_slot").agg(F.sum("subtree_size").alias("_n"))
+    hours = hours.select(F.col("parent_thread_id").alias("_parent"), F.col("_slot").alias("_hour"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    same = (below.parent_thread_id == hours["_parent"]) & below["_slot"].eqNullSafe(hours["_hour"])
+    steps = below.join(hours, same, "left").select(F.col("thread_id").alias("ancestor_id"), F.when(F.col("parent_thread_id").isNull(), 0).otherwise(1 + F.col("_before") + F.col("_later")).alias("step"))
+    position = pairs.join(steps, "ancestor_id").groupBy("thread_id").agg(F.sum("step").cast("bigint").alias("position"))
+    return below.join(position, "thread_id").select("thread_id", "root_id", "relative_depth", "subtree_size", "position")
+
+
 def descendants(catalog: DataFrame, thread_id: str, levels: int = MOST_LEVELS) -> DataFrame:
     """(thread_id, relative_depth) of all threads below one, by levels; each level is a join with the last one's few rows."""
     below = catalog.where(F.col("parent_thread_id") == thread_id).select("thread_id", F.lit(1).alias("relative_depth"))

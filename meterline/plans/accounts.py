@@ -46,9 +46,12 @@ def account_official_periods(x: Ledger) -> DataFrame:
 
 @query("reconstruction_status", "select count(*) filter (u % 4 = 0) pending, count(*) filter (u % 4 = 1) reconstructing, count(*) filter (u % 4 = 2) reconstructed, count(*) filter (u % 4 = 3) unrecoverable, cast(sum(n * 100 * (u % 4) // 4) as bigint) bytes_processed, cast(sum(n * 100) as bigint) bytes_total, (select cast(coalesce(sum(reconstruction_tokens), 0) as bigint) from selection where source = 'reconstruction') selected_tokens from (select user_id u, count(*) n from facts group by 1)")
 def reconstruction_status(x: Ledger) -> DataFrame:
+    return discovery.reconstruction_status(reconstruction_files(x), x.selection)
+
+
+def reconstruction_files(x: Ledger) -> DataFrame:
     state = F.element_at(F.array(*[F.lit(s) for s in discovery.STATES]), (F.col("user_id") % 4 + 1).cast("int"))
-    files = x.facts.groupBy("user_id").agg((F.count("*") * 100).alias("bytes_total")).select(state.alias("status"), F.expr("bytes_total * (user_id % 4) div 4").alias("bytes_processed"), "bytes_total")
-    return discovery.reconstruction_status(files, x.selection)
+    return x.facts.groupBy("user_id").agg((F.count("*") * 100).alias("bytes_total")).select(state.alias("status"), F.expr("bytes_total * (user_id % 4) div 4").alias("bytes_processed"), "bytes_total")
 
 
 # --- accounts of the past

@@ -180,12 +180,16 @@ def freshness_marker(x: Ledger) -> DataFrame:
 
 @query("registry_counts", "select 4 as declared, count(*) filter (kind = 'canonical') confirmed, count(*) filter (kind = 'provisional') provisional, greatest(4 - count(*) filter (kind = 'canonical'), 0) unobserved from (select account, case when account in (select account from official) or account in (select account from inferred) then 'canonical' else 'provisional' end kind from (select distinct account from facts where account is not null))")
 def registry_counts(x: Ledger) -> DataFrame:
-    aliases = x.spark.createDataFrame([], "account string, is_canonical boolean")
-    rows = attribution.registry(x.official, aliases, x.epochs, x.facts)
+    rows = registry_rows(x)
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
     return rows.agg(F.lit(source.DECLARED_ACCOUNTS).alias("declared"), n("canonical").alias("confirmed"), n("provisional").alias("provisional"), F.greatest(F.lit(source.DECLARED_ACCOUNTS) - n("canonical"), F.lit(0)).alias("unobserved"))
 
 
+def registry_rows(x: Ledger) -> DataFrame:
+    aliases = x.spark.createDataFrame([], "account string, is_canonical boolean")
+    return attribution.registry(x.official, aliases, x.epochs, x.facts)
+
+
 @query("quality_states", "select quality, cast(sum(event_count) as bigint) event_count, sum(event_count) / (select sum(event_count) from days) share, case when quality = 'confirmed' then 'ok' when sum(event_count) * 10 > (select sum(event_count) from days) then 'warning' else 'notice' end state from days group by 1")
 def quality_states(x: Ledger) -> DataFrame:
     rows = x.days.groupBy("quality").agg(F.sum("event_count").cast("bigint").alias("event_count"))

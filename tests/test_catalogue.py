@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from meterline.plans import accounts, catalogue, more  # noqa: F401
+from meterline.plans import catalogue, more, sections  # noqa: F401
 from meterline.plans.ledger import Ledger
 
 
