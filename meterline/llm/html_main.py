@@ -36,6 +36,12 @@ HINTS = {
     "main": "article content post entry main story body text page prose",
 }
 HINT = {word: name for name, words in HINTS.items() for word in words.split()}
+# Words that say where or how a part is, not what it is about.
+MODIFIERS = frozenset(
+    "site page main global top bottom left right upper lower primary secondary inner outer wrap wrapper container holder box block panel bar"
+    " area section list item items link links row col column grid slot unit zone group icon button btn js is has fixed sticky mobile desktop"
+    " mini small large open close closed active reader user posts posting articles no v x".split()
+)
 # Elements that have a feature of their own.
 TAGS = (
     "a article aside b blockquote body button dd div dl dt em fieldset figcaption figure footer form h1 h2 h3 h4 head header"
@@ -47,6 +53,7 @@ NAMES = (
     + [f"tag {t}" for t in TAGS]
     + ["tag other"]
     + [f"hint {h}" for h in HINTS]
+    + [f"part {h}" for h in HINTS]
     + ["long", "short", "linked", "sentences", "blank"]
 )
 AT = {name: i for i, name in enumerate(NAMES)}
@@ -56,10 +63,15 @@ PAGES, STEPS, RATE, PENALTY = 400, 150, 0.1, 1e-3
 
 @lru_cache(1 << 14)
 def named(raw: str) -> tuple[int, ...]:
-    """The features of an element's class, id and role."""
-    found = attributes(raw)
-    words = {w.lower() for key in ("class", "id", "role") for w in WORD.findall(found.get(key, ""))}
-    return tuple(sorted({AT[f"hint {HINT[w]}"] for w in words if w in HINT}))
+    """The features of an element's class, id and role: a name that consists of hints and modifiers says what the part is;
+    a hint among other words, as in comment-on-policy, may be what its text is about, and is a feature of its own."""
+    found, features = attributes(raw), set()
+    for key in ("class", "id", "role"):
+        for name in found.get(key, "").split():
+            words = [w.lower() for w in WORD.findall(name)]
+            whole = all(w in HINT or w in MODIFIERS for w in words)
+            features |= {AT[f"{'hint' if whole else 'part'} {HINT[w]}"] for w in words if w in HINT}
+    return tuple(sorted(features))
 
 
 def features(page: Page) -> list[tuple[int, ...]]:
@@ -211,7 +223,14 @@ def labelled_page(random: np.random.Generator) -> str:
     def link(low: int = 1, high: int = 4) -> str:
         return f'<a href="/{own.randrange(999)}">{words(low, high)}</a>'
 
+    def about() -> str:
+        """A name of content: a word that could also name a part of a page, among others."""
+        hint, other = pick(*HINT), lambda: pick("on", "of", "history", "systems", "policy", "guide", "early", "theory", words(1, 2).lower())
+        return pick(f"{hint}-{other()}", f"{hint}-{other()}-{other()}", f"{other()}-{hint}", f"{hint}_{other()}", f"{hint}{other().capitalize()}")
+
     def off(tag: str, name: str, inner: str) -> str:
+        if own.random() < 0.03:
+            name = f"{name}-{words(1, 2).lower()}"
         if tag in ("header", "footer", "nav", "aside", "form") and own.random() < 0.5:
             name = ""  # the element says it all
         return f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-main="0">{inner}</{tag}>'
@@ -277,11 +296,16 @@ def labelled_page(random: np.random.Generator) -> str:
                 f"{text()}<br>{text()}",
             )
         )
+    for i, block in enumerate(body):
+        if own.random() < 0.3:  # a part of the article that is named by what it is about
+            tag, attribute = pick("div", "section", "div", "section", "aside", "p"), pick("class", "id")
+            body[i] = f'<{tag} {attribute}="{about()}">{text() if tag == "p" else block}</{tag}>'
     for part in (advert, notice, share, side, form, comments):
         if own.random() < 0.15:
             body.insert(own.randrange(1, len(body) + 1), part())
     kind, name = pick(("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry-content"), ("section", "story"), ("div", "article-body"), ("div", "x1"), ("section", ""), ("td", ""))
-    main = f'<{kind}{f" class={chr(34)}{name}{chr(34)}" if name else ""}>{"".join(body)}</{kind}>'
+    name = about() if kind in ("div", "section") and own.random() < 0.3 else name
+    main = f'<{kind}{f" {pick("class", "id")}={chr(34)}{name}{chr(34)}" if name else ""}>{"".join(body)}</{kind}>'
     main = f"<table><tr>{main}</table>" if kind == "td" else main
     before = [f() for f in (head, menu, advert, notice, form) if own.random() < 0.45]
     after = [f() for f in (side, comments, advert, notice, form, foot, share) if own.random() < 0.4]

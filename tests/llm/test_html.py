@@ -67,6 +67,22 @@ def test_main_text_of_a_page(model):
     assert h.main_texts([PAGE, ""], model) == ["The title\n\nFirst paragraph with a link & more text.\n\nSecond paragraph. With a break.", ""]
 
 
+PROSE = "The committee met for three days in spring. It heard a dozen witnesses, and wrote down what they said."
+
+
+@pytest.mark.parametrize("name", ["comment-on-policy", "promotion-history", "alert-systems", "footer-design-basics", "cookieRecipes", "history_of_advertisement", "menu-planning", "social-theory", "related-rates"])
+@pytest.mark.parametrize("html", ["<article><h1>Title here</h1><p>{p}</p><section class='{n}'><p>{p}</p></section><p>{p}</p></article>", "<div id='{n}'><p>{p}</p><p>{p}</p></div>", "<body><nav><a href=/>Home</a></nav><main><div class='{n}'>{p}</div><p>{p}</p></main><footer>Old Firm</footer></body>"])
+def test_words_of_parts_may_name_what_a_text_is_about(model, html, name):
+    (got,) = h.main_texts([html.format(n=name, p=PROSE)], model)
+    assert got.count(PROSE) == html.count("{p}") and "Home" not in got and "Old Firm" not in got
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "site-footer", "cookie-notice", "ad-slot", "js-ad-container", "newsletter-box", "left-sidebar", "related-posts", "promo_2", "topAdvert"])
+def test_whole_names_of_parts_still_count(model, name):
+    (got,) = h.main_texts([f"<article><h1>Title here</h1><p>{PROSE}</p><div class='{name}'><p>Another text that is long enough. It isn't part of it.</p></div><p>{PROSE}</p></article>"], model)
+    assert got.count(PROSE) == 2 and "Another" not in got
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a", PAGE), (1, "http://a", PAGE), (2, None, None), (None, "http://b", ""), (3, "http://c", "plain " * 20000), (4, "http://d", "<div>" * 3000 + "deep text here. It is.")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as text", "1 as n_chars", "'x' as record_id", "'y' as block")
