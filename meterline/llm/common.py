@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark allows no more buckets.
@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local["):
+        if not where and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
@@ -123,20 +123,6 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -
         yield pa.Table.from_batches(held)
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
-    """df, settled, with each row's place from 0 in an order of all rows.
-
-    Rows are dealt by ranges and counted range by range, so that no task has more than its range; the order should end
-    in a column that tells equal rows apart, or they are one range.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = settle(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    first = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a shuffle partition
-    before = ranges.select("_range", (F.coalesce(F.sum("_n").over(first), F.lit(0)) - F.col("_first")).alias("_before"))
-    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component is its smallest reachable node.
 

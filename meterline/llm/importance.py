@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, numbered, settle, small_batches, texts
+from ..operators.order import numbered
+from .common import blocks, settle, small_batches, texts
 from .suffix_tree import pack, unpack
 
 RUNS, BUCKETS, SHARE, LEAST_WORDS, SEED = 1, 10_000, 10, 20, 2024

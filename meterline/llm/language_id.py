@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, map_arrow, small_batches, texts
-from .training import Adam, collected, rates
+from .training import Adam, drawn
 
 HIDDEN, SEGMENT = 8, 128
-#: Documents of each language that the network learns from, at most about so many.
-PER_LANGUAGE = 400
+#: Documents of each language that the network learns from, at most, and characters of each: a piece from anywhere in it.
+PER_LANGUAGE, PIECE = 400, 1024
 STEPS, BATCH, RATE, WINDOW = 300, 256, 0.02, 64
 SIDE_BY_SIDE = 1024
 UNDETERMINED = "und"
@@ -119,9 +119,13 @@ class Network:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """From a sample of rows whose id isn't held out and whose lang isn't null; None if there is none."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("label"), F.col("text").cast("string").alias("text"))
-    rows = rows.where((crc_mod("id", 5) != 0) & F.col("text").isNotNull() & (F.length("text") > 0))
-    sample = [(r.text.encode().replace(b"\0", b" "), r.label) for r in collected(rates(rows, per_language), "id", "label", "text")]
+    text = F.col("text").cast("string")
+    rows = docs.where((crc_mod("doc_id", 5) != 0) & (F.length(text) > 0))
+    h = F.xxhash64(F.col("doc_id").cast("string"), text)
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))) + 1
+    rows = rows.select(F.col("lang").cast("string").alias("label"), h.alias("h"), text.alias("text"))
+    rows = rows.select("label", "h", F.substring("text", start, F.lit(PIECE)).alias("value"))
+    sample = [(r.value.encode().replace(b"\0", b" "), r.label) for r in drawn(rows, per_language)]
     languages = sorted({label for _, label in sample})
     if not languages:
         return None
@@ -156,8 +160,9 @@ def languages(docs: DataFrame) -> DataFrame:
 
     Only text decides; lang, source and doc_id don't. A text that is null or has no letter is `und` with score 0, and so
     is every text if no row can be learned from. Rows of which crc32(doc_id as text) mod 5 is 0 are held out. Rows that
-    repeat are judged each; an empty table gives none; other columns aren't read. The network learns from about
-    PER_LANGUAGE rows of a language at most, drawn by the hash of the id.
+    repeat are judged each; an empty table gives none; other columns aren't read. The network knows every language there is
+    to learn; it learns from PIECE characters of each of PER_LANGUAGE rows of a language at most, or of MOST_ROWS over the
+    number of languages if these are fewer, drawn by the hash of id and text.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))

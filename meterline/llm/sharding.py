@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settle
+from ..operators.order import numbered
+from .common import settle
 
 #: Names to subtrees; at the bottom, shard numbers to weights.
 Tree = dict

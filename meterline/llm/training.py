@@ -1,26 +1,32 @@
-"""What the trained models share: a bounded sample of labelled rows, and Adam."""
+"""What the trained models share: a sample of labelled rows that is bounded in rows and bytes, and Adam."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-MOST_LABELS = 256
+from .common import settle
 
+#: Rows of all labels together that a model learns from at most, but for one of each label.
+MOST_ROWS, SPARE = 20_000, 32
 
-def rates(labelled: DataFrame, per_label: int) -> DataFrame:
-    """labelled (id, label) thinned by the id's hash to about per_label rows of each of the MOST_LABELS commonest labels."""
-    counts = labelled.where("label is not null").groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
-    take = F.lit(False)
-    for r in counts:
-        take = take | ((F.col("label") == F.lit(r["label"])) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_label / r["count"]))))
-    return labelled.where(take)
 
+def drawn(labelled: DataFrame, per_label: int, most: int = MOST_ROWS) -> list[Row]:
+    """(label, h, value) of per_label rows of each label, or fewer where there are many labels: those of the least hashes.
 
-def collected(sample: DataFrame, *order: str) -> list[Row]:
-    """The rows of a bounded sample, in an order that reruns repeat."""
-    return sample.orderBy(*order).collect()
+    labelled has h, a hash of all that makes a row different, and value, which the caller bounds in bytes. Rows are
+    counted by distinct hashes and thinned by them to about twice as many as are wanted and SPARE before any are shuffled, so that
+    neither a frequent label nor a row that repeats often gathers; then equal rows become one and the rest is cut off.
+    """
+    labelled = labelled.where("label is not null")
+    counts = settle(labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")))
+    wanted = max(1, min(per_label, most // max(1, counts.count())))
+    share = F.pmod(F.col("h"), F.lit(1 << 30)) < (1 << 30) * (2.0 * wanted + SPARE) / F.col("n")
+    thinned = labelled.join(counts, "label").where(share | (F.col("h") == F.col("least")))  # one at least of each label
+    each = thinned.groupBy("label", "h").agg(F.first("value").alias("value"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    return each.withColumn("place", place).where(F.col("place") <= wanted).drop("place").orderBy("label", "h").collect()
 
 
 class Adam:

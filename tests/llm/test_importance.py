@@ -99,11 +99,3 @@ def test_blocks_hold_no_more_than_they_may():
     cut = [t.column("text").to_pylist() for t in common.blocks(iter(batches), 10)]
     assert sum(cut, []) == texts and [len(x) for x in cut] == [2, 1, 4, 2]
     assert all(len(x) == 1 or sum(len(t or "") for t in x) <= 10 for x in cut)
-
-
-def test_numbered_places(spark):
-    df = spark.range(1000).selectExpr("id", "id % 7 as k").repartition(5)
-    placed = common.numbered(df, df.k.desc(), df.id).orderBy("place").collect()
-    assert [r.place for r in placed] == list(range(1000))
-    assert [(r.k, r.id) for r in placed] == sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
-    assert common.numbered(df.limit(0), df.id).count() == 0

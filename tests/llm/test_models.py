@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -88,11 +89,12 @@ def test_quality_of_held_out_documents(spark):
 
 def test_bag_gradient_is_exact():
     random = np.random.default_rng(0)
-    x, owner, label = random.normal(size=(9, quality.FIGURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 0, 1])
-    model = quality.Bags(np.zeros(quality.FIGURES), np.ones(quality.FIGURES))
+    x, owner, label = random.normal(size=(9, 15)) / 4, np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 0, 1])
+    model = quality.Bags(size=15)
+    model.w["encode"] = model.w["encode"].astype(float)
 
     def loss() -> float:
-        p = model.forward(x, owner, 4)["p"]
+        p = model.forward(model.encoded(x), owner, 4)["p"]
         return float(-(label * np.log(p) + (1 - label) * np.log(1 - p)).mean())
 
     g = model.gradients(x, owner, label)
@@ -109,10 +111,58 @@ def test_bag_gradient_is_exact():
 
 def test_passages_cover_the_whole_text():
     texts = [b"", b"x" * 5000, b"a b"]
-    figures, owner = quality.passages(texts)
-    assert owner.tolist() == [0, 1, 1, 1, 1, 1, 2] and np.isfinite(figures).all()
-    end = quality.passages([b"word " * 1000 + b"|" * 500])[0]
-    assert end[-1, 9] > 0.3 > end[0, 9]
+    data, length, owner = quality.passages(texts)
+    assert owner.tolist() == [0, 1, 1, 1, 1, 1, 2] and length.tolist() == [0, 1024, 1024, 1024, 1024, 904, 3]
+    assert b"".join(d[:n].tobytes() for d, n in zip(data, length)) == b"".join(texts)
+    found = quality.inputs(data, length)
+    runs = found[:, : quality.HASHED]
+    assert np.allclose(np.linalg.norm(runs, axis=1), [0, 1, 1, 1, 1, 1, 1]) and np.flatnonzero(runs[-1, :256]).tolist() == sorted(b"a b")
+    for row, n in ((1, (1024, 1023, 1022)), (5, (904, 903, 902))):
+        assert sorted(runs[row][runs[row] > 0]) == pytest.approx(sorted(np.log1p(n) / np.linalg.norm(np.log1p(n))), rel=1e-5)
+    for text in (b"x" * 5000, bytes(range(256)) * 4, b"abcdefgh" * 3, b"abcdefgh", b"abc", b"", bytes(np.random.default_rng(0).integers(0, 256, 1024, dtype=np.uint8))):
+        (got,) = quality.inputs(*quality.passages([text[:1024]])[:2])
+        text = text[:1024]
+        grams = [text[i : i + quality.GRAM] for i in range(len(text) - quality.GRAM + 1)]
+        assert got[quality.HASHED] == pytest.approx(np.log1p(len(text)) / 7) and got[quality.HASHED + 1] == pytest.approx(len(set(grams)) / max(len(grams), 1), abs=1e-6)
+    pieces = quality.spread(bytes(range(256)) * 400)
+    assert len(pieces) == quality.PASSAGES_EACH and pieces[0] == bytes(range(256)) * 4 and quality.spread(b"") == [b""] and quality.spread(b"ab") == [b"ab"]
+
+
+def test_samples_are_bounded_in_rows_whatever_repeats(spark, monkeypatch):
+    from meterline.llm import training
+
+    rows = spark.range(30_000).selectExpr("case when id < 20000 then 'hot' when id < 29000 then concat('l', id % 300) else 'once' end label", "xxhash64(case when id >= 29000 then 0 else id end) h", "cast(id as string) value")
+    got = training.drawn(rows, 25, 10**6)
+    n = Counter(r.label for r in got)
+    assert len(n) == 302 and n["once"] == 1 and n["hot"] == 25 and max(n.values()) == 25 and min(n[f"l{i}"] for i in range(300)) == 25
+    assert Counter(r.label for r in training.drawn(rows, 25, 604)) == {k: min(2, v) for k, v in n.items()}
+    assert [tuple(r)[:2] for r in got] == [tuple(r)[:2] for r in training.drawn(rows.repartition(7), 25, 10**6)]
+
+
+def test_one_id_that_repeats_and_long_texts_do_not_fill_the_sample(spark, monkeypatch):
+    taken = {}
+    for module in (language_id, quality):
+        own = module.drawn
+        monkeypatch.setattr(module, "drawn", lambda *a, own=own, name=module.__name__: taken.setdefault(name, []).append(own(*a)) or taken[name][-1])
+    keep = next(i for i in range(1, 99) if not held_out(i))
+    ids = [i for i in range(100, 160) if not held_out(i)]
+    rows = [(keep, "the same text again and again " * 9, "en", "s", 0)] * 3000 + [(keep, f"another text {i} of it", "en", "s", 0) for i in range(2000)]
+    rows += [(i, f"ein sehr langer Text {i} " * 40_000, "de", "s", 0) for i in ids]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(keep, 1, 0), *[(i, 0, 0) for i in ids]], "doc_id long, quality int, toxic int")
+    assert set(language_id.train(docs).languages) == {"de", "en"}
+    assert quality.train(docs, labels, 50) is not None
+    (of_language,) = taken[language_id.__name__]
+    assert max(len(r.value) for r in of_language) <= language_id.PIECE and sum(r.label == "en" for r in of_language) <= language_id.PER_LANGUAGE
+    of_quality = taken[quality.__name__][-1]
+    assert Counter(r.label for r in of_quality) == {1: 50, 0: len(ids)} and max(len(r.value) for r in of_quality) <= quality.PASSAGES_EACH
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 2)
+    ids = [i for i in range(2000) if not held_out(i)][:1200]
+    docs = documents(spark, [(i, f"words of language {n % 300}", f"l{n % 300}", "s", 0) for n, i in enumerate(ids)])
+    assert len(language_id.train(docs).languages) == 300
 
 
 def test_odd_documents_have_quality(spark):
