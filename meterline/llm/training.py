@@ -21,7 +21,9 @@ def drawn(labelled: DataFrame, per_label: int, most: int = MOST_ROWS) -> list[Ro
     """
     labelled = labelled.where("label is not null")
     counts = settle(labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")))
-    wanted = max(1, min(per_label, most // max(1, counts.count())))
+    labels = counts.count()
+    wanted = max(1, min(per_label, most // max(1, labels)))
+    counts = F.broadcast(counts) if labels <= MOST_ROWS else counts  # a row a label
     share = F.pmod(F.col("h"), F.lit(1 << 30)) < (1 << 30) * (2.0 * wanted + SPARE) / F.col("n")
     thinned = labelled.join(counts, "label").where(share | (F.col("h") == F.col("least")))  # one at least of each label
     each = thinned.groupBy("label", "h").agg(F.first("value").alias("value"))
