@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, settle, small_batches
+from .common import connected_components, met_by, settle, small_batches
 from .simhash import _with_end, forest
 
 THRESHOLD = 0.95
@@ -364,7 +364,7 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     component = connected_components(found.where(F.col("kind") == EDGE).select("a", "b"))
     counts = found.where(F.col("kind") == COUNT).groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     ids = classes.select("node", "rep").join(component, "node")
-    ids = ids.join(ids.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", "least")
+    ids = met_by(ids, ids.groupBy("component").agg(F.min("rep").alias("least")), "component", "node").select("node", "least")
     labels = (
         classes.join(counts, "node", "left")
         .join(ids, "node", "left")

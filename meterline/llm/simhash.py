@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, map_arrow, settle, small_batches, texts
+from .common import connected_components, map_arrow, met_by, settle, small_batches, texts
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
@@ -209,7 +209,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     group = groups(fps)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(group, "fp")
     named = least.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = group.join(named, "component").select("fp", "component_id")
+    labels = met_by(group, named, "component", "fp").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
