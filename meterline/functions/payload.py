@@ -63,6 +63,17 @@ def quota_windows(rows: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def listed(items: Column) -> Column:
+    """A list; null counts as the empty one."""
+    return F.coalesce(items, F.array())
+
+
+def quota_label(name: Column, limit_id: Column, pool_key: Column, main: str = "main") -> Column:
+    """How a pool is called: its name, `main` for the main pool, what follows its key's prefix, or just a pool."""
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(filled(name), F.when(limit_id == main, main), F.when(pool_key.startswith("additional:id:"), F.substring(pool_key, 15, 1 << 30)), F.lit("additional"))
+
+
 def fingerprint(value: Column, key: bytes, domain: str) -> Column:
     """HMAC-SHA256 in hex of a value within a domain, both with their lengths in front. The key's pads are constants."""
     key = hashlib.sha256(key).digest() if len(key) > 64 else key

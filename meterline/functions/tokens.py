@@ -58,3 +58,28 @@ def window_kind(seconds: Column) -> Column:
 
 def remaining_percent(used: Column) -> Column:
     return F.least(F.greatest(100 - used, F.lit(0.0)), F.lit(100.0))
+
+
+def official_freshness(lag_seconds: Column) -> Column:
+    return F.when(lag_seconds <= 900, "fresh").otherwise("stale")
+
+
+def quota_stale(lag_seconds: Column) -> Column:
+    return lag_seconds > 600
+
+
+#: The largest count: sums for display stop there, those of a ledger are an error.
+MOST = (1 << 63) - 1
+
+
+def saturating(exact: Column) -> Column:
+    """A sum or difference in decimals of 38 digits as a count: none below 0, none above MOST."""
+    return F.least(F.greatest(exact, F.lit(0).cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("bigint")
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    return saturating(a.cast("decimal(38,0)") + b.cast("decimal(38,0)"))
+
+
+def saturating_sub(a: Column, b: Column) -> Column:
+    return saturating(a.cast("decimal(38,0)") - b.cast("decimal(38,0)"))

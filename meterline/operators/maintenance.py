@@ -76,3 +76,9 @@ def capped_coverage(facts: DataFrame) -> DataFrame:
 def oldest(facts: DataFrame, before: str, limit: int) -> DataFrame:
     """The facts that compaction takes next: those before a local day, oldest first, `limit` at most."""
     return facts.where(F.col("local_day") < before).orderBy("source_timestamp", "event_id").limit(limit)
+
+
+def assigned(changes: DataFrame) -> DataFrame:
+    """(thread_id, project_id, assigned_at): each thread's last assignment by hand; one without a project takes it back."""
+    last = changes.groupBy("thread_id").agg(F.max_by(F.struct("project_id", "assigned_at"), F.struct("assigned_at", "event_id")).alias("a"))
+    return last.select("thread_id", "a.*").where("project_id is not null")

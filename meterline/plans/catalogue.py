@@ -543,7 +543,20 @@ def _observations(x: Ledger, kind: str) -> DataFrame:
     return x.facts.where(F.col("event_type") == kind).select("thread_id", F.col("event_id").alias("id"), F.col("source_timestamp").alias("at"))
 
 
+#: The greedy rule for DuckDB, an observation of each thread a step; a step takes along what its thread has used.
+GREEDY = """with recursive observed as (select thread_id, event_id id, epoch_us(source_timestamp) t, row_number() over (partition by thread_id order by source_timestamp, event_id) n from facts where event_type = 'click'),
+seen as (select thread_id, event_id id, epoch_us(source_timestamp) t from facts where event_type = 'view'),
+greedy as (select thread_id, 0::bigint n, []::bigint[] used, null::bigint observation_id, null::bigint candidate_id, null::bigint gap_micros from (select distinct thread_id from observed)
+union all
+select w.thread_id, o.n, case when b.id is null then w.used else list_append(w.used, b.id) end, o.id, b.id, b.gap from greedy w join observed o on o.thread_id = w.thread_id and o.n = w.n + 1
+left join lateral (select v.id, abs(v.t - o.t) gap from seen v where v.thread_id = o.thread_id and abs(v.t - o.t) <= 21600000000 and not list_contains(w.used, v.id) order by abs(v.t - o.t), v.t, v.id limit 1) b on true)
+select thread_id, observation_id, candidate_id, gap_micros from greedy where n > 0"""
+
+
 query("interval_match_greedy")(lambda x: machines.matched(_observations(x, "click"), _observations(x, "view"), 6 * 3600 * 1_000_000))
+query("interval_match_pairs", f"select * from ({GREEDY}) where candidate_id is not null")(
+    lambda x: machines.matched(_observations(x, "click"), _observations(x, "view"), 6 * 3600 * 1_000_000).where("candidate_id is not null")
+)
 
 
 @query("interval_match_nearest", "select id, candidate_id, gap_micros from (select o.event_id id, c.event_id candidate_id, cast(abs(epoch_us(c.source_timestamp) - epoch_us(o.source_timestamp)) as bigint) gap_micros, row_number() over (partition by o.event_id order by abs(epoch_us(c.source_timestamp) - epoch_us(o.source_timestamp)), c.source_timestamp, c.event_id) n from facts o join facts c on c.thread_id = o.thread_id and c.event_type = 'view' and abs(epoch_us(c.source_timestamp) - epoch_us(o.source_timestamp)) <= 21600000000 where o.event_type = 'click') where n = 1")

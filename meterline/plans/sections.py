@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from ..functions import payload, text, time, tokens
 from ..functions.tokens import MEASURES
 from ..operators import aggregates as agg
-from ..operators import official, sections, trees
+from ..operators import maintenance, official, sections, trees
 from ..operators.order import numbered
 from ..sources import discovery, index
 from ..sources import ledger as source
-from . import accounts, more
+from . import accounts, more, views
 from .accounts import DISPLAY
-from .catalogue import CLASS, literal, query
+from .catalogue import CLASS, HEAD, TAIL, THREAD_LIST, THREADS, literal, query
 from .ledger import Ledger
-from .oracle import CUBE
+from .oracle import CUBE, RAW
 
 MS = ", ".join(MEASURES)
 
@@ -65,7 +65,7 @@ BY_QUALITY = "(select cast(coalesce(sum(event_count) filter (quality = 'quaranti
 
 @query(
     "issues",
-    "select i.id, i.state, i.severity, i.n, i.event_count, i.token_count, '2024-01-01' first_seen, '2024-01-31' last_seen from (select unnest(["
+    "select i.id, i.state, i.severity, i.n, i.event_count, coalesce(i.token_count, -1) token_count, '2024-01-01' first_seen, '2024-01-31' last_seen from (select unnest(["
     "{'id': 'quarantined-events', 'state': 'quarantined', 'severity': 'critical', 'n': quarantined, 'event_count': quarantined, 'token_count': quarantined_tokens}, "
     "{'id': 'unknown-events', 'state': 'unknown', 'severity': 'warning', 'n': unknown, 'event_count': unknown, 'token_count': null}, "
     "{'id': 'official-account-calibration', 'state': 'unknown', 'severity': 'warning', 'n': 4 - k, 'event_count': 0, 'token_count': null}, "
@@ -75,7 +75,7 @@ BY_QUALITY = "(select cast(coalesce(sum(event_count) filter (quality = 'quaranti
     f" from {BY_QUALITY} cross join {DISPLAY} cross join {PROVISIONAL} cross join {STATUS}) where i.n > 0",
 )
 def issues(x: Ledger) -> DataFrame:
-    """What is wrong this month: one row an issue, by rules over the cube, the accounts and the reconstruction."""
+    """What is wrong this month: one row an issue, by rules over the cube, the accounts and the reconstruction; -1 tokens: not known."""
     of = lambda q, c: F.coalesce(F.sum(F.when(F.col("quality") == q, F.col(c))), F.lit(0))
     cube = x.effective_days.where(F.col("local_day").between(*_MONTH["current"])).agg(of("quarantined", "event_count").alias("quarantined"), of("quarantined", "total").alias("quarantined_tokens"), of("unknown", "event_count").alias("unknown"))
     official_ = official.resolved_total(x.account_days, source.DECLARED_ACCOUNTS).select("missing_accounts")
@@ -83,7 +83,7 @@ def issues(x: Ledger) -> DataFrame:
     provisional = more.registry_rows(x).where("kind = 'provisional'").join(local, "account", "left").agg(F.count("*").alias("provisional"), F.coalesce(F.sum("t"), F.lit(0)).alias("provisional_tokens"))
     files = discovery.reconstruction_status(accounts.reconstruction_files(x), x.selection).select((F.col("pending") + F.col("reconstructing")).alias("pending"), "unrecoverable")
     state = cube.crossJoin(official_).crossJoin(provisional).crossJoin(files)  # single rows
-    return sections.issues(state, F.lit(_MONTH["current"][0]), F.lit(_MONTH["current"][1]))
+    return sections.issues(state, F.lit(_MONTH["current"][0]), F.lit(_MONTH["current"][1])).na.fill(-1, ["token_count"])
 
 
 # --- orders
@@ -150,6 +150,64 @@ query("series_average_peak", "select cast(avg(total) as double) average, max(tot
 )
 
 
+# --- scalar functions over facts
+
+LAG = "epoch(timestamp '2024-01-31 00:00:00' - source_timestamp)"
+
+
+@query("labels_and_states", f"""select event_id, case when k * 7200 between 518400 and 691200 then 'weekly' when k * 7200 <= 86400 then 'short' else 'custom' end window_kind,
+    least(greatest(100 - k * 1.5, 0), 100)::double remaining, case when {LAG} <= 900 then 'fresh' else 'stale' end official_state, {LAG} > 600 quota_stale,
+    date_trunc('hour', source_timestamp) floor_hour, case when date_trunc('hour', source_timestamp) = source_timestamp then source_timestamp else date_trunc('hour', source_timestamp) + interval 1 hour end ceil_hour,
+    case when length(account || '-' || thread_id) > 8 then substr(account || '-' || thread_id, 1, 8) || '…' else account || '-' || thread_id end account_label, substr(sha256(thread_id), 1, 8) thread_hash,
+    coalesce(model, case when k % 3 = 0 then 'main' end, 'additional') quota_label, greatest(input - total, 0) missing, least(total::hugeint * 9223372036854775, 9223372036854775807)::bigint at_most
+    from facts""")
+def labels_and_states(x: Ledger) -> DataFrame:
+    """Labels, hashes, staleness and rounding of each fact's columns."""
+    lag = F.unix_micros(literal("2024-01-31 00:00:00").cast("timestamp")) - F.unix_micros(F.col("source_timestamp").cast("timestamp"))
+    name, k = F.concat_ws("-", "account", "thread_id"), F.col("k").cast("bigint")
+    return x.facts.select(
+        "event_id", tokens.window_kind(k * 7200).alias("window_kind"), tokens.remaining_percent(k * 1.5).alias("remaining"), tokens.official_freshness(lag / 1e6).alias("official_state"), tokens.quota_stale(lag / 1e6).alias("quota_stale"),
+        time.floor_hour("source_timestamp").alias("floor_hour"), time.ceil_hour("source_timestamp").alias("ceil_hour"),
+        F.when(F.col("account").isNotNull(), text.account_label(name)).alias("account_label"), text.short_hash("thread_id").alias("thread_hash"),
+        payload.quota_label(F.col("model"), F.when(k % 3 == 0, "main"), F.lit("additional-1")).alias("quota_label"),
+        tokens.saturating_sub(F.col("input"), F.col("total")).alias("missing"), tokens.saturating(F.col("total").cast("decimal(20,0)") * F.lit(9223372036854775).cast("decimal(18,0)")).alias("at_most"),
+    )
+
+
+# --- trees by what threads are called, assignments, windows by dimension
+
+CALLED = "(select thread_id, parent_thread_id, 'Task ' || substr(thread_id, 2) title, 'n' || (cast(substr(thread_id, 2) as bigint) % 13) nickname, max(model) model from facts group by 1, 2)"
+
+
+def _called(x: Ledger) -> DataFrame:
+    number = F.substring("thread_id", 2, 20)
+    return x.facts.groupBy("thread_id", "parent_thread_id").agg(F.max("model").alias("model")).withColumns({"title": F.concat(F.lit("Task "), number), "nickname": F.concat(F.lit("n"), (number.cast("bigint") % 13).cast("string"))})
+
+
+@query("tree_search_fields", f"select a thread_id, min(d) = 0 hit from (with recursive up as (select thread_id t, thread_id a, 0 d from {CALLED} where contains(lower(concat_ws(' ', title, nickname, model)), '2 n1') union all select u.t, c.parent_thread_id, u.d + 1 from up u join catalog c on c.thread_id = u.a join catalog p on p.thread_id = c.parent_thread_id where u.d < 32) select * from up) group by 1")
+def tree_search_fields(x: Ledger) -> DataFrame:
+    """Threads whose title, nickname or model contain a text, with all above them."""
+    return views.search_fields(_called(x), " 2 N1", "title", "nickname", "model")
+
+
+query("tree_focus", "select thread_id, depth from catalog where thread_id in (with recursive below as (select 't5' t, 0 d union all select c.thread_id, b.d + 1 from below b join catalog c on c.parent_thread_id = b.t where b.d < 32) select t from below)")(lambda x: views.focus(x.catalog, "t5").select("thread_id", "depth"))
+
+
+@query("manual_assignments", "select thread_id, project_id, assigned_at from (select thread_id, case when k % 3 > 0 then 'hand' || (k % 3) end project_id, source_timestamp assigned_at, row_number() over (partition by thread_id order by source_timestamp desc, event_id desc) n from facts where event_type = 'purchase' and k < 20) where n = 1 and project_id is not null")
+def manual_assignments(x: Ledger) -> DataFrame:
+    changes = x.facts.where("event_type = 'purchase' and k < 20").select("thread_id", F.when(F.col("k") % 3 > 0, F.concat(F.lit("hand"), F.col("k") % 3)).alias("project_id"), F.col("source_timestamp").alias("assigned_at"), "event_id")
+    return maintenance.assigned(changes)
+
+
+for _key in ("project_id", "model", "account"):
+    query(f"rolling7_by_{_key.removesuffix('_id')}", f"select coalesce({_key}, '') {_key}, {RAW} from eff_facts where quality = 'confirmed' and source_timestamp >= timestamp '{HEAD}' and source_timestamp < timestamp '{TAIL}' group by 1")(
+        lambda x, c=_key: agg.totals(agg.in_range(x.effective_facts.where("quality = 'confirmed'"), literal(HEAD), literal(TAIL)), F.coalesce(c, F.lit("")).alias(c))
+    )
+query("cube_of_threads", f"select {CUBE} from days where thread_id in ({THREAD_LIST})")(lambda x: agg.cube_totals(x.days.where(F.col("thread_id").isin(*THREADS))))
+query("raw_of_threads", f"select {RAW} from facts where thread_id in ({THREAD_LIST})")(lambda x: agg.totals(x.facts.where(F.col("thread_id").isin(*THREADS))))
+query("raw_of_threads_by_thread", f"select thread_id, {RAW} from facts where thread_id in ({THREAD_LIST}) group by 1")(lambda x: agg.totals(x.facts.where(F.col("thread_id").isin(*THREADS)), "thread_id"))
+
+
 # --- the thread index
 
 INDEXED = "select thread_id, '/w/' || case when user_id % 7 <> 0 then 'p' || (user_id % 7) || '/' else '' end || 'x' cwd, case when user_id % 7 <> 0 then 'p' || (user_id % 7) end project_id, parent_thread_id, max(model) model from facts group by 1, 2, 3, 4"

@@ -25,11 +25,22 @@ def session_nodes(x: Ledger, root: str) -> DataFrame:
 
 def search(x: Ledger, part: str) -> DataFrame:
     """(thread_id, hit): threads whose id contains a text, whatever its case, and all threads above them."""
-    hits = x.catalog.where(F.lower("thread_id").contains(part.lower())).select("thread_id")
-    found = trees.ancestors(x.catalog).join(hits, "thread_id", "left_semi")
+    return search_fields(x.catalog, part, "thread_id")
+
+
+def search_fields(catalog: DataFrame, part: str, *fields: str) -> DataFrame:
+    """(thread_id, hit): threads of which some fields, such as title, nickname and model, contain a text, and all above."""
+    hits = catalog.where(F.lower(F.concat_ws(" ", *fields)).contains(part.strip().lower())).select("thread_id")
+    found = trees.ancestors(catalog).join(hits, "thread_id", "left_semi")
     return found.groupBy(F.col("ancestor_id").alias("thread_id")).agg((F.min("distance") == 0).alias("hit"))
 
 
+def focus(catalog: DataFrame, thread_id: str) -> DataFrame:
+    """The rows of a thread and of all below it."""
+    below = trees.descendants(catalog, thread_id).select("thread_id")
+    return catalog.join(below.union(catalog.where(F.col("thread_id") == thread_id).select("thread_id")), "thread_id", "left_semi")
+
+
 def timeline(x: Ledger) -> DataFrame:
     """(at, kind, account, detail): switches of account, observed resets and resets to come, in order."""
     seen = source.auth_markers(x.facts).where("kind = 'account_seen'").withColumn("source_id", F.lit("log"))

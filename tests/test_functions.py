@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.functions import text, time, tokens
+from meterline.functions import payload, text, time, tokens
 
 NOW = datetime(2026, 8, 31, 8, tzinfo=UTC)
 
@@ -73,3 +73,31 @@ def test_zone_days_follow_summer_time(spark):
     assert one(spark, time.zone_day(at("2026-08-01 15:30:00"), "Asia/Shanghai")) == "2026-08-01"
     assert one(spark, time.zone_day(at("2026-08-01 16:30:00"), "Asia/Shanghai")) == "2026-08-02"
     assert one(spark, time.zone_hour(at("2026-07-01 03:30:00"), "America/New_York")) == "2026-06-30T23:00"
+
+
+def test_staleness_and_saturation(spark):
+    assert [one(spark, tokens.official_freshness(F.lit(x))) for x in (900, 901)] == ["fresh", "stale"]
+    assert [one(spark, tokens.quota_stale(F.lit(x))) for x in (600, 601)] == [False, True]
+    assert [one(spark, tokens.freshness(F.lit(x))) for x in (120, 600, 601)] == ["fresh", "delayed", "stale"]
+    most = F.lit(tokens.MOST)
+    assert one(spark, tokens.saturating_add(most, most)) == tokens.MOST and one(spark, tokens.saturating_add(F.lit(2), F.lit(3))) == 5
+    assert one(spark, tokens.saturating_sub(F.lit(2), F.lit(3))) == 0 and one(spark, tokens.saturating_sub(most, F.lit(1))) == tokens.MOST - 1
+
+
+def test_hours_around_a_time(spark):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    hours = lambda x: [str(one(spark, f(at(x)))) for f in (time.floor_hour, time.ceil_hour)]
+    assert hours("2026-08-01 15:30:00") == ["2026-08-01 15:00:00", "2026-08-01 16:00:00"] and hours("2026-08-01 15:00:00") == ["2026-08-01 15:00:00"] * 2
+
+
+def test_labels(spark):
+    assert [one(spark, text.account_label(F.lit(x))) for x in ("12345678", "123456789")] == ["12345678", "12345678…"]
+    assert one(spark, text.short_hash(F.lit("a"))) == "ca978112"
+    pools = [(" name ", "main", "main", "name"), ("", "main", "main", "main"), (None, "x", "additional:id:x", "x"), (None, None, "additional:0", "additional")]
+    for name, limit, key, label in pools:
+        assert one(spark, payload.quota_label(F.lit(name).cast("string"), F.lit(limit).cast("string"), F.lit(key))) == label
+
+
+def test_a_list_that_is_null_is_empty(spark):
+    rows = spark.createDataFrame([(None,), ([],), (["a"],)], "x array<string>")
+    assert [r.x for r in rows.select(payload.listed(F.col("x")).alias("x")).collect()] == [[], [], ["a"]]

@@ -157,3 +157,46 @@ def test_labels_of_windows(spark):
     at = spark.sql("select timestamp_ntz'2023-12-31 15:00:00' a, timestamp_ntz'2023-12-31 17:00:00' b, cast(null as timestamp_ntz) c")
     zone = "Asia/Shanghai"
     assert at.select(time.crosses("a", "b", zone), time.crosses("a", "b", zone, year=True), time.crosses("a", "b", "UTC"), time.crosses("c", "b", zone)).first() == (True, True, False, False)
+
+
+def test_sums_that_overflow_are_errors(spark):
+    from meterline.functions.tokens import MEASURES
+    from meterline.operators import aggregates
+
+    rows = spark.createDataFrame([(1 << 62, 1)] * 3, "total long, event_count long").withColumns({m: F.lit(0).cast("long") for m in MEASURES if m != "total"})
+    assert aggregates.totals(rows.limit(1)).first().total == 1 << 62
+    for sums in (aggregates.totals(rows), aggregates.cube_totals(rows)):
+        with pytest.raises(Exception, match="(?i)overflow"):
+            sums.collect()
+
+
+def test_points_are_exported_as_csv_and_json(spark, data, tmp_path):
+    from meterline.plans import catalogue, sections, views  # noqa: F401
+
+    points = catalogue.QUERIES["export_points"](spark, data)
+    expected = sorted(tuple(r) for r in points.collect())
+    views.export(points, str(tmp_path / "csv"))
+    views.export(points, str(tmp_path / "json"), "json")
+    assert sorted(tuple(r) for r in spark.read.schema(points.schema).option("header", "true").csv(str(tmp_path / "csv")).collect()) == expected
+    assert sorted(tuple(r) for r in spark.read.schema(points.schema).json(str(tmp_path / "json")).collect()) == expected and expected
+
+
+def test_the_last_assignment_by_hand_counts(spark):
+    from datetime import datetime
+
+    from meterline.operators import maintenance
+
+    day = lambda n: datetime(2024, 1, n)
+    rows = [("a", "p", day(1), 1), ("a", "q", day(2), 2), ("b", "p", day(1), 3), ("b", None, day(3), 4), ("c", "p", day(1), 5), ("c", "q", day(1), 6)]
+    got = maintenance.assigned(spark.createDataFrame(rows, "thread_id string, project_id string, assigned_at timestamp_ntz, event_id long")).collect()
+    assert sorted((r.thread_id, r.project_id) for r in got) == [("a", "q"), ("c", "q")]
+
+
+def test_trees_are_searched_by_what_threads_are_called(spark):
+    from meterline.plans import views
+
+    rows = [("r", None, "Plan", None, "m1"), ("a", "r", "Write", "Ada", "m2"), ("b", "a", "Read", None, None), ("c", "r", None, None, "M2")]
+    catalog = spark.createDataFrame(rows, "thread_id string, parent_thread_id string, title string, nickname string, model string")
+    found = lambda part: {r.thread_id: r.hit for r in views.search_fields(catalog, part, "title", "nickname", "model").collect()}
+    assert found(" ADA ") == {"a": True, "r": False} and found("m2") == {"a": True, "c": True, "r": False} and found("read") == {"b": True, "a": False, "r": False} and found("zz") == {}
+    assert sorted(r.thread_id for r in views.focus(catalog, "a").collect()) == ["a", "b"]

@@ -286,3 +286,19 @@ def test_nothing_stored_yet(spark, tmp_path):
     assert store.facts() is None and store.days() is None and store.sources() is None and store.keys().count() == 0 and store.commits() == []
     (logs / "rollout-a.jsonl").write_text("")
     assert ingest.tail_folder(store, str(logs), NOW) == 0 and not exists(spark, f"{store.root}/commits")
+
+
+def test_a_stream_of_facts_counts_each_key_once_and_late_ones_within_their_time(spark, tmp_path):
+    facts = tmp_path / "facts"
+    make = lambda *rows: spark.createDataFrame([(i, START.replace(tzinfo=None) + timedelta(hours=h), "t", "m", n, 0, 0, 0, 0, 0, n) for i, h, n in rows], "event_id long, source_timestamp timestamp, thread_id string, model string, input long, cached_input long, cache_write_input long, cache_write_observed long, output long, reasoning_output long, total long")
+    schema = make().schema
+
+    def run(*rows):
+        make(*rows).write.mode("append").parquet(str(facts))
+        stream = ingest.hourly(spark.readStream.schema(schema).parquet(str(facts)))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.hour.start.hour, r.event_count, r.total) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    run((1, 0.1, 5), (1, 0.1, 5), (2, 0.5, 7), (3, 1.5, 1))
+    run((2, 0.5, 7), (4, 0.2, 100), (5, 24 * 7 + 5, 0))  # a repetition and a late one; then time goes on
+    assert run((6, 24 * 7 + 6, 0), (7, 0.3, 1000))[:2] == [(0, 3, 112), (1, 1, 1)]  # what comes after its time isn't counted
