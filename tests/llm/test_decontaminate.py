@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pytest
 
 from meterline.llm import decontaminate as d
 
@@ -48,7 +49,16 @@ WORDS = [f"w{i}" for i in range(40)]
 ITEM = " ".join(WORDS)
 
 
-def test_reordered_and_damaged_passages_are_found(spark):
+@pytest.fixture(params=["index", "table", "narrow filter"])
+def way(request, monkeypatch):
+    """A small benchmark by its index, and as if it were a large one."""
+    if request.param != "index":
+        monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
+    if request.param == "narrow filter":
+        monkeypatch.setattr(d, "MOST_BITS", 1 << 4)
+
+
+def test_reordered_and_damaged_passages_are_found(spark, way):
     parts = [WORDS[i : i + 10] for i in range(0, 40, 10)]
     moved = " ".join(w for p in reversed(parts) for w in [*p, "between"]).upper()
     half = "x y z " + " ".join(WORDS[:20])
@@ -60,15 +70,14 @@ def test_reordered_and_damaged_passages_are_found(spark):
     assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench(spark, [(1, ITEM)])).collect()) == [2, 3]
 
 
-def test_short_items_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(d, "BLOCK_BYTES", 20)
+def test_short_items(spark, way):
     items = bench(spark, [(1, "one two"), (2, ITEM), (3, None), (None, "lost"), (4, ""), (5, "a b c d e f")])
     docs = documents(spark, [(1, "zero one two three", "en", "s", 1), (2, "a b c d e f g " + ITEM, "en", "s", 1)])
     got = sorted((r.doc_id, r.item_id) for r in d.overlaps(docs, items).collect())
     assert got == [(1, 1), (2, 2), (2, 5)]
 
 
-def test_documents_that_hold_items_are_found_and_no_others(spark, data):
+def test_documents_that_hold_items_are_found_and_no_others(spark, data, way):
     docs, items = sample(spark, data), spark.read.parquet(f"{data}/benchmark.parquet")
     words = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
     texts = {r.item_id: " " + " ".join(words(r.text)) + " " for r in items.collect()}
@@ -82,7 +91,7 @@ def test_documents_that_hold_items_are_found_and_no_others(spark, data):
             assert any(tuple(w[i : i + 5]) in seeds for i in range(len(w) - 4))
 
 
-def test_odd_documents(spark):
+def test_odd_documents(spark, way):
     docs = clashing(documents(spark))
     items = bench(spark, [(1, "jumps over the lazy dog and runs"), (1, "jumps over the lazy dog and runs")])
     assert sorted(r.doc_id for r in d.overlaps(docs, items).collect()) == [1, 2, 2]
@@ -92,6 +101,15 @@ def test_odd_documents(spark):
     assert d.drop_contaminated(docs, items.limit(0)).count() == 10
 
 
+def test_a_large_benchmark_gives_what_a_small_one_does(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted((r.doc_id, r.item_id, r.matched, r.item_words, [tuple(t) for t in r.tiles]) for r in d.overlaps(docs, items, 0.1).collect())
+    kept = lambda: sorted(r.doc_id for r in d.drop_contaminated(docs, items).collect())
+    small = (rows(), kept())
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
+    assert (rows(), kept()) == small and len(small[0]) > 10 and len(small[1]) < docs.count()
+
+
 def rounds(a, b, least):
     """Greedy string tiling, round by round: all longest matches of unmarked words, by position."""
     free_a, free_b, tiles = [x > 0 for x in a], [x > 0 for x in b], []
