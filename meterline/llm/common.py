@@ -69,7 +69,7 @@ def discard(spark: SparkSession, where: str) -> None:
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """df written to the shared folder, and where. Unlike settle() it gives back the disk of df's shuffles at once."""
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    where, before = f"{shared_folder(spark)}/stored_{uuid.uuid4().hex}", spark.conf.get(cleanup)
+    where, before = f"{shared_folder(spark)}/stored_{uuid.uuid4().hex}", spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
         df.write.option("compression", "none").parquet(where)
