@@ -2,21 +2,27 @@
 
 A record is a row: its header fields in columns, its block as text. A derived record refers to its response's
 identifier, keeps the response's target, date, digests and HTTP headers, and has an identifier of its own that follows
-from them, so that reruns agree. Each response is derived where it is, without a shuffle. Records are written by
-Spark's text sink: the blank lines that end a record are its line separator.
+from them, so that reruns agree. Each response is derived where it is, without a shuffle.
+
+Files: a gzip member a record, so that a record can be read by its place alone (`index`). Spark's text sink writes the
+members as they are; its line separator is an empty member, which holds nothing for any reader of gzip. Spark's text
+source cuts such files at it, so one file is read by many tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, small_batches
@@ -25,6 +31,10 @@ from .dom import Page, attributes, joined, parse
 #: Pages don't say when they were fetched; their responses bear this date.
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
+#: An empty gzip member: header without name and time, an empty block, checksum and length of nothing.
+EMPTY = bytes.fromhex("1f8b08000000000000ff0300") + bytes(8)
+#: What stands between the records of files by others, which Spark decompresses.
+BETWEEN = f"{END}WARC/".encode()
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivatives")
 # Header fields of a WARC record, and the columns that hold them. The source's digest is a field of our own:
 # that of the payload is the record's own.
@@ -40,6 +50,7 @@ FIELDS = {
     "Content-Type": "content_type",
     "Content-Length": "content_length",
 }
+LOWER = {field.lower(): column for field, column in FIELDS.items()}
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, source_digest string, content_length long, block string"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 ARROW = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in RECORD.split(", ")])
@@ -154,39 +165,137 @@ def serialized(records: DataFrame) -> Column:
 
 
 def write(records: DataFrame, path: str) -> None:
-    """WARC files, gzip-compressed, one for each partition, by Spark's text sink."""
-    records.select(serialized(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    """WARC files under path, one for each partition, a gzip member a record, by Spark's text sink. No records: no files."""
+
+    def members(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [gzip.compress((x + END).encode(), mtime=0) for x in batch.column("value").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
+
+    small_batches(records.sparkSession)
+    packed = map_arrow(records.select(serialized(records).alias("value")), members, "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.options(**pieces(EMPTY)).text(path)
+
+
+def pieces(between: bytes) -> dict[str, str]:
+    """Options of Spark's text source and sink by which any bytes stand between lines."""
+    return {"lineSep": between.decode("latin-1"), "encoding": "ISO-8859-1"}
+
+
+def raw(spark: SparkSession, path: str, between: bytes) -> DataFrame:
+    """(value, file, start): the bytes between separators, with file and first byte of the split that has them."""
+    rows = spark.read.options(**pieces(between)).text(path)
+    return rows.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files under path, in columns; page_id isn't in the files and is null. A file is one task."""
-    import zlib
+    """The records of all WARC files under path, in columns; page_id isn't in the files and is null.
+
+    Files of `write` are cut at records and read by as many tasks as they have splits. Other files whose names end in
+    .gz are decompressed by Spark and read record by record, a file a task; they may have a member a record or one for
+    all. Other files without compression, or with another name, are one value of 2 GB at most. A record that its file
+    ends in the middle of has the block that is there, and one without a length ends where the next begins. Bytes that
+    aren't UTF-8 are replaced. Files without records, and empty ones, give no rows.
+    """
+    small_batches(spark)
+    compressed = F.col("file").endswith(".gz")
 
     def parsed(batch: pa.RecordBatch) -> pa.Table | None:
-        rows: list[tuple] = []
-        for data in batch.column("content").to_pylist():
-            if data[:2] == b"\x1f\x8b":
-                members, data, rest = [], b"", data
-                while rest:
-                    unzip = zlib.decompressobj(31)
-                    members.append(unzip.decompress(rest) + unzip.flush())
-                    rest = unzip.unused_data
-                data = b"".join(members)
-            rows += split_records(data)
+        rows = [r for data in batch.column("value").to_pylist() for r in split_records(unpacked(data))]
         return pa.Table.from_batches([to_batch(rows)]) if rows else None
 
-    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), parsed, RECORD)
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lacks, of = [b""], 0, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for data, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist()):
+                if of == file and lacks > 0:  # what looks like another record's start is in the block
+                    held.append(BETWEEN + data)
+                    lacks -= len(held[-1])
+                else:
+                    rows += split_records(b"".join(held))
+                    held, lacks, of = [(b"WARC/" if of == file else b"") + data], 0, file
+                if lacks <= 0:
+                    held = [b"".join(held)]
+                    lacks = missing(held[0])
+            if rows:
+                yield to_batch(rows)
+        if rows := list(split_records(b"".join(held))):
+            yield to_batch(rows)
+
+    own = map_arrow(raw(spark, path, EMPTY).where(~compressed).select("value"), parsed, RECORD)
+    return own.unionByName(raw(spark, path, BETWEEN).where(compressed).select("value", "file").mapInArrow(streamed, RECORD))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, length, record_id, record_type, target_uri) of each record of files of `write`.
+
+    The member at this place of the file, of this length, is the record. Places are sums of lengths in a file's order,
+    a window a file, over rows without blocks.
+    """
+
+    def heads(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = batch.column("value").to_pylist()
+        found = [next(split_records(unpacked(x)), (None,) * len(NAMES)) for x in data]
+        named = [pa.array([r[NAMES.index(c)] for r in found], pa.string()) for c in ("record_id", "record_type", "target_uri")]
+        kept = [batch.column(c) for c in ("file", "start", "number")]
+        return pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in data], pa.int64()), *named], ["file", "start", "number", "length", "record_id", "record_type", "target_uri"])
+
+    small_batches(spark)
+    rows = raw(spark, path, EMPTY).withColumn("number", F.monotonically_increasing_id())
+    rows = map_arrow(rows, heads, "file string, start long, number long, length long, record_id string, record_type string, target_uri string")
+    before = Window.partitionBy("file").orderBy("start", "number").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum(F.col("length") + len(EMPTY)).over(before), F.lit(0))
+    return rows.select("file", place.alias("place"), "length", "record_id", "record_type", "target_uri")
+
+
+def unpacked(data: bytes) -> bytes:
+    """data, or what its gzip members hold; members that are cut off give what they can."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    members = []
+    while data[:2] == b"\x1f\x8b":
+        unzip = zlib.decompressobj(31)
+        members.append(unzip.decompress(data) + unzip.flush())
+        data = unzip.unused_data
+    return b"".join(members)
+
+
+def head_of(data: bytes, start: int) -> tuple[dict[str, str], int, int] | None:
+    """(fields, first byte of the block, its length or -1) of the record whose version is at start; None without an end of its head."""
+    end = data.find(END.encode(), start)
+    if end < 0:
+        return None
+    lines = re.sub("\r\n[ \t]+", " ", data[start:end].decode("utf-8", "replace")).split("\r\n")[1:]
+    fields = {LOWER.get(name.strip().lower(), name): value.strip() for name, _, value in (x.partition(":") for x in lines)}
+    length = fields.get("content_length", "")
+    return fields, end + len(END), int(length) if length.isdecimal() else -1
+
+
+def missing(data: bytes) -> int:
+    """Bytes that the last record in data lacks at least; 0 if none does."""
+    at = 0
+    while (start := data.find(b"WARC/", at)) >= 0:
+        found = head_of(data, start)
+        if found is None:
+            return 1
+        at = found[1] + max(found[2], 0)
+        if at > len(data):
+            return at - len(data)
+        if found[2] < 0:
+            return 0
+    return 0
 
 
 def split_records(data: bytes) -> Iterator[tuple]:
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
-        head_end = data.index(b"\r\n\r\n", start)
-        found = {}
-        for line in data[start:head_end].decode().split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            found[FIELDS.get(name, name)] = value.strip()
-        length = int(found["content_length"])
-        block = data[head_end + 4 : head_end + 4 + length].decode("utf-8", "replace")
-        yield (None, *(found.get(c) for c in NAMES[1:-2]), length, block)
-        at = head_end + 4 + length + len(END)
+        found = head_of(data, start)
+        if found is None:
+            return
+        fields, first, length = found
+        if length < 0:
+            after = data.find(BETWEEN, first)
+            length = (after if after >= 0 else len(data)) - first
+        block = data[first : first + length].decode("utf-8", "replace")
+        yield (None, *(fields.get(c) for c in NAMES[1:-2]), length, block)
+        at = first + length

@@ -110,11 +110,71 @@ def test_warc_round_trip(spark, tmp_path):
     records = responses.unionByName(warc.derive(responses))
     warc.write(records, str(tmp_path / "out"))
     plain = lambda df: sorted(tuple(str(v) for v in r) for r in df.drop("page_id").collect())
-    again = warc.read(spark, str(tmp_path / "out" / "*.gz"))
+    again = warc.read(spark, str(tmp_path / "out"))
     assert plain(again) == plain(records)
     assert plain(warc.derive(again)) == plain(warc.derive(responses))  # from files as from the table
 
 
+def test_warc_files_are_cut_at_records_and_indexed(spark, tmp_path, data):
+    import gzip
+    import zlib
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    records = warc.responses(pages).unionByName(warc.derive(warc.responses(pages)))
+    folder = str(tmp_path / "out")
+    warc.write(records.coalesce(1), folder)
+    whole = {r.record_id: r.block for r in records.collect()}
+    (file,) = (tmp_path / "out").glob("part-*")
+    assert gzip.decompress(file.read_bytes()).count(b"WARC/1.1\r\nWARC-Type: ") == len(whole)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(file.stat().st_size // 7, 1)))
+    try:
+        read, places = warc.read(spark, folder), warc.index(spark, folder)
+        assert read.rdd.getNumPartitions() >= 7
+        assert {r.record_id: r.block for r in read.collect()} == whole and read.count() == records.count()
+        found = places.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert {r.record_id for r in found} == set(whole) and {r.file.split("/")[-1] for r in found} == {file.name}
+    with file.open("rb") as f:
+        for r in found[::17]:
+            f.seek(r.place)
+            unzip = zlib.decompressobj(31)
+            text = (unzip.decompress(f.read(r.length)) + unzip.flush()).decode()
+            assert unzip.eof and not unzip.unused_data and r.record_id in text
+            assert text.split("\r\n\r\n", 1)[1].removesuffix("\r\n\r\n") == whole[r.record_id]
+
+
+@pytest.mark.parametrize("form", ["members", "one", "plain"])
+def test_warc_files_of_others(spark, tmp_path, form):
+    import gzip
+
+    def record(name: bytes, block: bytes, *more: bytes) -> bytes:
+        return b"\r\n".join([b"WARC/1.0", b"warc-type: response", b"WARC-Record-ID: <" + name + b">", *more, b"", block]) + b"\r\n\r\n"
+
+    length = lambda b: b"content-length: %d" % len(b)
+    nested = record(b"x", b"in", length(b"in")) + record(b"y", b"", length(b""))  # a block that holds records
+    blocks = {b"a": b"", b"b": nested, b"c": b"\xff\r\n\r\n", b"d": b"long " * 50_000}
+    parts = [record(n, b, length(b), b"WARC-Target-URI: http://h/\r\n  folded") for n, b in blocks.items()]
+    parts.append(record(b"e", b"no length"))
+    parts.append(record(b"f", b"cut", b"Content-Length: 100")[:-4])
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        data = b"".join(map(gzip.compress, parts)) if form == "members" else gzip.compress(b"".join(parts)) if form == "one" else b"".join(parts)
+        (tmp_path / "in" / f"{i}.warc{'' if form == 'plain' else '.gz'}").write_bytes(data)
+    (tmp_path / "in" / "empty.warc").write_bytes(b"")
+    got = sorted((r.record_id, r.block, r.target_uri) for r in warc.read(spark, str(tmp_path / "in")).collect())
+    blocks |= {b"e": b"no length", b"f": b"cut"}
+    want = [(f"<{n.decode()}>", b.decode("utf-8", "replace"), "http://h/ folded" if n in b"abcd" else None) for n, b in blocks.items()]
+    assert got == sorted(want * 3, key=lambda x: x[0])
+
+
+def test_warc_of_no_records(spark, tmp_path):
+    records = warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))
+    warc.write(records, str(tmp_path / "out"))
+    assert warc.read(spark, str(tmp_path / "out")).count() == 0 and warc.index(spark, str(tmp_path / "out")).count() == 0
+
+
 def test_warc_links_and_digests(spark):
     import base64
     import hashlib
