@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,16 @@ def issues(state: DataFrame, first_seen: Column, last_seen: Column) -> DataFrame
         for i, s, v, n, e, t in RULES
     ]
     return state.select(F.explode(F.array(*rows)).alias("i"), first_seen.alias("first_seen"), last_seen.alias("last_seen")).select("i.*", "first_seen", "last_seen").where("n > 0")
+
+
+def figures(parts: dict[str, tuple[DataFrame, tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """(part, item, figure, value) of named tables, each with its key columns and its figures; nulls have no row.
+
+    An item is the keys with bars between them, null ones as empty texts.
+    """
+    out = []
+    for name, (rows, keys, columns) in parts.items():
+        item = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]) if keys else F.lit("")
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in columns]))
+        out.append(rows.select(F.lit(name).alias("part"), item.alias("item"), each.alias("f")).select("part", "item", "f.*").where("value is not null"))
+    return reduce(DataFrame.unionByName, out)

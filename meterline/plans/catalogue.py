@@ -434,7 +434,11 @@ def summary_kpis(x: Ledger) -> DataFrame:
     )
 
 
-query("quality_summary", f"select quality, {CUBE}, min(local_day) first_day, max(local_day) last_day from days group by 1")(lambda x: x.days.groupBy("quality").agg(*agg.measures(F.col("event_count")), F.min("local_day").alias("first_day"), F.max("local_day").alias("last_day")))
+@query("quality_summary", f"select quality, {CUBE}, min(local_day) first_day, max(local_day) last_day from days group by 1")
+def quality_summary(x: Ledger) -> DataFrame:
+    return x.days.groupBy("quality").agg(*agg.measures(F.col("event_count")), F.min("local_day").alias("first_day"), F.max("local_day").alias("last_day"))
+
+
 query("account_official_table", "select c.account, c.tokens, c.peak, c.\"days\", c.covered_from, c.covered_through, coalesce(l.tokens, 0) local_tokens from coverage c left join (select account, cast(sum(total) as bigint) tokens from eff_days where quality = 'confirmed' group by 1) l using (account)")(
     lambda x: x.coverage.join(x.local_account_days.groupBy("account").agg(F.sum("tokens").cast("bigint").alias("local_tokens")), "account", "left").na.fill(0, ["local_tokens"])
 )

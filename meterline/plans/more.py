@@ -220,5 +220,11 @@ def quota_payload_pools(x: Ledger) -> DataFrame:
     return payload.quota_windows(rows).select("event_id", "pool_key", "window_name", "used_percent", "window_seconds")
 
 
-query("account_fingerprints")(lambda x: x.accounts.select("account", payload.fingerprint(F.col("account"), b"local key", "account").alias("fingerprint")))
+_INNER, _OUTER = (bytes(b ^ pad for b in b"local key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+_FRAMED = f"{7:016x}" + b"account".hex()
+
+
+query("account_fingerprints", f"select account, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}{_FRAMED}') || unhex(lpad(hex(octet_length(encode(account))), 16, '0')) || encode(account)))) fingerprint from (select distinct account from facts where account is not null)")(
+    lambda x: x.accounts.select("account", payload.fingerprint(F.col("account"), b"local key", "account").alias("fingerprint"))
+)
 query("latest_quota_by_epoch_account", "select account, max(observed_at) latest from quota group by 1")(lambda x: quota.latest(x.quota).select("account", F.col("observed_at").alias("latest")))

@@ -14,7 +14,7 @@ from ..sources import discovery, index
 from ..sources import ledger as source
 from . import accounts, more, views
 from .accounts import DISPLAY
-from .catalogue import CLASS, HEAD, TAIL, THREAD_LIST, THREADS, literal, query
+from .catalogue import CLASS, HEAD, ORACLES, TAIL, THREAD_LIST, THREADS, breakdown_pivot_share, catalog_counts, effective_by_project, literal, quality_summary, query, standalone_stats, summary_kpis
 from .ledger import Ledger
 from .oracle import CUBE, RAW
 
@@ -225,3 +225,105 @@ def thread_index(x: Ledger) -> DataFrame:
     bare = rows.where("user_id % 2 = 1").select(F.col("thread_id").alias("id"), "cwd", "model", spawned.alias("source"))
     roots = x.spark.createDataFrame([(f"/w/p{i}", f"p{i}") for i in range(1, 7)], "path string, project_id string")
     return index.resolved(index.united(full, bare), roots).select("thread_id", "parent_thread_id", "cwd", "model", "project", "method")
+
+
+# --- the whole catalog of an index
+
+#: Of each thread number u: folders under the roots of four of six projects, remotes, own projects, sub-agents; every third thread is in a snapshot without the optional columns.
+_THREADS = "(select user_id u, thread_id, parent_thread_id, depth d, max(model) model, min(source_timestamp) c, max(source_timestamp) m, user_id % 7 r, user_id % 3 <> 0 f from facts group by all)"
+_SEEN = f"""(select *, case when u % 2 = 0 or u % 3 = 0 then 'host.example/own/r' || r end git, case when r between 1 and 4 then 'p' || r end root,
+  case when f and u % 11 = 0 and r > 0 then 'p' || r end native, case when u % 13 = 0 then case when u % 2 = 0 then 'hand' else 'p1' end end manual, parent_thread_id is not null spawned from {_THREADS})"""
+_LEARNED = f"(select git identity, min(project) git_project from (select git, root project from {_SEEN} where root is not null union all select git, native from {_SEEN} where u % 2 = 0) where git is not null and project is not null group by 1)"
+
+
+@query("native_catalog", f"""select thread_id, parent_thread_id, coalesce(manual, native, root, git_project) project,
+    case when manual = 'hand' then 'By hand' when coalesce(manual, native, root, git_project) is not null then 'Project ' || substr(coalesce(manual, native, root, git_project), 2) end project_name,
+    case when manual is not null then 'manual' when native is not null then 'native' when root is not null then 'root' when git_project is not null then 'git' else 'unassigned' end as method,
+    case when f and u % 5 = 1 then 'Name ' || u when u % 4 > 0 then 'Title ' || u end title, model,
+    case when spawned and u % 2 = 0 then 'n' || (u % 13) when f then 'col' || r end agent_nickname,
+    cast(case when spawned and u % 4 > 0 then d when spawned or f and d > 0 then 1 else 0 end as bigint) depth,
+    case when f and u % 2 = 0 then date_trunc('milliseconds', c) else date_trunc('second', c) end created_at, date_trunc('second', m) updated_at, u % 6 = 0 archived, u % 6 <> 1 has_user_event
+    from {_SEEN} left join {_LEARNED} on identity = git""")
+def native_catalog(x: Ledger) -> DataFrame:
+    """The catalog of two snapshots, projects with roots, remotes learned from threads, and assignments by hand."""
+    u, r = F.col("u"), F.col("u") % 7
+    named = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    rows = x.facts.groupBy(F.col("user_id").alias("u"), "thread_id", "parent_thread_id", "depth").agg(F.max("model").alias("model"), F.min("source_timestamp").alias("c"), F.max("source_timestamp").alias("m"))
+    millis = lambda c: F.expr(f"timestampdiff(millisecond, timestamp_ntz'1970-01-01', {c})")
+    spawn = F.struct("parent_thread_id", F.when(u % 4 > 0, F.col("depth")).alias("depth"), F.when(u % 2 == 0, named("n", u % 13)).alias("agent_nickname"))
+    remote = F.when(u % 2 == 0, F.concat(F.lit("git@Host.example:own/r"), r, F.lit(".git"))).when(u % 3 == 0, named("https://host.example/own/r", r))
+    rows = rows.select(
+        "u", F.col("thread_id").alias("id"), F.when(r.between(1, 4), F.concat(named("/w/p", r), F.lit("/x"))).otherwise(named("/tmp/", u)).alias("cwd"), remote.alias("git_origin"), "model",
+        F.when(u % 4 > 0, named("Title ", u)).otherwise(" ").alias("title"), F.floor(millis("c") / 1000).alias("created_at"), F.floor(millis("m") / 1000).alias("updated_at"), (u % 6 == 0).alias("archived"), (u % 6 != 1).alias("has_user_event"),
+        F.when(F.col("parent_thread_id").isNotNull(), F.to_json(F.struct(F.struct(spawn.alias("thread_spawn")).alias("subagent")))).otherwise("cli").alias("source"),
+        F.when(u % 5 == 1, named("Name ", u)).otherwise("  ").alias("name"), named("col", r).alias("agent_nickname"), F.when(F.col("depth") > 0, "subagent").alias("thread_source"),
+        F.when((u % 11 == 0) & (r > 0), F.concat(F.when(u % 2 == 0, "").otherwise(" "), named("p", r))).alias("project_id"), F.when(u % 2 == 0, millis("c")).alias("created_at_ms"),
+    )
+    full = rows.where("u % 3 <> 0").drop("u")
+    bare = rows.where("u % 3 = 0").drop("u", "name", "agent_nickname", "thread_source", "project_id", "created_at_ms")
+    projects = x.spark.createDataFrame([(f"p{i}", f"Project {i}") for i in range(1, 7)], "project_id string, project_name string")
+    roots = x.spark.createDataFrame([(f"/w/p{i}", f"p{i}") for i in range(1, 5)], "path string, project_id string")
+    by_hand = F.when(u % 2 == 0, "hand").otherwise("p1")
+    manual = rows.where("u % 13 = 0").select(F.col("id").alias("thread_id"), by_hand.alias("manual_project"), F.when(u % 2 == 0, "By hand").alias("manual_name"))
+    return index.catalog(index.united(full, bare), projects, roots, manual).drop("confidence", "agent_role", "agent_path")
+
+
+# --- the explorer's figures, and all sections in one table
+
+_DAYS = {"today": ("2024-01-31", "2024-01-31"), "week": ("2024-01-29", "2024-01-31"), "lifetime": ("0000-01-01", "9999-12-31")}
+_RECENT = "timestamp '2024-01-30 23:45:00'"
+_FIGURES = ", ".join(
+    f"cast(coalesce(sum({c}) filter (local_day between '{a}' and '{b}'{rule}), 0) as bigint) {of}{name}_{c}"
+    for name, (a, b) in _DAYS.items() for of, rule, cs in (("", "", ("total", "event_count")), ("standalone_", " and project = 'standalone'", ("total",))) for c in cs
+)
+
+
+@query(
+    "explorer_stats",
+    f"select * from (select {_FIGURES} from ({_PROJECTS.format('eff_days')} where quality = 'confirmed')) cross join (select cast(coalesce(sum(total), 0) as bigint) recent_total, count(distinct thread_id) active_sessions from facts where quality = 'confirmed' and source_timestamp >= {_RECENT})"
+    f" cross join ({ORACLES['catalog_counts']}) cross join (select \"current\" standalone_current, historical standalone_historical, with_evidence standalone_with_evidence from ({ORACLES['standalone_stats']})) cross join (select count(distinct project_id) projects from catalog)",
+)
+def explorer_stats(x: Ledger) -> DataFrame:
+    """One row: usage of today, this week and ever, alone and of standalone threads, the last quarter of an hour, counts."""
+    day = lambda name: F.col("local_day").between(*_DAYS[name])
+    summed = lambda c, rule: F.coalesce(F.sum(F.when(rule, F.col(c))), F.lit(0)).cast("bigint")
+    alone = F.col("project") == "standalone"
+    usage = _classified(x, x.effective_days.where("quality = 'confirmed'")).agg(
+        *[summed(c, day(n)).alias(f"{n}_{c}") for n in _DAYS for c in ("total", "event_count")], *[summed("total", day(n) & alone).alias(f"standalone_{n}_total") for n in _DAYS]
+    )
+    recent = x.facts.where((F.col("quality") == "confirmed") & (F.col("source_timestamp") >= literal("2024-01-30 23:45:00"))).agg(F.coalesce(F.sum("total"), F.lit(0)).cast("bigint").alias("recent_total"), F.countDistinct("thread_id").alias("active_sessions"))
+    own = standalone_stats(x).select(*[F.col(c).alias(f"standalone_{c}") for c in ("current", "historical", "with_evidence")])
+    projects = x.catalog.agg(F.countDistinct("project_id").alias("projects"))
+    return usage.crossJoin(recent).crossJoin(catalog_counts(x)).crossJoin(own).crossJoin(projects)  # single rows
+
+
+#: Sections of a whole bundle: what names a row, and its figures.
+_BUNDLE = {
+    "summary_kpis": ((), ("confirmed", "quarantined", "unknown", "previous", "delta", "cache_rate", "match_rate", "average_per_day")),
+    "dashboard": (("section", "part", "quality", "local_day", "project", "model", "account"), ("event_count", *MEASURES)),
+    "effective_by_project": (("project",), ("event_count", *MEASURES, "share")),
+    "breakdown_pivot_share": (("model",), ("confirmed", "quarantined", "unknown", "share")),
+    "project_orders": (("project",), ("total", "previous", "threads", "recent", "by_tokens", "by_growth", "by_recent", "by_rate", "by_sessions")),
+    "quality_summary": (("quality", "first_day", "last_day"), ("event_count", *MEASURES)),
+    "issues": (("id", "state", "severity"), ("n", "event_count", "token_count")),
+    "explorer_stats": ((), ("today_total", "week_total", "lifetime_total", "standalone_lifetime_total", "recent_total", "active_sessions", "current_sessions", "historical_sessions", "projects")),
+    "reconstruction_status": ((), ("pending", "reconstructing", "reconstructed", "unrecoverable", "bytes_processed", "bytes_total", "selected_tokens")),
+}
+
+
+def _bundle_sql() -> str:
+    parts = []
+    for name, (keys, figures) in _BUNDLE.items():
+        key = f"concat_ws('|', {', '.join(f"coalesce({k}, '')" for k in keys)})" if keys else "''"
+        parts.append(f"select '{name}' part, {key} item, unnest([{', '.join(f"'{c}'" for c in figures)}]) figure, unnest([{', '.join(f'{c}::double' for c in figures)}]) as value from ({ORACLES[name]})")
+    return " union all ".join(f"(select * from ({p}) where value is not null)" for p in parts)
+
+
+@query("bundle_values", _bundle_sql())
+def bundle_values(x: Ledger) -> DataFrame:
+    """(part, item, figure, value): every section of a dashboard as one table of figures; what isn't known has no row."""
+    plans = {
+        "summary_kpis": summary_kpis, "dashboard": dashboard, "effective_by_project": effective_by_project, "breakdown_pivot_share": breakdown_pivot_share, "project_orders": project_orders,
+        "quality_summary": quality_summary, "issues": issues, "explorer_stats": explorer_stats, "reconstruction_status": accounts.reconstruction_status,
+    }
+    return sections.figures({name: (plan(x), *_BUNDLE[name]) for name, plan in plans.items()})

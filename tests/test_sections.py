@@ -117,3 +117,31 @@ def test_an_index_with_and_without_optional_columns_is_the_same_catalog(spark, t
     assert catalogs[0] == catalogs[1] == catalogs[2] == sorted(((t, q, p) for t, _, p, q in rows), key=key)
     both = index.united(full.where("id < 't5'"), bare.where("id >= 't5'"))
     assert sorted(((r.thread_id, r.parent_thread_id, r.project) for r in index.resolved(both, roots).collect()), key=key) == catalogs[0]
+
+
+def test_a_catalog_takes_what_says_most(spark):
+    """Sources before columns, milliseconds before seconds, names before titles; unknown projects, times and depths."""
+    spawn = lambda **more: json.dumps({"subagent": {"thread_spawn": more}})
+    rows = [
+        {"id": "a", "cwd": "/w/p1/x", "git_origin": "git@h:o/r.git", "source": "cli", "created_at": 10, "updated_at": 20, "title": "T", "name": " ", "archived": 1},
+        {"id": "b", "cwd": "/tmp", "git_origin": "https://h/o/r", "source": spawn(parent_thread_id="a", depth=3, agent_role="r"), "agent_role": "column", "created_at": 10, "created_at_ms": 10500, "title": " "},
+        {"id": "c", "cwd": "/w/p1", "project_id": " p9 ", "source": spawn(depth=-1), "created_at": "later", "updated_at": 7, "archived": False},
+        {"id": "d", "cwd": "/tmp", "thread_source": "subagent", "source": "{broken", "created_at": 1 << 62, "has_user_event": "maybe"},
+        {"id": "e", "cwd": "/w/p1/..", "project_id": "p2", "git_origin": "g", "source": spawn(), "created_at": 0, "updated_at_ms": 1},
+        {"id": "f", "git_origin": "g", "source": None, "name": "N", "title": "T"},
+        {"id": "g", "cwd": "/w/p1", "project_id": "p2", "source": ""},
+    ]
+    snapshot = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").select(F.parse_json("value").alias("row"))
+    projects = spark.createDataFrame([("p1", "One"), ("p2", "Two")], "project_id string, project_name string")
+    roots = spark.createDataFrame([("/w/p1/", "p1")], "path string, project_id string")
+    manual = spark.createDataFrame([("g", "p1", None)], "thread_id string, manual_project string, manual_name string")
+    got = {r.thread_id: r for r in index.catalog(index.united(snapshot), projects, roots, manual).collect()}
+    assert {t: (r.project, r.project_name, r.method, r.confidence) for t, r in got.items()} == {
+        "a": ("p1", "One", "root", "inferred"), "b": ("p1", "One", "git", "inferred"), "c": ("p9", None, "native", "verified"), "d": (None, None, "unassigned", "unknown"),
+        "e": ("p2", "Two", "native", "verified"), "f": ("p2", "Two", "git", "inferred"), "g": ("p1", "One", "manual", "verified"),
+    }
+    assert {t: (r.parent_thread_id, r.depth, r.agent_role) for t, r in got.items()} == {"a": (None, 0, None), "b": ("a", 3, "r"), "c": (None, 1, None), "d": (None, 1, None), "e": (None, 1, None), "f": (None, 0, None), "g": (None, 0, None)}
+    at = lambda seconds: datetime(1970, 1, 1) + timedelta(seconds=seconds)
+    assert {t: (r.created_at, r.updated_at) for t, r in got.items()} == {"a": (at(10), at(20)), "b": (at(10.5), at(10.5)), "c": (None, at(7)), "d": (None, None), "e": (at(0), at(0.001)), "f": (None, None), "g": (None, None)}
+    assert [got[t].title for t in "abf"] == ["T", None, "N"] and [got[t].archived for t in "abc"] == [True, None, False] and got["d"].has_user_event is None
+    assert index.catalog(index.united(snapshot.limit(0)), projects, roots, manual).count() == 0
