@@ -144,11 +144,14 @@ def applied_to_cube(cube: DataFrame, key: str, epochs: DataFrame) -> DataFrame:
     return cube_totals(named.unionByName(moved.select(*cube.columns)), key, *DIMENSIONS, "quality")
 
 
-def evidence_of_roots(threads: DataFrame, roots: DataFrame) -> DataFrame:
-    """(project_id, identity): remotes of threads whose folder is a project's root or below it, each once."""
+def evidence_of_roots(threads: DataFrame, roots: DataFrame, identity: Column | None = None) -> DataFrame:
+    """(project_id, identity): remotes of threads whose folder is a project's root or below it, each once.
+
+    identity is the threads' normalised remote, where it is known already.
+    """
     parts = F.split(normal_path("cwd"), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    own = threads.where("cwd is not null").select(git_identity("git_origin").alias("identity"), F.explode(prefixes).alias("root")).where("identity is not null").distinct()
+    own = threads.where("cwd is not null").select((git_identity("git_origin") if identity is None else identity).alias("identity"), F.explode(prefixes).alias("root")).where("identity is not null").distinct()
     return own.join(roots.select(normal_path("path").alias("root"), "project_id").where("root <> ''"), "root").select("project_id", "identity").distinct()
 
 

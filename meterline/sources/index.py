@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.attribution import evidence_of_roots, git_project, longest_root, resolved_project
+from ..functions.text import git_identity
+from ..operators.attribution import evidence_of_roots, longest_root, resolved_project
 from ..operators.checkpoint import settle
 
 #: What an index can say of a thread; only the id is in all of them.
@@ -60,27 +61,36 @@ def catalog(index: DataFrame, projects: DataFrame, roots: DataFrame, manual: Dat
     order is by hand, own, longest root, remote. What a sub-agent's source says of it goes before the columns; its depth
     is 1 where nothing says more. Milliseconds go before seconds; times that are none are null, and an update without a
     time is as old as its thread. Titles of white space are none. Empty tables are fine; without threads there is no row.
-    The index is settled, as five joins read it, and no snapshot is parsed twice.
+    The index is settled, as five joins read it, with all that is parsed: no snapshot is read twice.
     """
-    index = settle(index)
-    own = index.select("project_id", F.col("git_origin").alias("remote")).where("project_id is not null and remote is not null")
+    index = settle(_parsed(index))
+    own = index.select("project_id", "identity").where("project_id is not null and identity is not null")
     known = own.join(projects.select("project_id"), "project_id", "left_semi")
-    learned = known.unionByName(evidence_of_roots(index, roots).withColumnRenamed("identity", "remote")).distinct()
-    rows = index.join(longest_root(index, roots), "thread_id", "left").join(git_project(index, learned), "thread_id", "left").join(manual, "thread_id", "left")
-    rows = rows.withColumn("project_id", F.nullif(F.trim("project_id"), F.lit(""))).withColumn("parent_project", F.lit(None).cast("string"))
-    rows = rows.select("*", *resolved_project()).drop("project_id")
-    rows = rows.join(projects.select(F.col("project_id").alias("project"), "project_name"), "project", "left")
-    source = F.try_parse_json("source")
-    said = lambda what: F.try_variant_get(source, f"{SPAWNED}.{what}", "string")
-    depth = F.try_variant_get(source, f"{SPAWNED}.depth", "bigint")
-    below = (F.col("thread_source") == "subagent") | F.try_variant_get(source, SPAWNED, "variant").isNotNull()
+    learned = known.unionByName(evidence_of_roots(index, roots, F.col("identity"))).groupBy("identity").agg(F.min("project_id").alias("git_project"))
+    rows = index.join(learned, "identity", "left").join(longest_root(index, roots), "thread_id", "left").join(manual, "thread_id", "left")
+    rows = rows.withColumn("project_id", F.col("own_project")).withColumn("parent_project", F.lit(None).cast("string"))
+    rows = rows.select("*", *resolved_project())
+    rows = rows.drop("project_id").join(projects.select(F.col("project_id").alias("project"), "project_name"), "project", "left")
+    name = F.coalesce(F.when(F.col("method") == "manual", F.col("manual_name")), "project_name").alias("project_name")
+    return rows.select("thread_id", "parent_thread_id", "project", name, "method", "confidence", "title", "model", *AGENT, "depth", "created_at", "updated_at", *FLAGS)
+
+
+#: What a sub-agent's source or the columns say of it, and what is true or not of a thread.
+AGENT, FLAGS = ("agent_nickname", "agent_role", "agent_path"), ("archived", "has_user_event")
+
+
+def _parsed(index: DataFrame) -> DataFrame:
+    """A united index with its texts as what they stand for: remotes, agents, depths, titles, times and flags."""
+    rows = index.withColumn("said", F.try_variant_get(F.try_parse_json("source"), SPAWNED, "variant"))
+    said = lambda what, kind="string": F.try_variant_get("said", f"$.{what}", kind)
+    depth, below = said("depth", "bigint"), (F.col("thread_source") == "subagent") | F.col("said").isNotNull()
     filled = lambda c: F.when(F.trim(c) != "", F.col(c))
     created, updated = _moment("created_at"), _moment("updated_at")
     return rows.select(
-        "thread_id", "parent_thread_id", "project", F.coalesce(F.when(F.col("method") == "manual", F.col("manual_name")), "project_name").alias("project_name"), "method", "confidence",
-        F.coalesce(filled("name"), filled("title")).alias("title"), "model", *[F.coalesce(said(c), F.col(c)).alias(c) for c in ("agent_nickname", "agent_role", "agent_path")],
+        "thread_id", "parent_thread_id", "cwd", "project_id", F.nullif(F.trim("project_id"), F.lit("")).alias("own_project"), git_identity("git_origin").alias("identity"),
+        F.coalesce(filled("name"), filled("title")).alias("title"), "model", *[F.coalesce(said(c), F.col(c)).alias(c) for c in AGENT],
         F.coalesce(F.when(depth.between(0, MOST_DEPTH), depth), F.when(below, F.lit(1)), F.lit(0)).cast("bigint").alias("depth"),
-        created.alias("created_at"), F.coalesce(updated, created).alias("updated_at"), *[F.col(c).try_cast("boolean").alias(c) for c in ("archived", "has_user_event")],
+        created.alias("created_at"), F.coalesce(updated, created).alias("updated_at"), *[F.col(c).try_cast("boolean").alias(c) for c in FLAGS],
     )
 
 
