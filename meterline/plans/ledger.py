@@ -43,6 +43,11 @@ class Ledger:
     def recon_hours(self) -> DataFrame:
         return aggregates.cube(self.recon, "local_hour", quality=False)
 
+    def settle_cubes(self) -> None:
+        """For plans that read the day cubes again and again: both are made once, and chosen from once."""
+        self.days, self.recon_days = settle(self.days), settle(self.recon_days)
+        self.effective_days = settle(self.effective_days)
+
     @cached_property
     def catalog(self) -> DataFrame:
         """The thread dimension, read by several joins: settled, as it is far smaller than the facts."""

@@ -322,6 +322,7 @@ def _bundle_sql() -> str:
 @query("bundle_values", _bundle_sql())
 def bundle_values(x: Ledger) -> DataFrame:
     """(part, item, figure, value): every section of a dashboard as one table of figures; what isn't known has no row."""
+    x.settle_cubes()
     plans = {
         "summary_kpis": summary_kpis, "dashboard": dashboard, "effective_by_project": effective_by_project, "breakdown_pivot_share": breakdown_pivot_share, "project_orders": project_orders,
         "quality_summary": quality_summary, "issues": issues, "explorer_stats": explorer_stats, "reconstruction_status": accounts.reconstruction_status,

@@ -145,3 +145,14 @@ def test_a_catalog_takes_what_says_most(spark):
     assert {t: (r.created_at, r.updated_at) for t, r in got.items()} == {"a": (at(10), at(20)), "b": (at(10.5), at(10.5)), "c": (None, at(7)), "d": (None, None), "e": (at(0), at(0.001)), "f": (None, None), "g": (None, None)}
     assert [got[t].title for t in "abf"] == ["T", None, "N"] and [got[t].archived for t in "abc"] == [True, None, False] and got["d"].has_user_event is None
     assert index.catalog(index.united(snapshot.limit(0)), projects, roots, manual).count() == 0
+
+
+def test_the_whole_bundle_reads_the_events_a_few_times(spark, data):
+    plan = plans.bundle_values(Ledger(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 6  # besides the cubes, which are made once
+
+
+def test_figures_of_tables(spark):
+    a = spark.createDataFrame([("x", None, 1, 0.5), (None, "y", 2, None)], "k string, l string, n long, r double")
+    got = {tuple(r) for r in sections.figures({"one": (a, ("k", "l"), ("n", "r")), "two": (a.agg(F.sum("n").alias("n")), (), ("n",))}).collect()}
+    assert got == {("one", "x|", "n", 1.0), ("one", "x|", "r", 0.5), ("one", "|y", "n", 2.0), ("two", "", "n", 3.0)}
