@@ -78,6 +78,7 @@ def reset_events(observations: DataFrame, keys: tuple[str, ...] = ("account",))
     other than account are columns of the result. A drop that isn't confirmed leaves the high water as it was, so that
     each decision depends on those before it: the readings of a key pass in order, and all that is kept of them is the
     high water. Confirmation, which looks ahead, is the least of the readings to one boundary within CONFIRM_SECONDS.
+    Readings that can change nothing, whatever the high water is, are left out before: see telling().
     """
     extra = [k for k in keys if k != "account"]
     micros = F.unix_micros(F.col("observed_at").cast("timestamp"))
@@ -87,11 +88,26 @@ def reset_events(observations: DataFrame, keys: tuple[str, ...] = ("account",))
     confirmed = F.coalesce(least <= F.col("used_percent") + CONFIRM_RISE, F.lit(False))
     series = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     ordered = observations.select(*dict.fromkeys(("account", *keys)), "observed_at", "event_id", "used_percent", "resets_at", confirmed.alias("confirmed"), series.alias("series"))
+    ordered = telling(ordered, *keys)
     parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join([f"{k} {observations.schema[k].dataType.simpleString()}" for k in extra] + [RESETS])
     return ordered.repartition(parts, "series").sortWithinPartitions("series", "observed_at", "event_id").mapInPandas(lambda batches: scan_resets(batches, extra), schema)
 
 
+def telling(readings: DataFrame, *keys: str) -> DataFrame:
+    """Readings that may raise the high water of a key or be a reset.
+
+    After a reading the high water is at least that reading. So one below it that isn't confirmed is neither, and one
+    equal to it, to the same boundary, does what that one did if it isn't confirmed or both are.
+    """
+    order = Window.partitionBy(*keys).orderBy("observed_at", "event_id")
+    before = F.lag(F.struct("used_percent", "resets_at", "confirmed")).over(order)
+    rows = readings.where("used_percent is not null and not isnan(used_percent)").withColumn("_before", before)
+    lower = ~F.col("confirmed") & (F.col("used_percent") < F.col("_before.used_percent"))
+    same = (F.col("used_percent") == F.col("_before.used_percent")) & F.col("resets_at").eqNullSafe(F.col("_before.resets_at")) & (~F.col("confirmed") | F.col("_before.confirmed"))
+    return rows.where(F.col("_before").isNull() | ~(lower | same)).drop("_before")
+
+
 def scan_resets(batches: Iterator[pd.DataFrame], extra: list[str]) -> Iterator[pd.DataFrame]:
     series, high = None, None
     for batch in batches:

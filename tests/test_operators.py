@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 from fractions import Fraction
 
@@ -200,3 +201,28 @@ def test_trees_are_searched_by_what_threads_are_called(spark):
     found = lambda part: {r.thread_id: r.hit for r in views.search_fields(catalog, part, "title", "nickname", "model").collect()}
     assert found(" ADA ") == {"a": True, "r": False} and found("m2") == {"a": True, "c": True, "r": False} and found("read") == {"b": True, "a": False, "r": False} and found("zz") == {}
     assert sorted(r.thread_id for r in views.focus(catalog, "a").collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_readings_left_out_change_no_reset(spark, seed, monkeypatch):
+    """Resets with the readings that tell something are those with all readings: repeats, dips, ties, nulls, any boundary."""
+    draw = random.Random(seed)
+    start = datetime(2024, 1, 1)
+    rows, at, used = [], 0, 10.0
+    for i in range(1500):
+        at += draw.choice([0, 60, 60, 300, 900])
+        used = draw.choice([used, used, used, min(used + draw.choice([1.0, 2.0, 7.0]), 100.0), max(used - draw.choice([1.0, 6.0, 40.0]), 0.0)])
+        boundary = draw.choice([start + timedelta(hours=5 * (at // 18000 + 1)), start + timedelta(hours=5 * (at // 18000 + 1)), start + timedelta(days=1), None])
+        rows.append((draw.choice("ab"), start + timedelta(seconds=at), i, draw.choice([used] * 20 + [None, float("nan")]), boundary))
+    readings = spark.createDataFrame(rows, "account string, observed_at timestamp_ntz, event_id long, used_percent double, resets_at timestamp_ntz")
+    found = lambda: sorted((tuple(r) for r in quota.reset_events(readings).collect()), key=str)
+    thinned = found()
+    kept = []
+
+    def all_rows(df, *keys):
+        kept.append((quota_telling(df, *keys).count(), df.count()))
+        return df
+
+    quota_telling = quota.telling
+    monkeypatch.setattr(quota, "telling", all_rows)
+    assert found() == thinned and len(thinned) > 5 and kept[0][0] < kept[0][1]
