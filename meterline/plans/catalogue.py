@@ -561,6 +561,9 @@ query("interval_match_greedy")(lambda x: machines.matched(_observations(x, "clic
 query("interval_match_pairs", f"select * from ({GREEDY}) where candidate_id is not null")(
     lambda x: machines.matched(_observations(x, "click"), _observations(x, "view"), 6 * 3600 * 1_000_000).where("candidate_id is not null")
 )
+query("interval_match_unmatched", f"select thread_id, observation_id from ({GREEDY}) where candidate_id is null")(
+    lambda x: machines.matched(_observations(x, "click"), _observations(x, "view"), 6 * 3600 * 1_000_000).where("candidate_id is null").select("thread_id", "observation_id")
+)
 
 
 @query("interval_match_nearest", "select id, candidate_id, gap_micros from (select o.event_id id, c.event_id candidate_id, cast(abs(epoch_us(c.source_timestamp) - epoch_us(o.source_timestamp)) as bigint) gap_micros, row_number() over (partition by o.event_id order by abs(epoch_us(c.source_timestamp) - epoch_us(o.source_timestamp)), c.source_timestamp, c.event_id) n from facts o join facts c on c.thread_id = o.thread_id and c.event_type = 'view' and abs(epoch_us(c.source_timestamp) - epoch_us(o.source_timestamp)) <= 21600000000 where o.event_type = 'click') where n = 1")
