@@ -80,3 +80,11 @@ def test_apportioned_residual_adds_up(ledger):
 def test_scan_reads_only_needed_columns(spark, data):
     plan = catalogue.QUERIES["raw_by_account"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "event_id" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_the_greedy_matcher_equals_its_sql_with_nulls(spark, data, duck):
+    """By tuples: frames of one engine hold longs beside nulls as doubles, those of the other don't."""
+    columns = ["thread_id", "observation_id", "candidate_id", "gap_micros"]
+    ours = sorted((tuple(r) for r in catalogue.QUERIES["interval_match_greedy"](spark, data).select(*columns).collect()), key=str)
+    theirs = duck.execute(catalogue.oracle.sql(f"select {', '.join(columns)} from ({catalogue.GREEDY})")).fetchall()
+    assert ours == sorted(theirs, key=str) and any(r[2] is None for r in ours) and any(r[2] is not None for r in ours)
