@@ -47,6 +47,15 @@ def test_values_are_carried_over_hours_without_any(spark):
     assert {r.event_id: r.was for r in got} == expected
 
 
+def test_values_are_carried_to_rows_of_equal_times(spark):
+    """Each time has many rows, also at the ends of hours; values are told apart from rows that have none by their rank."""
+    at = lambda i: DAY + timedelta(minutes=7 * i)
+    rows = [("a", 100 * i + n, at(i), f"v{i}" if i % 11 == 0 and n == 0 else None) for i in range(60) for n in range(40)]
+    ranked = spark.createDataFrame(rows, SCHEMA).withColumn("rank", F.when(F.col("account").isNull(), 1).otherwise(0))
+    got = carried(ranked.repartition(7), {"account": "was"}, ["observed_at", "rank"]).collect()
+    assert {r.event_id: r.was for r in got} == {e: f"v{e // 100 // 11 * 11}" for _, e, _, _ in rows} and len(got) == len(rows)
+
+
 def test_switches_are_those_of_the_sorted_rows(spark):
     rows, expected = some(3), set()
     for s in "ab":
@@ -98,6 +107,15 @@ def test_epochs_are_those_of_a_nested_loop(spark):
     assert {(r.observed_from, r.observed_to, r.account) for r in got} == expected and len(expected) > 5
 
 
+def test_epochs_are_the_same_whatever_the_number_of_equal_markers(spark):
+    draw = random.Random(7)
+    rows = [(i, DAY + timedelta(seconds=draw.randrange(300_000)), draw.choice(["logout", "account_seen", "account_seen", "login_success"]), draw.choice("aab")) for i in range(250)]
+    schema, at = "event_id long, observed_at timestamp_ntz, kind string, account string", lambda s: F.lit(str(DAY + timedelta(seconds=s))).cast("timestamp_ntz")
+    once, often = (spark.createDataFrame(r, schema) for r in (rows, [(1000 * n + r[0], *r[1:]) for n in range(20) for r in rows]))
+    expected, got = (sorted(attribution.inferred_epochs(m, at(0), at(290_000)).collect(), key=str) for m in (once, often.repartition(5)))
+    assert got == expected and len(got) > 5
+
+
 def test_epochs_read_the_events_twice(spark, data):
     from meterline.plans.ledger import Ledger
     from meterline.sources import ledger as source
