@@ -18,9 +18,11 @@ from .training import Adam, drawn
 PASSAGE, RUNS, HASHED, GRAM = 1024, 3, 4096, 8
 INPUTS = HASHED + 2
 ENCODED, ATTENTION = 16, 8
-#: Documents of each label that the model learns from, at most, and passages of each, spread over the whole text.
-PER_LABEL, PASSAGES_EACH = 2000, 4
-STEPS, BATCH, RATE = 300, 64, 0.02
+#: Whole documents of each label that the model learns from, at most, and bytes of all of them together.
+PER_LABEL, LEARNED_BYTES = 2000, 16 << 20
+PASSAGES_EACH = 4
+#: A step takes BATCH documents, or fewer if they have more passages than STEP_PASSAGES by the mean, but one of each label.
+STEPS, BATCH, STEP_PASSAGES, RATE = 300, 64, 1024, 0.02
 THRESHOLD = 0.3
 SIDE_BY_SIDE = 256
 
@@ -87,9 +89,12 @@ class Bags:
         r["p"] = 1 / (1 + np.exp(-np.clip(r["z"] @ w["score"] + w["level"], -30, 30)))
         return r
 
-    def gradients(self, x: np.ndarray, owner: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        w, r = self.w, self.forward(self.encoded(x), owner, len(label))
-        dp = (r["p"] - label) / len(label)
+    def gradients(self, x: np.ndarray, owner: np.ndarray, label: np.ndarray, times: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean over bags, each counted so many times. Passages are widened SIDE_BY_SIDE at once."""
+        times = np.ones(len(label)) if times is None else times
+        own = [slice(i, i + SIDE_BY_SIDE) for i in range(0, len(x), SIDE_BY_SIDE)]
+        w, r = self.w, self.forward(np.concatenate([self.encoded(x[s]) for s in own]), owner, len(label))
+        dp = (r["p"] - label) * times / times.sum()
         dz = dp[:, None] * w["score"]
         da = (dz[owner] * r["h"]).sum(axis=1)
         ds = r["a"] * (da - np.bincount(owner, r["a"] * da, len(label))[owner])
@@ -97,7 +102,7 @@ class Bags:
         du = ds[:, None] * w["weight"] * r["v"] * r["u"] * (1 - r["u"])
         dh = (r["a"][:, None] * dz[owner] + dv @ w["value"].T + du @ w["gate"].T) * (1 - r["h"] ** 2)
         return {
-            "encode": x.T @ dh,
+            "encode": sum(x[s].T @ dh[s] for s in own),
             "bias": dh.sum(axis=0),
             "value": r["h"].T @ dv,
             "gate": r["h"].T @ du,
@@ -114,16 +119,23 @@ class Bags:
 
 
 def spread(text: bytes) -> list[bytes]:
-    """PASSAGES_EACH passages of a text at most: the first, the last, and others as far apart as can be."""
+    """PASSAGES_EACH passages of a text at most, to look at: the first, the last, and others as far apart as can be. The
+    model learns from all passages, not from these."""
     count = max(1, -(-len(text) // PASSAGE))
     return [text[i * PASSAGE : (i + 1) * PASSAGE] for i in np.unique(np.linspace(0, count - 1, min(count, PASSAGES_EACH)).astype(int))]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Bags | None:
-    """From a sample of labelled rows whose id isn't held out; None if there are none.
+def fitting(sizes: list[int], most: int) -> int:
+    """How many texts of these sizes, from the first on, are at most so many bytes together; the first is always taken."""
+    return max(min(1, len(sizes)), int(np.searchsorted(np.cumsum(sizes), most, side="right")))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: int = LEARNED_BYTES) -> Bags | None:
+    """From a sample of labelled rows whose id isn't held out, of which all passages count; None if there are none.
 
     A document that has several labels is learned with each. Some times PER_LABEL ids are drawn first, by their hash, so
-    that what meets the documents is small; of an id with many rows any can be drawn.
+    that what meets the documents is small; of an id with many rows any can be drawn. Rows are drawn by hash and size
+    alone; only the texts of those that are taken come to the driver, fewer where texts are long: see fitting().
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(crc_mod("id", 5) != 0).select("label", F.xxhash64("id").alias("h"), F.col("id").alias("value"))
@@ -132,28 +144,29 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Bag
         return None
     sample = F.broadcast(docs.sparkSession.createDataFrame(ids, f"id {labels.schema['doc_id'].dataType.simpleString()}, label int"))
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "id")
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces = [spread(t) for t in texts(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array(pieces, pa.list_(pa.binary()))], ["label", "h", "value"])
-
-    rows = map_arrow(rows.select("label", F.xxhash64(F.col("id").cast("string"), "text").alias("h"), "text"), cut, "label int, h long, value array<binary>")
-    found = drawn(rows, per_label)
-    if not found:
+    rows = rows.select("label", F.xxhash64(F.col("id").cast("string"), "text").alias("h"), "text")
+    sizes = drawn(rows.select("label", "h", F.array(F.octet_length("text")).alias("value")), per_label)
+    if not sizes:
         return None
-    data, length, _ = passages([bytes(p) for r in found for p in r.value])
-    start = np.cumsum([0, *(len(r.value) for r in found)])
+    of = {k: [r for r in sizes if r.label == k] for k in (0, 1)}
+    share = most // sum(1 for own in of.values() if own)
+    taken = [(r.label, r.h) for own in of.values() for r in own[: fitting([r.value[0] for r in own], share)]]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, "label int, h long"))
+    found = rows.join(taken, ["label", "h"]).groupBy("label", "h").agg(F.first("text").alias("text")).orderBy("label", "h").collect()
+    data, length, owner = passages([r.text.encode() for r in found])
+    start = np.searchsorted(owner, np.arange(len(found) + 1))
     label = np.array([r.label for r in found], float)
     own = range(0, len(data), SIDE_BY_SIDE)
-    x = np.concatenate([inputs(data[i : i + SIDE_BY_SIDE], length[i : i + SIDE_BY_SIDE]).astype(np.float16) for i in own])  # 131 MB at most
+    x = np.concatenate([inputs(data[i : i + SIDE_BY_SIDE], length[i : i + SIDE_BY_SIDE]).astype(np.float16) for i in own])  # 8 times the texts and 33 MB for ends of texts, at most
     model = Bags()
     by_label = [np.nonzero(label == k)[0] for k in (0, 1)]
     by_label = [x for x in by_label if len(x)]
+    each = max(1, min(BATCH, int(STEP_PASSAGES / np.diff(start).mean())) // len(by_label))
     random, adam = np.random.default_rng(5), Adam(model.w, RATE)
     for step in range(STEPS):
-        bags = np.concatenate([random.choice(x, BATCH // len(by_label)) for x in by_label])
+        bags, times = np.unique(np.concatenate([random.choice(x, each) for x in by_label]), return_counts=True)
         at = np.concatenate([np.arange(start[b], start[b + 1]) for b in bags])
-        adam.step(model.gradients(x[at].astype(np.float32), np.repeat(np.arange(len(bags)), np.diff(start)[bags]), label[bags]), 0.5 * (1 + np.cos(np.pi * step / STEPS)))
+        adam.step(model.gradients(x[at], np.repeat(np.arange(len(bags)), np.diff(start)[bags]), label[bags], times), 0.5 * (1 + np.cos(np.pi * step / STEPS)))
     return model
 
 
@@ -167,8 +180,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Only text decides. Null and empty texts are one empty passage and get its score. Rows of which crc32(doc_id as text)
     mod 5 is 0 are held out. Without labels to learn from every score is 0.5. Rows that repeat are scored each; an empty
-    table gives none; other columns aren't read. The model learns from PASSAGES_EACH passages of each of PER_LABEL rows of
-    a label at most, drawn by the hash of id and text, as often from either label: 16 MB in all. All passages are scored.
+    table gives none; other columns aren't read. The model learns from all passages of PER_LABEL rows of a label at most, drawn by the hash of id and text, as often
+    from either label; where these are more than LEARNED_BYTES, from fewer rows. All passages are scored.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))

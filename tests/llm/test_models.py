@@ -165,6 +165,29 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert len(language_id.train(docs).languages) == 300
 
 
+def test_quality_is_learned_from_every_part_of_a_text(spark, monkeypatch):
+    seen, own = [], quality.passages
+    monkeypatch.setattr(quality, "passages", lambda texts: seen.append(texts) or own(texts))
+    monkeypatch.setattr(quality, "STEPS", 2)
+    ids = [i for i in range(1, 60) if not held_out(i)]
+    texts = {i: f"{i} " + "".join(f"{i}:{n} " for n in range(100 * (i % 9) + 1)) for i in ids}  # up to 6 passages and more
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels) is not None
+    assert sorted(seen[0]) == sorted(t.encode() for t in texts.values()) and max(len(t) for t in seen[0]) > quality.PASSAGES_EACH * quality.PASSAGE
+    assert quality.train(docs, labels, most=20_000) is not None  # fewer texts, all of them whole
+    assert 2 < len(seen[1]) < len(ids) and set(seen[1]) <= set(seen[0]) and sum(map(len, seen[1])) <= 20_000
+    assert [quality.fitting(s, 10) for s in ([], [11, 1], [4, 6, 1], [4, 7], [0, 0])] == [0, 1, 2, 1, 2]
+
+
+def test_a_bag_that_counts_twice_is_two(spark):
+    random = np.random.default_rng(1)
+    model, x = quality.Bags(size=15), random.normal(size=(700, 15))
+    once = model.gradients(x, np.repeat([0, 1], [300, 400]), np.array([1.0, 0]), np.array([2, 1]))
+    twice = model.gradients(np.concatenate([x[:300], x]), np.repeat([0, 1, 2], [300, 300, 400]), np.array([1.0, 1, 0]))
+    assert all(once[k] == pytest.approx(twice[k], abs=1e-6) for k in once)
+
+
 def test_odd_documents_have_quality(spark):
     docs = clashing(documents(spark))
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, 0), (4, 0, 0), (None, 1, 0), (7, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
