@@ -45,12 +45,17 @@ GUARD_STATE = f"source string, line_no bigint, own struct<session_id: string, at
 
 def _seeded(records: DataFrame, state: DataFrame | None, schema: str) -> DataFrame:
     """records with a column `seed`, and the state of each of their files as a record before its first; a state without
-    new records has none."""
+    new records has none.
+
+    Files are dealt over all shuffle partitions: records take many times the memory that they take in a shuffle, by whose
+    bytes Spark would else put partitions together.
+    """
     empty = records.sparkSession.createDataFrame([], schema)
     state = empty if state is None else state.join(records.select("source").distinct(), "source", "left_semi")
     rows = state.select("source", "line_no", F.struct(*empty.columns[1:]).alias("seed"))  # it was the last line's record
     kind = rows.schema["seed"].dataType.simpleString()
-    return records.withColumn("seed", F.lit(None).cast(kind)).unionByName(rows, allowMissingColumns=True)
+    seeded = records.withColumn("seed", F.lit(None).cast(kind)).unionByName(rows, allowMissingColumns=True)
+    return seeded.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source")
 
 
 def guard(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -79,10 +84,12 @@ def guard(records: DataFrame, state: DataFrame | None = None) -> DataFrame:
     # A task start while live changes nothing; only one that ends foreign history does.
     ended = (F.col("change") == "back") & (F.col("phase_before") == "foreign")
     rows = rows.withColumn("live", F.col("phase").isin("live", "back")).withColumn("stretch", F.sum(F.coalesce(ended, F.lit(False)).cast("int")).over(so_far))
-    inside = Window.partitionBy("source", "stretch").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A context holds to the end of its stretch. It takes the stretch along, so that all windows share one order.
     context = (F.col("kind") == "turn_context") & F.col("live")
-    own = lambda c: _last(F.coalesce(seed(c), F.when(context, F.col(c))), inside)
-    rows = rows.withColumn("own_model", own("model")).withColumn("own_cwd", own("cwd"))
+    value = lambda c: F.coalesce(seed(c), F.when(context, F.col(c)))
+    carried = lambda c: _last(F.when(value(c).isNotNull(), F.struct("stretch", value(c).alias("value"))), so_far)
+    rows = rows.withColumn("own_model", carried("model")).withColumn("own_cwd", carried("cwd"))
+    rows = rows.withColumns({c: F.when(F.col(f"{c}.stretch") == F.col("stretch"), F.col(f"{c}.value")) for c in ("own_model", "own_cwd")})
     counted = (F.col("kind") == "token_count") & (_has("total_") | _has("last_"))
     total = F.coalesce(seed("previous"), F.when(counted & F.col("live") & _has("total_"), _usage("total_")))
     rows = rows.withColumn("counted", F.coalesce(counted, F.lit(False))).withColumn("total", total)

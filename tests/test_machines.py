@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -156,3 +157,15 @@ def test_stream_leaves_unfinished_lines(spark, tmp_path):
     (tmp_path / "in" / "rollout-a.jsonl").write_text(record(0, "session_meta", id="s") + "\n" + count(1, 10, 10))  # whole, but no end yet
     ingest(stream_lines(spark, str(tmp_path / "in")), str(tmp_path / "facts"), str(tmp_path / "checkpoint")).awaitTermination()
     assert spark.read.schema("total long").parquet(str(tmp_path / "facts")).count() == 0
+
+
+def test_the_guard_sorts_records_once_and_deals_files_over_all_partitions(spark, data):
+    from meterline.plans.catalogue import _records
+    from meterline.plans.ledger import Ledger
+    from meterline.operators.checkpoint import settle
+
+    records = settle(_records(Ledger(spark, data)))
+    facts = machines.guarded(records)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(re.findall(r"\bSort \[source", plan)) == 1 and "hashpartitioning(source" in plan and facts.rdd.getNumPartitions() == parts
