@@ -129,10 +129,11 @@ SALTS = 32
 def met_by(rows: DataFrame, few: DataFrame, key: str, own: str) -> DataFrame:
     """rows joined with few, which has a row a key, where one key may have any share of the rows.
 
-    few is repeated SALTS times, and rows are dealt by the key and a hash of a column of their own.
+    few is repeated SALTS times, and rows are dealt by the key and a hash of a column of their own. Both are shuffled:
+    Spark takes few for as small as it was before it was repeated, and would broadcast SALTS times its threshold.
     """
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt")
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(few.select("*", salts), [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(few.select("*", salts).hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

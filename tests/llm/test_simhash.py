@@ -60,6 +60,18 @@ def test_every_word_has_an_anchor_within_three():
     assert (near >= 0).sum() == sum(__import__("math").comb(23, k) for k in range(5))
 
 
+def test_rows_repeated_for_a_join_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from meterline.llm.common import met_by
+
+    rows = spark.range(30_000).selectExpr("id as own", "id % 700 as k")
+    joined = met_by(rows, rows.groupBy("k").agg(F.max("own").alias("most")), "k", "own")
+    got = joined.collect()
+    assert len(got) == 30_000 and all(r.most == max(range(r.k, 30_000, 700)) for r in got)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_odd_documents(spark):
     docs = clashing(documents(spark))
     got = {(r.doc_id, r.component_id) for r in simhash.simhash_components(docs).collect()}
