@@ -88,3 +88,32 @@ def test_the_greedy_matcher_equals_its_sql_with_nulls(spark, data, duck):
     ours = sorted((tuple(r) for r in catalogue.QUERIES["interval_match_greedy"](spark, data).select(*columns).collect()), key=str)
     theirs = duck.execute(catalogue.oracle.sql(f"select {', '.join(columns)} from ({catalogue.GREEDY})")).fetchall()
     assert ours == sorted(theirs, key=str) and any(r[2] is None for r in ours) and any(r[2] is not None for r in ours)
+
+
+@pytest.fixture(scope="module")
+def close(data, tmp_path_factory):
+    """Events of which three quarters are copies 300 to 900 ms later, so that logouts come within a second of each other, with
+    readings between them."""
+    folder, events = tmp_path_factory.mktemp("close"), data.replace("sf0.001", "sf0.01") + "/events.parquet"
+    copies = f"select event_id + n * 1000000 event_id, ts + n * interval 300 millisecond ts, user_id + n * 1000 user_id, event_type, value, props from '{events}', range(4) r(n)"
+    readings = f"select event_id + 9000000, ts + interval 450 millisecond, user_id, 'signup', value, props from '{events}' where event_type = 'error'"
+    duckdb.sql(f"copy ({copies} union all {readings}) to '{folder}/events.parquet'")
+    connection = duckdb.connect()
+    connection.execute(f"create view events as select * from '{folder}/events.parquet'")
+    return str(folder), connection
+
+
+@pytest.mark.parametrize("name", ["epoch_stats"])
+def test_epochs_between_close_logouts_equal_their_sql(spark, close, name):
+    folder, connection = close
+    ours, theirs = catalogue.QUERIES[name](spark, folder), connection.execute(catalogue.ORACLES[name]).fetchall()
+    columns = [c[0] for c in connection.description]
+    assert sorted((tuple(r) for r in ours.select(*columns).collect()), key=str) == sorted(theirs, key=str)
+
+
+def test_thinned_epochs_between_close_logouts_equal_their_sql(spark, close):
+    folder, connection = close
+    ours, theirs = catalogue.QUERIES["account_epochs_thinned"](spark, folder), connection.execute(catalogue.ORACLES["account_epochs_thinned"]).fetchall()
+    columns = [c[0] for c in connection.description]
+    assert sorted((tuple(r) for r in ours.select(*columns).collect()), key=str) == sorted(theirs, key=str)
+    assert sorted(theirs, key=str) != sorted(connection.execute(catalogue.ORACLES["account_epochs_inferred"]).fetchall(), key=str)
