@@ -103,7 +103,7 @@ def close(data, tmp_path_factory):
     return str(folder), connection
 
 
-@pytest.mark.parametrize("name", ["epoch_stats", "account_epoch_lookup", "account_epochs_inferred"])
+@pytest.mark.parametrize("name", ["epoch_stats", "account_epoch_lookup", "account_epochs_inferred", "quota_held_back"])
 def test_epochs_between_close_logouts_equal_their_sql(spark, close, name):
     folder, connection = close
     ours, theirs = catalogue.QUERIES[name](spark, folder), connection.execute(catalogue.ORACLES[name]).fetchall()
